@@ -13,6 +13,10 @@ looked at. Ids are emitted as little-endian unsigned 32-bit binaries.
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -23,7 +27,7 @@ END_ID = 1
 #: Rests of at most this length are not cut again.
 SMALL = 64
 #: Distinct space-separated words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Pieces that a worker holds before it emits them.
 EMIT = 20_000
 
@@ -33,9 +37,9 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 class Encoder:
     """Ids of whole texts by a byte-level BPE, remembering words.
 
-    Byte-level BPE splits a text before any space that stands between two visible characters, so
-    ids of a text are the ids of its space-led words in turn. Texts with other runs of white space
-    are encoded whole.
+    Byte-level BPE splits a text before any space that stands between two visible characters, and
+    after any run of letters; ids of a text are the ids of such parts in turn. Texts with other runs
+    of white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -47,28 +51,56 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        found = [array("I", e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of space-led words, from those of their letters and the rest."""
+        known, parts = self.known, self.parts
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        if len(parts) + 2 * len(words) > REMEMBERED:
+            parts.clear()
+        cut = {}
+        for w in words:
+            n = LETTERS(w).end()
+            cut[w] = (" " + w[:n], w[n:]) if w[:n].isalpha() else (" " + w, "")
+        new = list({p for both in cut.values() for p in both}.difference(parts))
+        parts.update(zip(new, self.raw(new), strict=True))
+        known.update((w, parts[a] + parts[b]) for w, (a, b) in cut.items())
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not first or first[-1].isspace() or not rest:
             return self.raw([text])[0]
         known = self.known
-        new = [w for w in dict.fromkeys(rest) if w not in known]
+        distinct = set(rest)
+        new = distinct.difference(known)
         if new:
             if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
                 return self.raw([text])[0]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(rest))
-            known.update(zip(new, self.raw([" " + w for w in new]), strict=True))
+            self.learn(new)
+            if len(known) < len(distinct):
+                self.learn(distinct)
         return self.raw([first])[0] + b"".join(map(known.__getitem__, rest))
 
 
+#: The letters that a word begins with.
+LETTERS = re.compile(r"[^\W\d_]*").match
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One per worker process, for all its tasks."""
+    return Encoder(path)
+
+
 def cuts(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
     """(class, length) of the pieces of ``n`` ids, in order."""
     for _ in range(n // capacity):
@@ -153,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, bins, out = Encoder(tokenizer), Bins(TaskContext.get().partitionId(), capacity), []
+        encode, bins, out = encoder(tokenizer), Bins(TaskContext.get().partitionId(), capacity), []
         end = end_id.to_bytes(4, "little")
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
