@@ -15,9 +15,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Of length one; a zero vector stays."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    """Of length one; a zero vector stays. The length is bound once, not found again for each element."""
+    made = F.array(F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n")))
+    return F.transform(made, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x.cast("double"))))[0]
 
 
 def gram_counts(rows: DataFrame, keys: list[str], text: str = "text", dim: int = DIM, gram: int = GRAM) -> DataFrame:
@@ -30,9 +30,10 @@ def gram_counts(rows: DataFrame, keys: list[str], text: str = "text", dim: int =
 
 def embed_hashed(rows: DataFrame, keys: list[str], text: str = "text", dim: int = DIM, gram: int = GRAM) -> DataFrame:
     """(keys, embedding): hashed character n-gram counts, of length one. No model needed."""
-    found = gram_counts(rows, keys, text, dim, gram).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0)).cast("double"))
-    return found.select(*keys, F.transform(normalised(vector), lambda x: x.cast("float")).alias("embedding"))
+    counts = gram_counts(rows, keys, text, dim, gram)
+    found = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.coalesce(F.element_at("m", d), F.lit(0)) / F.col("length")).cast("float"))
+    return found.select(*keys, vector.alias("embedding"))
 
 
 def embed_with(rows: DataFrame, load: Callable, keys: list[str], text: str = "text", batch: int = BATCH) -> DataFrame:
