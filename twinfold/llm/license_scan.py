@@ -95,3 +95,29 @@ def op1_license_scan(spark, sf_dir):
     best = F.array_max(F.transform("licenses", lambda x, i: F.struct(x["dice"].alias("dice"), (-i).alias("i"))))
     first = found.select("doc_id", "licenses", F.size("licenses").alias("n_matches"), best.alias("b"))
     return first.select("doc_id", F.get("licenses", -F.col("b.i"))["license"].alias("license"), F.round(F.coalesce("b.dice", F.lit(0.0)), 6).alias("dice"), F.col("n_matches").cast("long").alias("n_matches"))
+
+
+def op1_sql(templates: tuple = TEMPLATES, least: float = LEAST_DICE) -> str:
+    """The same in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    grams = ", ".join(f"({k}, {quoted(name)}, {len(bigrams(t))}, {quoted(b)})" for k, (name, t) in enumerate(templates) for b in bigrams(t))
+    return rf"""
+WITH tpl(k, license, size, gram) AS (VALUES {grams}),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, t, string_split(t, chr(10)) AS l, string_split(regexp_replace(t, '\n[ \t\r]*\n', chr(1), 'g'), chr(1)) AS b FROM d),
+p AS (SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS pos FROM a
+  UNION ALL SELECT doc_id, unnest(b), generate_subscripts(b, 1) + 1000000 FROM a WHERE len(b) > 1 UNION ALL SELECT doc_id, t, 2000000 FROM a),
+u AS (SELECT doc_id, unit, min(pos) AS pos FROM p GROUP BY doc_id, unit),
+w AS (SELECT doc_id, pos, regexp_extract_all(lower(unit), '[a-z0-9]+') AS w FROM u),
+k AS (SELECT doc_id, pos, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) > 1),
+g AS (SELECT DISTINCT doc_id, pos, w[i] || ' ' || w[i + 1] AS gram FROM k),
+n AS (SELECT doc_id, pos, count(*) AS n FROM g GROUP BY doc_id, pos),
+m AS (SELECT g.doc_id AS doc_id, g.pos AS pos, tpl.k AS k, tpl.license AS license, 2.0::DOUBLE * count(*) / (tpl.size + any_value(n.n)) AS dice
+  FROM g JOIN tpl ON tpl.gram = g.gram JOIN n ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY g.doc_id, g.pos, tpl.k, tpl.license, tpl.size),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY dice DESC, k) AS r FROM m WHERE dice >= {least}),
+o AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_matches, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, pos) AS best FROM b WHERE r = 1)
+SELECT d.doc_id AS doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM d LEFT JOIN o ON o.doc_id = d.doc_id AND best = 1
+"""
+
+
+OP1_SQL = op1_sql()

@@ -107,3 +107,26 @@ def op10_quality(spark, sf_dir):
     kept = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     m = F.col("measures")
     return kept.select("doc_id", m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), (~passes(F.col("failures"), "base-1")).alias("base_failed"), passes(F.col("failures"), "web-1").alias("kept"), "failures")
+
+
+def op10_sql() -> str:
+    """The same in SQL."""
+    bits = " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, (_, test) in enumerate(RULES))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2),
+s AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k], w[k + 1], w[k + 2]) AS n FROM k),
+c AS (SELECT doc_id, k FROM s WHERE n > 1 UNION SELECT doc_id, k + 1 FROM s WHERE n > 1 UNION SELECT doc_id, k + 2 FROM s WHERE n > 1),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id AS doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digits, length(regexp_replace(t, '[^.!?:;\n|]+', '', 'g')) AS n_ends
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id),
+f AS (SELECT *, ({bits})::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {mask("base-1")}) <> 0 AS base_failed, (failures & {mask("web-1")}) = 0 AS kept, failures FROM f
+"""
+
+
+OP10_SQL = op10_sql()

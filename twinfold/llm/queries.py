@@ -2,10 +2,10 @@
 
 from twinfold.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from twinfold.llm.langid import op4_langid
-from twinfold.llm.license_scan import op1_license_scan
+from twinfold.llm.license_scan import OP1_SQL, op1_license_scan
 from twinfold.llm.mixing import OP8_SQL, op8_mixing
 from twinfold.llm.packing import op5_packing
-from twinfold.llm.quality import op10_quality
+from twinfold.llm.quality import OP10_SQL, op10_quality
 from twinfold.llm.sharding import op2_sharding
 from twinfold.llm.simhash import op6_simhash
 from twinfold.llm.toxicity import op3_toxicity
@@ -25,7 +25,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_license_scan": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op10_quality": OP10_SQL,
 }
