@@ -132,3 +132,24 @@ def test_written_tsv(spark, tmp_path):
     exports.write_tsv(exports.tsv_lines(pairs), str(tmp_path / "out"))
     text = spark.read.option("wholetext", True).text(str(tmp_path / "out")).where("pair_id = 'p'").first()["value"]
     assert text.splitlines()[-1] == "a\tb\t0.5000" and text.startswith("# exported_by")
+
+
+def test_spine(spark):
+    import io
+    import zipfile
+
+    from twinfold.sources import spine
+
+    def book(files):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        return data.getvalue()
+
+    opf = '<opf:package xmlns:opf="x"><manifest><opf:item id="a" href="a.xhtml"/><item href="b.html" id="b"/><item id="n" href="toc.xhtml"/><item id="v" href="v.xhtml" properties="nav"/><item id="i" href="i.png"/><item id="m" href="missing.xhtml"/></manifest><spine><itemref idref="n"/><itemref idref="b"/><itemref idref="v"/><itemref idref="i"/><itemref idref="zz"/><itemref idref="m"/><itemref idref="a"/></spine></opf:package>'
+    good = book({"META-INF/container.xml": '<container><rootfile full-path="c.opf"/></container>', "c.opf": opf, "a.xhtml": "<p>One.</p><p>Two.</p>", "b.html": "<p>First.</p>", "toc.xhtml": "x", "v.xhtml": "y", "i.png": "z"})
+    df = spark.createDataFrame([(1, good), (2, b"not a zip"), (3, None), (4, book({"x": "y"}))], "book_id int, content binary")
+    pages = spine.spine(spine.members(df))
+    assert rows(pages.select("book_id", "spine_pos", "path"), "spine_pos") == [(1, 0, "b.html"), (1, 1, "a.xhtml")]
+    assert rows(spine.book_paragraphs(pages), "para_idx") == [(1, 0, "First."), (1, 1, "One."), (1, 2, "Two.")]

@@ -9,7 +9,7 @@ from twinfold.operators import align, catalog, display, progress, search, senten
 from twinfold.plans import align_books as plan
 from twinfold.plans import inputs
 from twinfold.sinks import exports
-from twinfold.sources import markup, pair_tsv, records
+from twinfold.sources import markup, pair_tsv, records, spine
 from twinfold.sources import paragraphs as paras
 
 QUERIES: dict = {}
@@ -52,16 +52,47 @@ def align_score(spark, sf_dir):
     return align.scores(src, tgt).withColumn("score", r6(F.col("score")))
 
 
-@query()
+GAP = -0.05
+
+#: Score table row by row, then the path back from its end, for the full band.
+MOVES = "WITH RECURSIVE " + inputs.SEQUENCES + f""",
+size AS (SELECT s.pair_id AS pair_id, m, n FROM (SELECT pair_id, count(*) AS m FROM src GROUP BY pair_id) s JOIN (SELECT pair_id, count(*) AS n FROM tgt GROUP BY pair_id) t ON s.pair_id = t.pair_id),
+sims AS (SELECT src.pair_id AS pair_id, i, j, list_dot_product(a::DOUBLE[], b::DOUBLE[]) AS sim FROM src JOIN tgt ON src.pair_id = tgt.pair_id),
+dp AS (
+  SELECT pair_id, 0::BIGINT AS i, j::BIGINT AS j, (j * {GAP})::DOUBLE AS v, 2 AS kind FROM size, range(0, 100000) r(j) WHERE j <= n
+  UNION ALL
+  SELECT pair_id, i, j, v, CASE WHEN diag >= v - 1e-5 THEN 0 WHEN up >= v - 1e-5 THEN 1 ELSE 2 END AS kind
+  FROM (SELECT *, max(greatest(diag, up) - j * {GAP}) OVER (PARTITION BY pair_id ORDER BY j) + j * {GAP} AS v
+    FROM (SELECT d.pair_id AS pair_id, d.i + 1 AS i, d.j AS j, CASE WHEN d.j = 0 THEN (d.i + 1) * {GAP} ELSE d.v + {GAP} END AS up, coalesce(d.before + s.sim, -1e18) AS diag
+      FROM (SELECT *, lag(v) OVER (PARTITION BY pair_id ORDER BY j) AS before FROM dp) d
+      LEFT JOIN sims s ON s.pair_id = d.pair_id AND s.i = d.i AND s.j = d.j - 1 JOIN size z ON z.pair_id = d.pair_id WHERE d.i < z.m))),
+back AS (
+  SELECT pair_id, m AS i, n AS j, 0 AS step, -1 AS kind FROM size
+  UNION ALL
+  SELECT pair_id, i - CASE WHEN k = 2 THEN 0 ELSE 1 END AS i, j - CASE WHEN k = 1 THEN 0 ELSE 1 END AS j, step + 1 AS step, k AS kind
+  FROM (SELECT b.pair_id AS pair_id, b.i AS i, b.j AS j, b.step AS step, CASE WHEN b.i = 0 THEN 2 WHEN b.j = 0 THEN 1 ELSE d.kind END AS k
+    FROM back b JOIN dp d ON d.pair_id = b.pair_id AND d.i = b.i AND d.j = b.j WHERE b.i > 0 OR b.j > 0)),
+moves AS (SELECT b.pair_id::VARCHAR AS pair_id, (row_number() OVER (PARTITION BY b.pair_id ORDER BY step DESC) - 1)::INT AS pair_seq,
+  CASE WHEN kind <> 2 THEN b.i::INT END AS src_global_idx, CASE WHEN kind <> 1 THEN b.j::INT END AS tgt_global_idx,
+  CASE kind WHEN 0 THEN '1:1' WHEN 1 THEN '1:0' ELSE '0:1' END AS alignment_type, CASE WHEN kind = 0 THEN round(s.sim, 6) END AS confidence
+  FROM back b LEFT JOIN sims s ON s.pair_id = b.pair_id AND s.i = b.i AND s.j = b.j WHERE kind >= 0)
+"""
+
+
+@query(MOVES + "SELECT pair_id, pair_seq, src_global_idx, tgt_global_idx, alignment_type, confidence FROM moves")
 def align_moves(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
-    return align.align(src, tgt).withColumn("confidence", r6(F.col("confidence")))
+    return align.align(src, tgt, fraction=1.0, gap=GAP).withColumn("confidence", r6(F.col("confidence")))
 
 
-@query()
+@query(MOVES + """
+SELECT pair_id, count(*) FILTER (WHERE alignment_type = '1:1') AS matched, count(*) FILTER (WHERE alignment_type = '1:0') AS src_gaps, count(*) FILTER (WHERE alignment_type = '0:1') AS tgt_gaps,
+count(*) FILTER (WHERE alignment_type <> '0:1') AS n_src, count(*) FILTER (WHERE alignment_type <> '1:0') AS n_tgt,
+floor(100.0 * count(*) FILTER (WHERE alignment_type = '1:1') / count(*) + 0.5)::BIGINT AS match_pct, bool_or(confidence IS NOT NULL) AS has_confidence FROM moves GROUP BY pair_id
+""")
 def align_summary(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
-    return align.summary(align.align(src, tgt))
+    return align.summary(align.align(src, tgt, fraction=1.0, gap=GAP))
 
 
 @query("WITH " + inputs.SEQUENCES + """
@@ -330,6 +361,38 @@ def page_images(spark, sf_dir):
     return markup.image_refs(inputs.table(spark, sf_dir, "pages"), F.concat(F.lit("OEBPS/text/"), F.col("page_id"), F.lit(".xhtml")))
 
 
+def zipped_books(spark, sf_dir):
+    """Pages as zipped books of five: the second page is left out of the spine, the third is its navigation."""
+
+    def run(frame):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        ids = sorted(frame["page_id"])
+        html = dict(zip(frame["page_id"], frame["html"], strict=True))
+        item = "".join(f'<item id="p{k}" href="text/{k}.xhtml"{" properties='nav'" if k % 5 == 2 else ""}/>' for k in ids)
+        ref = "".join(f'<itemref idref="p{k}"/>' for k in reversed(ids) if k % 5 != 1)
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
+            z.writestr("OEBPS/content.opf", f"<package><manifest>{item}</manifest><spine>{ref}<itemref idref='none'/></spine></package>")
+            for k in ids:
+                z.writestr(f"OEBPS/text/{k}.xhtml", html[k] or "")
+        return pd.DataFrame({"book_id": [int(ids[0]) // 5], "content": [data.getvalue()]})
+
+    pages = inputs.table(spark, sf_dir, "pages").select("page_id", "html", F.floor(F.col("page_id") / 5).alias("b"))
+    return pages.groupBy("b").applyInPandas(run, "book_id long, content binary")
+
+
+@query("""SELECT page_id // 5 AS book_id, (row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id DESC) - 1)::INT AS spine_pos, 'OEBPS/text/' || page_id || '.xhtml' AS path, length(html)::BIGINT AS n
+FROM pages WHERE page_id % 5 NOT IN (1, 2) AND html <> ''""")
+def book_spines(spark, sf_dir):
+    found = spine.spine(spine.members(zipped_books(spark, sf_dir)))
+    return found.select("book_id", "spine_pos", "path", F.char_length("xhtml").cast("long").alias("n"))
+
+
 @query(r"""
 SELECT page_id, CASE WHEN instr(html, '<h1>') > 0 AND instr(html, '</h1>') > 0 THEN regexp_replace(substr(html, instr(html, '<h1>') + 4, instr(html, '</h1>') - instr(html, '<h1>') - 4), '^\s+|\s+$', '', 'g') END AS title,
 nullif(regexp_extract(html, '(?i)charset\s*=\s*["'']?\s*([^"''\s;>]+)', 1), '') AS charset FROM pages
