@@ -54,16 +54,17 @@ def align_score(spark, sf_dir):
 
 GAP = -0.05
 
-#: Score table row by row, then the path back from its end, for the full band.
-MOVES = "WITH RECURSIVE " + inputs.SEQUENCES + f""",
+#: Score table row by row, then the path back from its end, for the full band, of src (pair_id, i, a) and tgt (pair_id, j, b).
+def moves_sql(sequences: str, gap: float) -> str:
+    return "WITH RECURSIVE " + sequences + f""",
 size AS (SELECT s.pair_id AS pair_id, m, n FROM (SELECT pair_id, count(*) AS m FROM src GROUP BY pair_id) s JOIN (SELECT pair_id, count(*) AS n FROM tgt GROUP BY pair_id) t ON s.pair_id = t.pair_id),
 sims AS (SELECT src.pair_id AS pair_id, i, j, list_dot_product(a::DOUBLE[], b::DOUBLE[]) AS sim FROM src JOIN tgt ON src.pair_id = tgt.pair_id),
 dp AS (
-  SELECT pair_id, 0::BIGINT AS i, j::BIGINT AS j, (j * {GAP})::DOUBLE AS v, 2 AS kind FROM size, range(0, 100000) r(j) WHERE j <= n
+  SELECT pair_id, 0::BIGINT AS i, j::BIGINT AS j, (j * {gap})::DOUBLE AS v, 2 AS kind FROM size, range(0, 100000) r(j) WHERE j <= n
   UNION ALL
   SELECT pair_id, i, j, v, CASE WHEN diag >= v - 1e-5 THEN 0 WHEN up >= v - 1e-5 THEN 1 ELSE 2 END AS kind
-  FROM (SELECT *, max(greatest(diag, up) - j * {GAP}) OVER (PARTITION BY pair_id ORDER BY j) + j * {GAP} AS v
-    FROM (SELECT d.pair_id AS pair_id, d.i + 1 AS i, d.j AS j, CASE WHEN d.j = 0 THEN (d.i + 1) * {GAP} ELSE d.v + {GAP} END AS up, coalesce(d.before + s.sim, -1e18) AS diag
+  FROM (SELECT *, max(greatest(diag, up) - j * {gap}) OVER (PARTITION BY pair_id ORDER BY j) + j * {gap} AS v
+    FROM (SELECT d.pair_id AS pair_id, d.i + 1 AS i, d.j AS j, CASE WHEN d.j = 0 THEN (d.i + 1) * {gap} ELSE d.v + {gap} END AS up, coalesce(d.before + s.sim, -1e18) AS diag
       FROM (SELECT *, lag(v) OVER (PARTITION BY pair_id ORDER BY j) AS before FROM dp) d
       LEFT JOIN sims s ON s.pair_id = d.pair_id AND s.i = d.i AND s.j = d.j - 1 JOIN size z ON z.pair_id = d.pair_id WHERE d.i < z.m))),
 back AS (
@@ -79,6 +80,9 @@ moves AS (SELECT b.pair_id::VARCHAR AS pair_id, (row_number() OVER (PARTITION BY
 """
 
 
+MOVES = moves_sql(inputs.SEQUENCES, GAP)
+
+
 @query(MOVES + "SELECT pair_id, pair_seq, src_global_idx, tgt_global_idx, alignment_type, confidence FROM moves")
 def align_moves(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
@@ -188,10 +192,32 @@ def text_facts(spark, sf_dir):
 # ---------------------------------------------------------------- whole pipelines
 
 
-@query()
+BOOK_VECTORS = inputs.SENTENCES + """,
+jobs AS (SELECT source AS pair_id, min(CASE WHEN lang = 'en' THEN doc_id END) AS s, min(CASE WHEN lang = 'fr' THEN doc_id END) AS t FROM documents GROUP BY source),
+used AS (SELECT pair_id, 0 AS side, s AS book_id FROM jobs WHERE s IS NOT NULL AND t IS NOT NULL UNION ALL SELECT pair_id, 1, t FROM jobs WHERE s IS NOT NULL AND t IS NOT NULL),
+padded AS (SELECT pair_id, side, global_idx, ' ' || lower(text) || ' ' AS t FROM sentences JOIN used ON used.book_id = sentences.book_id),
+grams AS (SELECT pair_id, side, global_idx, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS k FROM padded),
+dims AS (SELECT pair_id, side, global_idx, ('0x' || substr(md5(substr(t, k, 3)), 1, 8))::BIGINT % 64 AS d, count(*) AS n FROM grams GROUP BY pair_id, side, global_idx, d),
+lens AS (SELECT pair_id, side, global_idx, sqrt(sum(n * n)::DOUBLE) AS len FROM dims GROUP BY pair_id, side, global_idx),
+axes AS (SELECT pair_id, side, global_idx, len, unnest(range(0, 64)) AS d FROM lens),
+vecs AS (SELECT x.pair_id AS pair_id, x.side AS side, x.global_idx AS global_idx, list((coalesce(n, 0) / len)::FLOAT ORDER BY x.d) AS v
+  FROM axes x LEFT JOIN dims g ON g.pair_id = x.pair_id AND g.side = x.side AND g.global_idx = x.global_idx AND g.d = x.d GROUP BY x.pair_id, x.side, x.global_idx),
+src AS (SELECT pair_id, global_idx::BIGINT AS i, v AS a FROM vecs WHERE side = 0),
+tgt AS (SELECT pair_id, global_idx::BIGINT AS j, v AS b FROM vecs WHERE side = 1)
+"""
+
+BOOK_PAIRS = moves_sql(BOOK_VECTORS, GAP) + """,
+texts AS (SELECT pair_id, side, global_idx, sent_idx, para_idx, text FROM sentences JOIN used ON used.book_id = sentences.book_id),
+book_pairs AS (SELECT m.pair_id AS pair_id, pair_seq, coalesce(s.text, '') AS src_text, coalesce(t.text, '') AS tgt_text, s.sent_idx AS src_sent_idx, s.para_idx AS src_para_idx, src_global_idx, t.sent_idx AS tgt_sent_idx, t.para_idx AS tgt_para_idx, tgt_global_idx, alignment_type, confidence
+  FROM moves m LEFT JOIN texts s ON s.pair_id = m.pair_id AND s.side = 0 AND s.global_idx = m.src_global_idx LEFT JOIN texts t ON t.pair_id = m.pair_id AND t.side = 1 AND t.global_idx = m.tgt_global_idx)
+"""
+
+
+@query(BOOK_PAIRS + "SELECT * FROM book_pairs")
 def align_languages(spark, sf_dir):
     books = inputs.books(spark, sf_dir)
-    return plan.align_books(plan.language_jobs(books), inputs.paragraphs(spark, sf_dir)).withColumn("confidence", r6(F.col("confidence")))
+    pairs = plan.align_books(plan.language_jobs(books), inputs.paragraphs(spark, sf_dir), band=1.0, gap=GAP)
+    return pairs.withColumn("confidence", r6(F.col("confidence")))
 
 
 @query()
@@ -351,14 +377,41 @@ def book_images(spark, sf_dir):
 # ---------------------------------------------------------------- markup and items
 
 
-@query()
+def blocks_sql() -> str:
+    decoded = "text"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        decoded = f"replace({decoded}, '&{name};', '{char}')"
+    ends = ", ".join(f"'{t}'" for t in markup.BLOCK_TAGS)
+    return rf"""
+WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<rt\b[^>]*>.*?</rt\s*>', '', 'g'), '(?is)^.*?<body\b[^>]*>', ''), '{markup.TOKEN}') AS tokens FROM pages),
+u AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM b),
+t AS (SELECT page_id, pos, CASE WHEN starts_with(token, '<') THEN lower(regexp_extract(token, '^</?\s*([A-Za-z][A-Za-z0-9:]*)', 1)) END AS tag, starts_with(token, '</') AS closing,
+  CASE WHEN NOT starts_with(token, '<') THEN regexp_replace(token, '[ \t]*[\n\r]+[ \t]*', ' ', 'g') END AS text FROM u WHERE NOT regexp_matches(token, '(?is)^(<!|<script|<style|<\?)')),
+f AS (SELECT *, sum(CASE WHEN tag IN ({ends}) THEN 1 ELSE 0 END) OVER w AS p_part, sum(CASE WHEN tag IN ({ends}, 'br', 'img') THEN 1 ELSE 0 END) OVER w AS br_part
+  FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, bool_or(coalesce(tag = 'p' AND NOT closing, false)) OVER (PARTITION BY page_id, p_part) AS in_p FROM f),
+n AS (SELECT *, bool_or(in_p AND text IS NOT NULL AND regexp_matches({decoded}, '\S')) OVER (PARTITION BY page_id) AS by_p FROM g),
+j AS (SELECT page_id, CASE WHEN by_p THEN p_part ELSE br_part END AS part, string_agg(text, '' ORDER BY pos) AS text FROM n WHERE text IS NOT NULL AND (in_p OR NOT by_p) GROUP BY page_id, CASE WHEN by_p THEN p_part ELSE br_part END),
+k AS (SELECT page_id, part, regexp_replace({decoded}, '^\s+|\s+$', '', 'g') AS text FROM j)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY part) - 1)::INT AS block_idx, text FROM k WHERE text <> ''
+"""
+
+
+@query(blocks_sql())
 def page_blocks(spark, sf_dir):
     return markup.blocks(inputs.table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"'']+)"', 1) AS l FROM pages),
+u AS (SELECT page_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM l),
+d AS (SELECT page_id, name, min(pos) AS pos FROM u GROUP BY page_id, name)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS image_idx, 'OEBPS/img/' || name AS asset_id, 'application/octet-stream' AS mime_type FROM d
+""")
 def page_images(spark, sf_dir):
-    return markup.image_refs(inputs.table(spark, sf_dir, "pages"), F.concat(F.lit("OEBPS/text/"), F.col("page_id"), F.lit(".xhtml")))
+    """Local links taken for pictures beside the page."""
+    pages = inputs.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", '<a href="/', '<img src="../img/').alias("html"))
+    return markup.image_refs(pages, F.concat(F.lit("OEBPS/text/"), F.col("page_id"), F.lit(".xhtml")))
 
 
 def zipped_books(spark, sf_dir):
