@@ -414,3 +414,11 @@ def test_link_propagation(spark, none):
             rank[y] += 0.85 * now[x] * share
     assert got[6]["trust"] == pytest.approx(rank["other.com"]) and got[7]["trust"] == pytest.approx(rank["both.com"])
     assert url_filter.judge(none.selectExpr("doc_id page_id", "text url", "lang html")).count() == 0
+
+
+def test_other_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "q", 1, 2, 3), (1, "a b", "s", "r", 3, 4, 5), (2, "c d e", "t", "z", 5, 6, 7)], "doc_id long, text string, source string, row string, key int, hash int, id int")
+    assert sorted(map(tuple, exact_dedup.drop_duplicates(df).drop("row", "key", "hash", "id").collect())) == [(1, "a b", "s"), (2, "c d e", "t")]
+    assert set(map(tuple, mixing.mix(df).collect())) <= set(map(tuple, df.collect()))
+    assert sorted(map(tuple, quality.ledger(df).select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, license_scan.scan(df).select(df.columns).collect())) == sorted(map(tuple, df.collect()))

@@ -52,13 +52,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with one row of each group of equal texts: the one with the smallest id."""
     found = checkpointed(duplicate_groups(docs, id_col, text_col, support).where("not kept"))
     again = F.col(id_col).eqNullSafe(F.col("keep_id"))  # the row that stays, repeated
-    lost = found.where(~again).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_text_sha256", digest(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_sha256") == F.col("_digest"))
-    left = marked.join(broadcast_if_small(lost, lost.count(), 128), same, "left_anti")
+    lost = found.where(~again).select(F.col(id_col).alias("lost_id"), F.col("text_sha256").alias("lost_digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest"))
+    left = rows.join(broadcast_if_small(lost, lost.count(), 128), same, "left_anti")
     if not found.where(again).isEmpty():
-        left = left.dropDuplicates([id_col, "_text_sha256"])
-    return left.select(*docs.columns)
+        left = left.dropDuplicates(["id", "digest"])
+    return left.select("row.*")
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -88,10 +88,9 @@ def times(hash_: Column) -> Column:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` in the mix: each row as often as it is taken; texts are not shuffled."""
     _, plan, n = mixing_plan(docs, weights, cap, seed, id_col, text_col, source_col)
-    plan = broadcast_if_small(plan.select(F.col("key").alias("_key"), "repeats", "cut").select("_key", F.struct("repeats", "cut").alias("_plan")), n, 64)
-    taken = F.col("_plan.repeats") + (order_hash(F.col(id_col), seed) < F.col("_plan.cut")).cast("long")
-    joined = docs.withColumn("_key", source_key(F.col(source_col))).join(plan, "_key").withColumn("_n", taken).where("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), source_key(F.col(source_col)).alias("key"), order_hash(F.col(id_col), seed).alias("hash"))
+    joined = rows.join(broadcast_if_small(plan.select("key", "repeats", "cut"), n, 64), "key").withColumn("n", times(F.col("hash"))).where("n > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir):
