@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters between words, as a regex class body.
@@ -14,8 +14,8 @@ SPACE = r"\x20\x09-\x0D"
 BROADCAST_BYTES = 32 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+#: Bounds of an Arrow batch of whole texts; one text may be larger.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -32,6 +32,16 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to send whole texts to Python in batches of bounded rows and bytes."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+    return df
+
+
 def words(text: Column) -> Column:
     """Words of a text: runs of anything but ASCII white space; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import broadcast_if_small, held_out
+from twinfold.llm.common import broadcast_if_small, held_out, text_batches
 
 #: Hashed presence bits for each n-gram length.
 BITS = {1: 512, 2: 2048, 3: 8192}
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array([np.packbits(bits[k]).tobytes() for k in keep], pa.binary())], ["lang", "h", "bits"])
 
-    found = sorted((r["h"], r["lang"], r["bits"]) for r in sample.mapInArrow(packed, "lang string, h long, bits binary").collect())
+    found = sorted((r["h"], r["lang"], r["bits"]) for r in text_batches(sample).mapInArrow(packed, "lang string, h long, bits binary").collect())
     langs = sorted({lang for _, lang, _ in found})
     if not langs:
         return [], b"", np.zeros((1, 0))
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0))], [*part.schema.names, "lang_pred", "lang_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return text_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
 
 
 def op4_langid(spark, sf_dir):

@@ -24,14 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import broadcast_if_small, held_out
+from twinfold.llm.common import broadcast_if_small, held_out, text_batches
 
 SAMPLE, LEXICON, THRESHOLD = 6000, 4000, 0.3
 #: Lengths of the word beginnings that may be learnt.
 STEMS = range(4, 9)
 #: Learnt entries are met in so many toxic documents, with so large a log-odds of being there.
 LEAST, ODDS = 4, 2.0
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 SEEDS = {
@@ -42,6 +42,7 @@ SEEDS = {
     REPORT: "said says wrote writes claimed quoted reported called according told sagte dit dijo",
 }
 SEED_WEIGHT = 2.0
+NOTHING = (OTHER, 0.0)
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -85,7 +86,7 @@ class Scorer:
             got = self.exact.get(word)
             if got is None:
                 x = max((self.stems.get(word[:n], 0.0) for n in STEMS if n <= len(word)), default=0.0) if self.stems else 0.0
-                got = (INSULT, x) if x else (OTHER, 0.0)
+                got = (INSULT, x) if x else NOTHING
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[word] = got
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             f = [scorer.features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], ["y", "f"])
 
-    made = rows.select("y", "text").mapInArrow(run, "y int, f array<double>").collect()
+    made = text_batches(rows).select("y", "text").mapInArrow(run, "y int, f array<double>").collect()
     rows.unpersist()
     x, y = np.array([r["f"] for r in made]), np.array([r["y"] for r in made], dtype=float)
     # back to the share of each class among all labels
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "toxicity"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, toxicity double")
+    return text_batches(docs).mapInArrow(run, f"{fields}, toxicity double")
 
 
 def op3_toxicity(spark, sf_dir):
