@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.sources.records import EXPORTER, VERSION
@@ -51,5 +51,6 @@ def distinct_images(refs: DataFrame, order: list, key: str = "book_id") -> DataF
     return refs.withColumn("_n", first).where("_n = 1").drop("_n").withColumn("file_name", name)
 
 
-def has_scores(pairs: DataFrame, flag: Column | None = None) -> DataFrame:
+def has_scores(pairs: DataFrame) -> DataFrame:
+    """(pair_id, has_confidence): whether any 1:1 row has a score."""
     return pairs.groupBy("pair_id").agg(F.bool_or((F.col("alignment_type") == "1:1") & F.col("confidence").isNotNull()).alias("has_confidence"))
