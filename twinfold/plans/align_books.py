@@ -13,13 +13,17 @@ def sequences(jobs: DataFrame, rows: DataFrame, side: str, key: str = "book_id")
     return jobs.select("pair_id", F.col(f"{side}_book_id").alias(key)).join(rows, key)
 
 
+def books_of(jobs: DataFrame, books: DataFrame, key: str = "book_id") -> DataFrame:
+    """The rows of ``books`` that a job uses, so that no other book is read further."""
+    return books.join(jobs.select(F.explode(F.array("src_book_id", "tgt_book_id")).alias(key)).distinct(), key, "left_semi")
+
+
 def align_books(jobs: DataFrame, paragraphs: DataFrame, rules: list[tuple[str, str]] | None = None, cap: int = sentences.CAP, band: float = align.BAND, gap: float = align.GAP, key: str = "book_id") -> DataFrame:
     """Pair rows of all jobs (pair_id, src_book_id, tgt_book_id), from paragraphs (key, para_idx, text).
 
     Only the books of a job are split and embedded, each once however many jobs it is in.
     """
-    used = jobs.select(F.explode(F.array("src_book_id", "tgt_book_id")).alias(key)).distinct()
-    wanted = paragraphs.join(used, key, "left_semi")
+    wanted = books_of(jobs, paragraphs, key)
     if rules:
         wanted = sentences.clean(wanted, sentences.valid_rules(wanted.sparkSession, rules))
     parts = sentences.sentences(wanted, key, cap)

@@ -17,7 +17,12 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_paragraphs(books(spark, sf_dir), delimiter="\n")
+    return lines_of(books(spark, sf_dir))
+
+
+def lines_of(some_books: DataFrame) -> DataFrame:
+    """Each line of a book as a paragraph."""
+    return text_paragraphs(some_books, delimiter="\n")
 
 
 def label_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

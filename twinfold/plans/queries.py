@@ -216,14 +216,16 @@ book_pairs AS (SELECT m.pair_id AS pair_id, pair_seq, coalesce(s.text, '') AS sr
 @query(BOOK_PAIRS + "SELECT * FROM book_pairs")
 def align_languages(spark, sf_dir):
     books = inputs.books(spark, sf_dir)
-    pairs = plan.align_books(plan.language_jobs(books), inputs.paragraphs(spark, sf_dir), band=1.0, gap=GAP)
+    jobs = plan.language_jobs(books)
+    pairs = plan.align_books(jobs, inputs.lines_of(plan.books_of(jobs, books)), band=1.0, gap=GAP)
     return pairs.withColumn("confidence", r6(F.col("confidence")))
 
 
 @query()
 def align_versions(spark, sf_dir):
     books = inputs.books(spark, sf_dir)
-    return align.summary(plan.align_books(plan.version_jobs(books), inputs.paragraphs(spark, sf_dir)))
+    jobs = plan.version_jobs(books)
+    return align.summary(plan.align_books(jobs, inputs.lines_of(plan.books_of(jobs, books))))
 
 
 # ---------------------------------------------------------------- pairs
