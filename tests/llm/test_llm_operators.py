@@ -85,10 +85,10 @@ def test_exact_odd_tables(spark, none):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in exact_dedup.drop_duplicates(df).collect()) == [(0, ""), (1, "a")]
 
 
-def plain_print(text):
+def plain_print(text, seed=42):
     w = WORD.findall((text or "").translate(simhash.LOWER))
     s = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
-    ones = [sum(xxhash.xxh64_intdigest(x, 42) >> b & 1 for x in s) for b in range(64)]
+    ones = [sum(xxhash.xxh64_intdigest(x, seed) >> b & 1 for x in s) for b in range(64)]
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(s))
 
 
@@ -136,6 +136,27 @@ def groups(member):
     return out.values()
 
 
+def test_more_seeds_link_more(spark):
+    rng = np.random.default_rng(11)
+    data = []
+    for k in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        data.append((2 * k, " ".join(w)))
+        w[70] = "other"
+        data.append((2 * k + 1, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    prints = {s: {k: plain_print(t, s) for k, t in data} for s in (42, 43, 44)}
+    for seeds in ((42,), (42, 43, 44)):
+        up = {k: k for k, _ in data}
+        for a, b in itertools.combinations(up, 2):
+            if any(bin(prints[s][a] ^ prints[s][b]).count("1") <= 3 for s in seeds):
+                low, high = sorted((up[a], up[b]))
+                up = {k: low if v == high else v for k, v in up.items()}
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, seeds=seeds).collect()}
+        assert got == up
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df, seeds=(42, 43, 44)).collect()} == set(up.values())
+
+
 def test_chain_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

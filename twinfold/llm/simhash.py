@@ -21,50 +21,55 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import SPACE, broadcast_if_small, checkpointed
+from twinfold.llm.common import SPACE, broadcast_if_small, checkpointed, text_batches
 
-SHINGLE, BUDGET, BLOCKS = 3, 3, 4
+SHINGLE, BUDGET, BLOCKS, SEEDS = 3, 3, 4, (42,)
 #: Fingerprints of one block value that a task may join at once; larger groups are split.
 GROUP = 200_000
+#: A fingerprint of this share of documents or more is joined by broadcast.
+FREQUENT = 0.001
 #: Node pairs walked at once.
 WALK = 1 << 18
 #: Shingles hashed at once.
 HASHED = 50_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """64 bits: each set in more than half of the shingles' XXH64 (seed 42)."""
+def fingerprints_of(text: str, shingle: int = SHINGLE, seeds: tuple = SEEDS) -> list[int]:
+    """For each seed 64 bits: each set in more than half of the shingles' XXH64 with that seed."""
     import re
 
     import xxhash
 
     words = re.findall(f"[^{SPACE}]+", (text or "").translate(LOWER))
     if not words:
-        return 0
+        return [0] * len(seeds)
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((len(seeds), 64), dtype=np.int64)
     digest = xxhash.xxh64_digest
     for low in range(0, n, HASHED):
         shingles = map(" ".join, zip(*(words[low + k : low + HASHED + k] for k in range(shingle)), strict=False)) if len(words) >= shingle else [" ".join(words)]
-        raw = np.frombuffer(b"".join([digest(s, 42) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        shingles = list(shingles)
+        for k, seed in enumerate(seeds):
+            raw = np.frombuffer(b"".join([digest(s, seed) for s in shingles]), dtype=np.uint8).reshape(-1, 8)
+            ones[k] += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(bits.tobytes(), "big") for bits in np.packbits(2 * ones > n, axis=1)]
 
 
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint long), one row per document."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple = SEEDS) -> DataFrame:
+    """(id, f0 long, f1 long, ...), one row per document, a column for each seed."""
+    names = [f"f{k}" for k in range(len(seeds))]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["id", "fingerprint"])
+            made = np.array([fingerprints_of(t.as_py(), shingle, seeds) for t in batch.column(1)], dtype=np.uint64).view(np.int64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in made.T]], ["id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fingerprint long")
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def walk(groups: np.ndarray, left: np.ndarray, keys: np.ndarray, budget: int, depth: int):
@@ -240,33 +245,59 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.select(ways.alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpointed(large.distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        # each node goes to its smallest neighbour, and so do its other neighbours
+        pair = F.when(F.col("v") == F.col("m"), F.struct(F.col("u"), F.col("m").alias("v"))).otherwise(F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(least, F.col("u") == F.col("w")).select(pair.alias("e")).select("e.u", "e.v")
         edges = checkpointed(small.where("u <> v").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
-    """(id, fingerprint, component_id): component_id is the smallest id reachable by links."""
-    prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    found = components(links(nodes, budget, group)).withColumnRenamed("node", "fingerprint")
-    linked = nodes.join(found, "fingerprint")
-    # at most one row per component; a component's members are distinct fingerprints
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, seeds: tuple = SEEDS, group: int = GROUP) -> DataFrame:
+    """(id, fingerprint, component_id): component_id is the smallest id reachable by links.
+
+    With several seeds documents link when any of their fingerprints do; ``fingerprint`` is the
+    first seed's. More seeds find more of the near copies that differ in about ``budget`` bits.
+    """
+    names = [f"f{k}" for k in range(len(seeds))]
+    prints = fingerprints(docs, id_col, text_col, shingle, seeds)
+    # documents with the same fingerprints are one node
+    prints = checkpointed(prints.withColumn("node", F.col("f0") if len(seeds) == 1 else F.xxhash64(*names)))
+    nodes = checkpointed(prints.groupBy("node", *names).agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    if len(seeds) == 1:
+        edges = links(nodes.select(F.col("f0").alias("fingerprint")), budget, group)
+    else:
+        edges = None
+        for f in names:
+            owner = checkpointed(nodes.groupBy(F.col(f).alias("fingerprint")).agg(F.min("node").alias("owner")))
+            same = nodes.select("node", F.col(f).alias("fingerprint")).join(owner, "fingerprint").select(F.col("node").alias("a"), F.col("owner").alias("b")).where("a <> b")
+            near = links(owner.select("fingerprint"), budget, group)
+            near = near.join(owner.select(F.col("fingerprint").alias("a"), F.col("owner").alias("x")), "a").join(owner.select(F.col("fingerprint").alias("b"), F.col("owner").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            edges = same.unionByName(near) if edges is None else edges.unionByName(same).unionByName(near)
+    found = components(edges)
+    linked = nodes.join(found, "node")
+    # at most one row per component; a component's members are distinct nodes
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(least, "root").select("fingerprint", "component")
-    named = nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    linked = linked.join(least, "root").select("node", "component")
+    named = checkpointed(nodes.join(linked, "node", "left").select("node", "n", F.coalesce("component", "least").alias("component_id")))
+    # fingerprints of many documents, at most 1 / FREQUENT of them, are joined where the documents are
+    often = F.col("n") >= FREQUENT * prints.count()
+    hot = F.broadcast(named.where(often).drop("n"))
+    rest = prints.join(hot, "node", "left_anti").join(named.where(~often).drop("n"), "node")
+    return prints.join(hot, "node").unionByName(rest).select(F.col("id").alias(id_col), F.col("f0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, seeds: tuple = SEEDS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id."""
-    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, budget))
-    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
+    found = checkpointed(near_duplicates(docs, id_col, text_col, shingle, budget, seeds))
+    lost = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lost_id"))
     lost = broadcast_if_small(lost, lost.count(), 64)
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left_anti").select("row.*")
 
 
 def op6_simhash(spark, sf_dir):
