@@ -130,7 +130,7 @@ def test_round_trips(spark):
 def test_written_tsv(spark, tmp_path):
     pairs = spark.createDataFrame([("p", 0, "a", "b", 0, 0, 0, 0, 0, 0, "1:1", 0.5), ("q", 0, "c", "d", 0, 0, 0, 0, 0, 0, "1:1", None)], PAIR)
     exports.write_tsv(exports.tsv_lines(pairs), str(tmp_path / "out"))
-    text = spark.read.option("wholetext", True).text(str(tmp_path / "out")).where("pair_id = 'p'").first()["value"]
+    text = spark.read.text(str(tmp_path / "out"), wholetext=True).where("pair_id = 'p'").first()["value"]
     assert text.splitlines()[-1] == "a\tb\t0.5000" and text.startswith("# exported_by")
 
 

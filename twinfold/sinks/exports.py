@@ -28,8 +28,9 @@ def tsv_lines(pairs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
 
 def write_tsv(lines: DataFrame, path: str) -> None:
-    """One folder per pair, its lines in order."""
-    lines.repartition("pair_id").sortWithinPartitions("pair_id", "line_no").select("pair_id", "line").write.partitionBy("pair_id").text(path)
+    """One folder per pair, its lines in order. A pair's file is one value: books are capped in sentences."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    lines.groupBy("pair_id").agg(whole.alias("value")).write.partitionBy("pair_id").text(path)
 
 
 def record_json(pairs: DataFrame, langs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
