@@ -35,3 +35,10 @@ def test_pipeline_stages(spark):
     want = {r["doc_id"] for r in docs.collect()}
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{k}" for k in range(200)]
+    data = [(0, " ".join(words))] + [(n, " ".join([*words[: 30 * n], "other", *words[30 * n + 1 :]])) for n in range(1, 6)] + [(9, "some quite different text")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect()} == {0, 9}

@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from twinfold.operators.shared import BATCH, BROADCAST_BYTES, broadcast_if_small, checkpointed, numbered, text_batches  # noqa: F401
+
 #: Characters between words, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
 
-#: A table is broadcast only when its counted rows times its row width stay below this.
-BROADCAST_BYTES = 32 << 20
-
-
-#: Bounds of an Arrow batch of whole texts; one text may be larger.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage, in the folder that the cluster shares."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``df`` marked for broadcast when ``rows`` (counted by the caller) prove that it is small."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session set to send whole texts to Python in batches of bounded rows and bytes."""
-    conf = df.sparkSession.conf
-    for key, most in BATCH.items():
-        now = conf.get(key).rstrip("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            conf.set(key, str(most))
-    return df
-
 
 def words(text: Column) -> Column:
     """Words of a text: runs of anything but ASCII white space; null gives none."""
@@ -50,17 +19,3 @@ def words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents that no model may learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
-
-
-def numbered(df: DataFrame, order: list[Column], name: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with a gapless number from 0 in the given order, without one task seeing all rows.
-
-    Rows are range-partitioned and kept; each partition numbers its own rows and adds the row count
-    of the partitions before it (a table of one row per partition).
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + here - 1).drop("_part", "_start")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.llm.common import SPACE, broadcast_if_small, checkpointed, text_batches
+from twinfold.operators.shared import components
 
 SHINGLE, BUDGET, BLOCKS, SEEDS = 3, 3, 4, (42,)
 #: Fingerprints of one block value that a task may join at once; larger groups are split.
@@ -232,31 +233,6 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges (a, b): the smallest node that it is connected with.
-
-    Alternates large-star and small-star rounds until the edges no longer change; each round is two
-    aggregations and joins by key, with the edges kept in the shared folder in between.
-    """
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
-        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        both = edges.select(ways.alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        # each node goes to its smallest neighbour, and so do its other neighbours
-        pair = F.when(F.col("v") == F.col("m"), F.struct(F.col("u"), F.col("m").alias("v"))).otherwise(F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = large.join(least, F.col("u") == F.col("w")).select(pair.alias("e")).select("e.u", "e.v")
-        edges = checkpointed(small.where("u <> v").distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, seeds: tuple = SEEDS, group: int = GROUP) -> DataFrame:
     """(id, fingerprint, component_id): component_id is the smallest id reachable by links.
 
