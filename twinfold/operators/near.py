@@ -1,11 +1,12 @@
 """Near copies among whole texts: min-hash bands propose pairs, the texts decide.
 
 Texts with one set of word shingles are one node. Nodes that agree in all hashes of a band share a
-bucket, and so do those that the caller puts into one. In each round every bucket compares its
-first node with its others, by the exact Jaccard similarity of their shingles; nodes that are near
-leave the bucket with the first one, until no bucket has two. So work grows with a bucket's size
-and the number of its different texts, not with the square of a group of copies. At a similarity
-of 0.8 a pair shares no bucket with probability (1 - 0.8^5)^25, 5 in 100,000.
+bucket, and so do those that the caller puts into one. In each round every bucket compares some
+heads (the first node; in later rounds the first of 4, 16, ... parts) with its others, by the exact
+Jaccard similarity of their shingles. Heads leave the bucket, and so do nodes that are near to a
+head before them, until no bucket has two. So work grows with a bucket's size and the number of its
+different texts, not with the square of a group of copies. At a similarity of 0.8 a pair shares no
+bucket with probability (1 - 0.8^5)^25, 5 in 100,000.
 
 Defined results: a null text is an empty text; texts without words are one node; a null id counts as
 larger than any.
@@ -112,8 +113,6 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: f
 
     # a text of many comparisons is sent to several tasks
     parts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
-    parts = checkpointed(parts)
-    parts = broadcast_if_small(parts, parts.count(), 32)
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = texts.withColumnRenamed("node", "a").join(parts, "a").select("a", F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
@@ -139,9 +138,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket")).distinct()
 
     def several(some: DataFrame) -> DataFrame:
-        """Rows of buckets with two nodes or more, with the bucket's first."""
-        heads = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        return checkpointed(some.join(broadcast_if_small(heads, heads.count(), 32), "bucket"))
+        """Rows of buckets with two nodes or more."""
+        full = some.groupBy("bucket").count().where("count > 1").select("bucket")
+        return checkpointed(some.join(full, "bucket", "left_semi"))
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.distinct())
@@ -153,12 +152,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         return checkpointed(checked(pairs, checkpointed(texts.dropDuplicates(["node"])), shingle, least))
 
     open_ = shared = several(rows)
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    edges, heads = docs.sparkSession.createDataFrame([], "a long, b long"), 1
     while not open_.isEmpty():
-        found = near(open_.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-        edges = checkpointed(edges.unionByName(found))
-        left = open_.where("node <> head").join(found, (F.col("head") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti")
-        open_ = several(left.select("node", "bucket"))
+        part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
+        first = checkpointed(open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
+        pairs = first.join(open_.withColumnRenamed("node", "b"), "bucket")
+        # a pair of heads is compared once
+        twice = first.withColumnRenamed("a", "b").withColumn("also", F.lit(True))
+        pairs = pairs.join(twice, ["bucket", "b"], "left").where("a < b or (a > b and also is null)")
+        found = near(pairs.select("a", "b"))
+        edges = edges.unionByName(found)
+        gone = first.select("bucket", F.col("a").alias("node")).unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
+        open_ = several(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
+        heads *= 4
     member = components(edges)
     if across:
         met = shared.select("node", "bucket").join(member, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
