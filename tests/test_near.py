@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from twinfold.operators import near
+from twinfold.plans import align_books as plan
 
 
 def plain_sets(data):
@@ -65,3 +66,11 @@ def test_far_texts_of_one_bucket_stay(spark):
     same = spark.createDataFrame([(k, 1) for k in range(5)], "id long, bucket long")
     assert near.drop_near_copies(df, more=same).count() == 5
     assert near.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_versions_are_near_copies_of_whole_texts(spark):
+    w = [f"w{k}" for k in range(100)]
+    rest = " ".join(w)
+    books = [(1, "Title\n" + rest), (2, "Another title\n" + rest), (3, "Title\nsomething else"), (4, "Title\n" + rest), (5, "Title\n" + rest.upper()), (6, None)]
+    found = plan.near_version_jobs(spark.createDataFrame(books, "book_id int, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [("1-2", 1, 2), ("1-5", 1, 5)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.operators import align, sentences, vectors
+from twinfold.operators import align, near, sentences, vectors
 
 
 def sequences(jobs: DataFrame, rows: DataFrame, side: str, key: str = "book_id") -> DataFrame:
@@ -45,6 +45,16 @@ def version_jobs(books: DataFrame, key: str = "book_id", text: str = "text") ->
     return found.select(F.concat_ws("-", "src_book_id", "b").alias("pair_id"), "src_book_id", F.col("b").alias("tgt_book_id"))
 
 
+def near_version_jobs(books: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
+    """Jobs between versions of a book: books whose whole texts are near copies, each with the first of them.
+
+    Books with one text are one version. A group's jobs grow with its size, not with its square.
+    """
+    found = near.groups(books, key, text, across=True)
+    versions = found.groupBy("t", F.col("group_id").alias("src_book_id")).agg(F.min("id").alias("b")).where("b <> src_book_id")
+    return versions.select(F.concat_ws("-", "src_book_id", "b").alias("pair_id"), "src_book_id", F.col("b").alias("tgt_book_id"))
+
+
 def language_jobs(books: DataFrame, source_lang: str = "en", target_lang: str = "fr", key: str = "book_id") -> DataFrame:
     """One job per source: its first book in one language with its first in the other."""
     first = lambda lang: F.min(F.when(F.col("lang") == lang, F.col(key)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinfold.functions import text as tx
 from twinfold.operators import align, catalog, display, progress, search, sentences, vectors
+from twinfold.operators.shared import checkpointed
 from twinfold.plans import align_books as plan
 from twinfold.plans import inputs
 from twinfold.sinks import exports
@@ -224,7 +225,7 @@ def align_languages(spark, sf_dir):
 @query()
 def align_versions(spark, sf_dir):
     books = inputs.books(spark, sf_dir)
-    jobs = plan.version_jobs(books)
+    jobs = checkpointed(plan.near_version_jobs(books))
     return align.summary(plan.align_books(jobs, inputs.lines_of(plan.books_of(jobs, books))))
 
 
