@@ -244,6 +244,29 @@ def test_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(encode(text), dtype="<u4").tolist() == want.ids, text
 
 
+def test_encoder_cuts_long_texts_where_ids_allow():
+    import random
+
+    model, encode = Tokenizer.from_file(BPE), packing.Encoder(BPE, segment=64, chunk=512)
+    model.encode_special_tokens = True
+    rnd = random.Random(1)
+    part = lambda: rnd.choice([" ", "\n", "x", "ab", "日本", "é", "\t ", "the ", "1", "=", "😀", "\u3000", "'s", " \n"]) * rnd.randint(1, 400)
+    some = ["".join(part() for _ in range(rnd.randint(1, 6))) for _ in range(500)]
+    some += ["".join(rnd.choice(chars) for _ in range(5000)) + end for chars in ("abcdefghijklmnopqrstuvwxyzé日本", "\n\t \u3000\xa0", "ab1!") for end in ("", "x", " x")]
+    for text, want in zip(some, model.encode_batch(some, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encode(text), dtype="<u4").tolist() == want.ids, text
+
+
+def test_packing_long_runs(spark):
+    model = Tokenizer.from_file(BPE)
+    data = [(k, t) for k, t in enumerate([" " * 2_000_000, "\n" * 1_000_000, " \n\t" * 400_000 + "x", "y" * 300_000 + " z"])]
+    got = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(data, "doc_id int, text string"), BPE).orderBy("doc_id", "start").collect():
+        got[r["doc_id"]].append(r["ids"])
+    for k, t in data:
+        assert np.frombuffer(b"".join(got[k]), dtype="<u4").tolist() == [*model.encode(t, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 1024, 1025, 2047, 2048, 2049, 9999])
 def test_cuts(n):
     cuts = list(packing.cuts(n))

@@ -14,10 +14,12 @@ looked at. Ids are emitted as little-endian unsigned 32-bit binaries.
 from __future__ import annotations
 
 import functools
+import re
 import sys
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ END_ID = 1
 SMALL = 64
 #: How byte-level BPE cuts a text before merging (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern means it, as a regex class body (a fixed value).
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters encoded at once; longer texts are encoded in segments, longer words in chunks of as many bytes.
+SEGMENT, CHUNK = 1 << 18, 1 << 16
+#: Bytes on each side of a cut that must encode alike when joined.
+JOINT = 256
 #: Distinct space-separated words whose ids a worker remembers.
 REMEMBERED = 100_000
 #: Pieces that a worker holds before it emits them.
@@ -51,11 +59,16 @@ class Encoder:
     of a text are the ids of its space-led words in turn. Texts with other runs of white space are
     encoded whole. The file's vocabulary is run by ``tiktoken``, which gives the ids that
     ``tokenizers`` gives for it several times as fast; special tokens' strings are ordinary text.
+
+    A text of more than ``segment`` characters is encoded in segments that end where a piece of the
+    pattern ends, and a piece of more than ``chunk`` bytes (a run of blanks, a word without end) in
+    chunks, so memory does not depend on what a text is made of.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, segment: int = SEGMENT, chunk: int = CHUNK):
         import json
 
+        import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -64,13 +77,16 @@ class Encoder:
         byte = byte_chars()
         ranks = {bytes(byte[c] for c in token): n for token, n in made["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.merge = tiktoken.Encoding("one piece", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, n in ranks.items():
+            self.size[n] = len(token)
+        self.piece = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
+        self.segment, self.chunk = segment, chunk
         self.words: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
-        ids = array("I", self.encode(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return packed(self.encode(text))
 
     def new(self, word: str) -> bytes:
         ids = self.raw(" " + word)
@@ -79,12 +95,89 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        return self.short(text) if len(text) <= self.segment else b"".join(self.long(text))
+
+    def short(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         got = list(map(self.words.get, rest))
         if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w, ids in zip(rest, got, strict=True) if ids is None):
             return self.raw(text)
         return self.raw(first) + b"".join([self.new(w) if ids is None else ids for w, ids in zip(rest, got, strict=True)])
 
+    def long(self, text: str) -> Iterator[bytes]:
+        """Ids of the text's segments: cut before a single space between words, else piece by piece."""
+        at = 0
+        while len(text) - at > self.segment:
+            if found := BETWEEN.search(text, at + self.segment // 2, at + self.segment):
+                yield self.short(text[at : found.start()])
+                at = found.start()
+                continue
+            ids, stop = [], at + self.segment // 2
+            for m in self.piece.finditer(text, at):
+                at = m.end()
+                if at - m.start() > self.chunk:
+                    yield packed(ids)
+                    yield from self.chunks(m.group().encode("utf-8", "replace"))
+                    ids = []
+                else:
+                    ids += self.merge(m.group())
+                if at >= stop:
+                    break
+            yield packed(ids)
+        yield self.short(text[at:])
+
+    def chunks(self, piece: bytes) -> Iterator[bytes]:
+        """Ids of one piece of the pattern.
+
+        Tokens are those of the whole piece when each neighbouring pair is: so a cut between two
+        tokens is right when the tokens around it come out again from their joined bytes.
+        """
+        at, width = 0, self.chunk
+        ids, end = self.merged(piece, at, width)
+        while end < len(piece):
+            for k in reversed(self.cuts(piece, at, ids)[: -width // 64 or None][-64:]):
+                cut = at + int(self.size[ids[: k + 1]].sum())
+                next_, next_end = self.merged(piece, cut, width)
+                if self.joined(piece, ids[: k + 1], cut, next_):
+                    yield packed(ids[: k + 1])
+                    at, ids, end = cut, next_, next_end
+                    break
+            else:
+                width *= 2
+                ids, end = self.merged(piece, at, width)
+        yield packed(ids)
+
+    def merged(self, piece: bytes, at: int, width: int) -> tuple[list[int], int]:
+        """Ids of about ``width`` bytes from ``at``, and where they end."""
+        end = min(len(piece), at + width)
+        while end < len(piece) and piece[end] & 0xC0 == 0x80:
+            end += 1
+        return self.merge(piece[at:end].decode()), end
+
+    def cuts(self, piece: bytes, at: int, ids: list[int]) -> list[int]:
+        """Tokens of ``ids`` after which a character ends."""
+        ends = at + np.cumsum(self.size[ids])
+        return [k for k, e in enumerate(ends.tolist()) if e == len(piece) or piece[e] & 0xC0 != 0x80]
+
+    def joined(self, piece: bytes, left: list[int], cut: int, right: list[int]) -> bool:
+        sizes = np.cumsum(self.size[left[::-1]])
+        before = next((k for k in range(len(left)) if sizes[k] >= JOINT and piece[cut - sizes[k]] & 0xC0 != 0x80), len(left) - 1)
+        after = next((k for k in self.cuts(piece, cut, right) if self.size[right[: k + 1]].sum() >= JOINT), len(right) - 1)
+        some = piece[cut - int(sizes[before]) : cut + int(self.size[right[: after + 1]].sum())]
+        return self.merge(some.decode()) == left[len(left) - before - 1 :] + right[: after + 1]
+
+
+#: A single space between two words.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -188,9 +281,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.extend(bins.add(doc, encode(text.as_py() or "") + end))
-                if len(out) >= EMIT:
-                    yield table()
+                for row in bins.add(doc, encode(text.as_py() or "") + end):
+                    out.append(row)
+                    if len(out) >= EMIT:
+                        yield table()
         out.extend(bins.close())
         if out:
             yield table()
