@@ -387,9 +387,68 @@ def test_held_out(spark):
 def test_grammar():
     s = toxicity.Scorer({})
     clause = lambda t: s.clause(toxicity.WORD.findall(t))
-    assert clause("you are an idiot") > clause("an idiot") > clause("not an idiot") > 0
-    assert clause("she said you are an idiot") < clause("you are an idiot")
-    assert clause("i will kill you") > clause("i will kill time") and clause("a fine day") == 0
+    assert clause("you are an idiot") > clause("an idiot") > toxicity.MATCH > 0 > clause("not an idiot")
+    assert clause("she said you are an idiot") < toxicity.MATCH < clause("you are an idiot")
+    assert clause("i will kill you") > toxicity.MATCH > clause("i will kill time") and clause("a fine day") == 0
+    assert clause("idiot and moron") > 2 * clause("idiot") and s.matches("not an idiot. an idiot")[1] == 2
+
+
+def plain_arc(kind, before, symbol):
+    """The weight that one transducer gives a symbol, from the symbols before it."""
+    w, reach = toxicity.WEIGHTS, toxicity.REACH
+    recent = lambda s, n: s in before[max(0, len(before) - n) :]
+    strong = symbol in (toxicity.INSULT, toxicity.THREAT)
+    if kind in ("target", "negation", "report"):
+        mark = {"target": toxicity.TARGET, "negation": toxicity.NEGATION, "report": toxicity.REPORT}[kind]
+        return w[{"target": "target", "negation": "negated", "report": "reported"}[kind]] if strong and recent(mark, reach[kind]) else 0.0
+    own = toxicity.INSULT if kind == "insult" else toxicity.THREAT
+    last = max((k for k, s in enumerate(before) if s == own), default=None)
+    waits = last is not None and len(before) - last <= reach[kind] and toxicity.TARGET not in before[last:]
+    if symbol == toxicity.TARGET:
+        return w[f"{kind}_target"] if waits else 0.0
+    return 0.0 if symbol != own else w["threat"] if kind == "threat" else w["again"] if waits else 0.0
+
+
+def test_composed_grammar_adds_up_its_parts():
+    rng = np.random.default_rng(8)
+    parts, whole = toxicity.transducers(), toxicity.grammar()
+    assert set(parts) == {"insult", "threat", "target", "negation", "report"}
+    for _ in range(400):
+        symbols = rng.choice(6, int(rng.integers(1, 30)), p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.1]).tolist()
+        each = {k: sum(plain_arc(k, symbols[:i], s) for i, s in enumerate(symbols)) for k in parts}
+        assert {k: t.path(symbols) for k, t in parts.items()} == pytest.approx(each)
+        assert whole.path(symbols) == pytest.approx(sum(each.values()))
+
+
+def test_grammar_flips_predictions(spark):
+    """A word of every text that is only toxic with a target near, and neither negated nor reported: its clause decides."""
+    rng = np.random.default_rng(3)
+    plain = ["lana", "mortis", "quondam", "senti", "verbatim"]
+    data, labels = [], []
+    frames = {"you idiot": 1, "idiot": 0, "never idiot": 0, "she said you idiot": 0}
+    for k in range(800):
+        frame, toxic = list(frames.items())[k % 4]
+        lead = " ".join(rng.choice(plain, 10))
+        data.append((k, f"{lead}. {frame} near lana. {lead}. {frame} near."))
+        labels.append((k, toxic))
+    df, known = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, known)
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+    wrong = lambda w: sum((r["toxicity"] >= 0.5) != dict(labels)[r["doc_id"]] for r in toxicity.score(df, model, weights=w).collect() if held(r))
+    assert wrong(toxicity.WEIGHTS) == 0
+    assert wrong({k: 0.0 for k in toxicity.WEIGHTS}) > 40
+
+
+def test_toxicity_odd_tables(spark):
+    known = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    data = [(k, f"plain words {k}. a gruffle one" if k % 2 else f"plain words {k}.", 0.25) for k in [*range(100), *range(100)]] + [(7, None, None), (None, "x", 1.0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, Toxicity double")
+    first, again = toxicity.fit(df, known), toxicity.fit(df.orderBy(F.rand(1)), known)
+    assert first[0] == again[0] and first[1] == pytest.approx(again[1])
+    got = toxicity.score(df, first)
+    assert got.columns == ["doc_id", "text", "toxicity"] and got.count() == len(data)
+    kept = toxicity.drop_toxic(df, first)
+    assert kept.columns == df.columns and kept.where("text like '%gruffle%'").count() == 0 and kept.count() == 102
 
 
 def test_toxicity(spark, none):
@@ -400,7 +459,7 @@ def test_toxicity(spark, none):
         w = list(rng.choice(plain, 60))
         if k % 6 == 0:
             for p in rng.integers(0, 60, 4):
-                w[p] = ["grubwort", "grubling", "snarkle"][int(rng.integers(3))]
+                w[p] = ["grubwort", "grubling", "grubnix", "snarkle"][int(rng.integers(4))]
         data.append((k, " ".join(w) + ".", "en", "s", 0))
         labels.append((k, int(k % 6 == 0)))
     data += [(1000, None, None, None, 0), (1001, "", None, None, 0)]
