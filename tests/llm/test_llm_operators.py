@@ -544,21 +544,80 @@ def test_toxicity(spark, none):
     assert toxicity.score(df, unlearnt).count() == len(data)
 
 
-def test_licenses(spark, none):
-    data = [(k, "intro words\n" + t + "\nmore words") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
-    data += [(100, None), (101, ""), (102, "no licence in this text at all"), (103, "licensed under the mit licence maybe or the like of it"), (104, "released   UNDER the MIT license!")]
-    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(data, "doc_id int, text string")).collect()}
-    for k, (name, _) in enumerate(license_scan.TEMPLATES):
-        assert name in {x["license"] for x in got[k] if x["dice"] == 1.0}
-    assert got[100] == got[101] == got[102] == got[103] == [] and got[104][0]["license"] == "MIT"
+def plain_scan(text, templates=license_scan.TEMPLATES, least=0.8):
+    """(template, dice, start) of the best window of each template that matches, all windows tried."""
+    w = license_scan.words_of(text or "")
+    out = []
+    for k, (_, t) in enumerate(templates):
+        n, own = len(license_scan.words_of(t)), set(license_scan.bigrams(t))
+        best = (0.0, 0)
+        for start in range(max(0, len(w) - 1)):
+            seen = set(zip(w[start : start + n], w[start + 1 : start + n], strict=False))
+            seen = {f"{a} {b}" for a, b in seen}
+            dice = 2 * len(own & seen) / (len(own) + len(seen))
+            # of equal windows the first that begins with a bigram of the template
+            if dice > best[0] or (dice == best[0] > 0 and best[1] is None):
+                best = dice, start if f"{w[start]} {w[start + 1]}" in own else None
+        if best[0] >= least:
+            out.append((k, best[0], best[1]))
+    return out
+
+
+def license_texts():
+    """Each template whole, wrapped, inside a longer line, and with words changed, dropped and added."""
+    rng = np.random.default_rng(12)
+    out = []
+    for k, (_, t) in enumerate(license_scan.TEMPLATES):
+        w = t.split()
+        out.append("intro words " + t + " and more words after it")
+        out.append("# a header\n" + "\n".join(" * " + " ".join(w[i : i + 7]) for i in range(0, len(w), 7)) + "\nclosing line")
+        edited = list(w)
+        for _ in range(1 + len(w) // 20):
+            at = int(rng.integers(len(edited)))
+            edited[at : at + int(rng.integers(2))] = ["other"] * int(rng.integers(1, 3))
+        out.append("before it " + " ".join(edited) + " behind it")
+    return [*out, None, "", " ", "license", "no licence in this text at all", "released   UNDER the MIT license!", license_scan.TEMPLATES[0][1] * 40]
+
+
+def test_licenses_are_the_best_windows(spark, none):
+    data = list(enumerate(license_texts()))
+    got = {r["doc_id"]: [(x["template"], x["dice"], x["start"]) for x in r["licenses"]] for r in license_scan.scan(spark.createDataFrame(data, "doc_id int, text string")).collect()}
+    edited = 0
+    for k, t in data:
+        want = plain_scan(t)
+        assert [x[0] for x in got[k]] == [x[0] for x in want], k
+        for (_, d, s), (_, e, z) in zip(got[k], want, strict=True):
+            assert d == pytest.approx(e) and s == z, k
+            edited += d < 1
+    assert edited > 30
+    length = lambda k: len(license_scan.words_of(license_scan.TEMPLATES[k][1]))
+    names = [license_scan.TEMPLATES[-max((d, length(k), -k) for k, d, _ in got[3 * n])[2]][0] for n in range(len(license_scan.TEMPLATES))]
+    assert names == [n for n, _ in license_scan.TEMPLATES]
     assert license_scan.scan(none).count() == 0
 
 
+def test_licenses_against_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    data = [(k, t) for k, t in enumerate(license_texts())]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    documents = pa.table({"doc_id": [k for k, _ in data], "text": [t for _, t in data]})  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(license_scan.OP1_SQL).fetchall()}
+    got = {r["doc_id"]: (r["license"], r["dice"], r["start"], r["n_matches"]) for r in license_scan.best_license(license_scan.scan(df)).collect()}
+    assert got == want
+
+
+def test_licenses_keep_other_columns(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "x", 2.0), (1, None, "y", None)], "doc_id int, text string, Licenses string, `w.t` double")
+    got = license_scan.scan(df)
+    assert got.columns == ["doc_id", "text", "w.t", "licenses"] and sorted(len(r["licenses"]) for r in got.collect()) == [0, 2]
+
+
 def test_license_bounds_prune_no_match():
-    for n in range(1, 60):
-        low, high = license_scan.bounds(n, 0.8)
-        fits = [m for m in range(1, 200) if 2 * min(n, m) / (n + m) >= 0.8]
-        assert (low, high) == (min(fits), max(fits))
+    for a in range(1, 60):
+        most = lambda m: max(2 * m / (a + b) for b in range(m, 200))  # noqa: B023, E731
+        assert license_scan.least_shared(a, 0.8) == min(m for m in range(1, a + 1) if most(m) >= 0.8 - 1e-12)
 
 
 RULES = [("http://x.NET/a", "x.net", "/a", "net/", "block"), ("http://x.net", "x.net", "", None, None), ("https://a.example.net/en/1?q", "a.example.net", "/en/1", "example.net/en/", "allow"), ("http://example.com/de/#x", "example.com", "/de/", "example.com/de/", "block"), ("x://w.org/fr/", "w.org", "/fr/", "org/fr/", "allow"), ("http://notexample.com/de/", "notexample.com", "/de/", None, None), ("nothing", "", "", None, None), (None, "", "", None, None)]
