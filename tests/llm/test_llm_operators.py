@@ -634,21 +634,66 @@ def test_link_propagation(spark, none):
     a = lambda h: f'<a href="http://{h}/">x</a>'
     data = [(1, "http://bad.net/p", ""), (2, "http://near.com/", a("bad.net")), (3, "http://far.com/", a("near.com")), (4, "http://good.org/fr/x", a("fine.com") + a("Both.com")), (5, "http://fine.com/", a("other.com")), (6, "http://other.com/", ""), (7, "http://both.com/q", a("bad.net") + a("other.com") * 9)]
     df = spark.createDataFrame(data, "page_id int, url string, html string")
-    got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge(df, rounds=4).collect()}
     assert {k: r["verdict"] for k, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
-    # the same walk by hand
-    edges = {("near.com", "bad.net"): 1.0, ("far.com", "near.com"): 1.0, ("good.org", "fine.com"): 0.5, ("good.org", "both.com"): 0.5, ("fine.com", "other.com"): 1.0, ("both.com", "bad.net"): 0.1, ("both.com", "other.com"): 0.9}
-    rank = {}
-    for _ in range(url_filter.ROUNDS):
-        now = collections.Counter(rank)
-        now["good.org"] += 0.15
-        rank = collections.Counter()
-        for (x, y), share in edges.items():
-            rank[y] += 0.85 * now[x] * share
-    assert got[6]["trust"] == pytest.approx(rank["other.com"]) and got[7]["trust"] == pytest.approx(rank["both.com"])
     assert url_filter.judge(none.selectExpr("doc_id page_id", "text url", "lang html")).count() == 0
 
 
+def plain_rank(edges, seeds, rounds, damping=0.85):
+    """Personalised PageRank over weighted edges, without the seeds' own part; dangling rank goes to the seeds."""
+    out = collections.Counter()
+    for (x, _), n in edges.items():
+        out[x] += n
+    rank, got = dict(seeds), {}
+    for _ in range(rounds):
+        got = collections.Counter()
+        for (x, y), n in edges.items():
+            got[y] += damping * rank.get(x, 0.0) * n / out[x]
+        left = 1 - sum(got.values())
+        rank = {h: got[h] + left * seeds.get(h, 0.0) for h in {*got, *seeds}}
+    return got
+
+
+@pytest.mark.parametrize("bound,rounds", [(32 << 20, 5), (0, 2)])
+def test_trust_and_distrust(spark, monkeypatch, bound, rounds):
+    import twinfold.operators.shared as shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(7)
+    hosts = [f"h{k}.{'net' if k % 5 == 0 else 'org' if k % 5 == 1 else 'com'}" for k in range(25)]
+    pages, edges, said = [], collections.Counter(), collections.defaultdict(list)
+    for k in range(200):
+        h = hosts[int(rng.integers(25)) if k % 3 else 2]
+        path = ["/fr/x", "/x"][int(rng.integers(2))]
+        links = [hosts[int(x)] for x in rng.integers(0, 25, int(rng.integers(0, 3)))] if h not in hosts[20:] else []
+        html = "".join(f"<a class='q' href='http://{x}/'>x</a>" for x in links) + "<!-- <a href='http://h1.org/'> --><script src='//h1.org/a.js'></script><img src='http://h1.org/'>"
+        pages.append((k, f"http://{h}{path}", html))
+        edges.update((h, x) for x in links if x != h)
+        said[h].append("block" if h.endswith(".net") else "allow" if h.endswith(".org") and path == "/fr/x" else None)
+    pages += [(200, None, None), (201, "none", "")]
+    seeds = {}
+    for verdict in ("allow", "block"):
+        part = {h: v.count(verdict) / len(v) for h, v in said.items() if verdict in v}
+        seeds[verdict] = {h: x / sum(part.values()) for h, x in part.items()}
+    trust, distrust = plain_rank(edges, seeds["allow"], rounds), plain_rank({(y, x): n for (x, y), n in edges.items()}, seeds["block"], rounds)
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id int, url string, html string"), rounds=rounds).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        if r["rule"] is None and r["host"]:
+            assert r["trust"] == pytest.approx(trust.get(r["host"], 0.0), abs=1e-9) and r["distrust"] == pytest.approx(distrust.get(r["host"], 0.0), abs=1e-9)
+            assert r["verdict"] == ("block" if r["distrust"] > r["trust"] else "allow")
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
+def test_propagation_converges(spark):
+    edges = spark.createDataFrame([("t", "a", "b", 1), ("t", "b", "c", 3), ("t", "b", "a", 1), ("u", "a", "c", 1)], "kind string, src string, dst string, n long")
+    seeds = spark.createDataFrame([("t", "a", 0.5), ("t", "b", 0.5), ("u", "a", 1.0)], "kind string, host string, seed double")
+    got = {(r["kind"], r["host"]): r["inherited"] for r in url_filter.propagate(edges, seeds, tolerance=0.01).collect()}
+    far = plain_rank({("a", "b"): 1, ("b", "c"): 3, ("b", "a"): 1}, {"a": 0.5, "b": 0.5}, 200)
+    assert {h: got["t", h] for h in "abc"} == pytest.approx({h: far[h] for h in "abc"}, abs=0.02)
+    assert got["u", "c"] == pytest.approx(0.85 / 1.85, abs=0.02)
+
+
 def test_other_columns_pass_through(spark):
     df = spark.createDataFrame([(1, "a b", "s", "q", 1, 2, 3), (1, "a b", "s", "r", 3, 4, 5), (2, "c d e", "t", "z", 5, 6, 7)], "doc_id long, text string, source string, row string, key int, hash int, id int")
     assert sorted(map(tuple, exact_dedup.drop_duplicates(df).drop("row", "key", "hash", "id").collect())) == [(1, "a b", "s"), (2, "c d e", "t")]
