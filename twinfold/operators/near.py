@@ -25,7 +25,7 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 5
 SPACE = r"\x20\x09-\x0D"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Word hashes a worker remembers; shingles hashed at once; comparisons of one text in a task.
-KNOWN, BLOCK, SHARE = 1 << 18, 4096, 1000
+KNOWN, BLOCK, SHARE = 1 << 17, 2048, 1000
 
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
@@ -130,17 +130,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     """
     made = checkpointed(signatures(docs, id_col, text_col, shingle))
     top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("top")
-    nodes = made.groupBy("set").agg(top, F.first("buckets").alias("buckets")).select("set", "top.none", "top.id", "top.t", "buckets")
+    nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t")
     nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
-    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "buckets").join(nodes, "set").where("i <=> id and u = t")
+    rows = checkpointed(one.select("node", "buckets")).select("node", F.explode("buckets").alias("bucket"))
     if more is not None:
         own = made.select(F.col("id").alias("i"), "set").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-        rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket")).distinct()
+        rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket").distinct()))
 
     def several(some: DataFrame) -> DataFrame:
         """Rows of buckets with two nodes or more."""
-        full = some.groupBy("bucket").count().where("count > 1").select("bucket")
-        return checkpointed(some.join(full, "bucket", "left_semi"))
+        full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
+        return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when its counted rows times its row width stay below this.
@@ -12,15 +12,23 @@ BROADCAST_BYTES = 32 << 20
 
 
 #: Bounds of an Arrow batch of whole texts; one text may be larger.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, named in spark.checkpoint.dir. Only a local master may do without: it gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage, in the folder that the cluster shares."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -30,7 +38,10 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session set to send whole texts to Python in batches of bounded rows and bytes."""
+    """``df``, with the session set to send whole texts to Python in batches of bounded rows and bytes.
+
+    Spark reads the two limits when a plan is run, not when it is written, so they stay lowered.
+    """
     conf = df.sparkSession.conf
     for key, most in BATCH.items():
         now = conf.get(key).rstrip("b")
