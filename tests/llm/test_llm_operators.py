@@ -321,7 +321,8 @@ def texts_of(docs):
 
 def test_quality_odd_tables(spark, none):
     assert quality.ledger(none).count() == 0 and quality.ablations(quality.ledger(none), "web-1").count() == 8
-    df = spark.createDataFrame([(1, None, 5, "x"), (1, "a b c a b c", 6, "y")], "doc_id long, text string, measures int, _t string").drop("measures")
+    df = spark.createDataFrame([(1, None, 5, "x"), (1, "a b c a b c", 6, "y")], "doc_id long, text string, measures int, _t string")
+    assert quality.ledger(df).columns == ["doc_id", "text", "_t", "measures", "failures"]
     got = quality.ledger(df).orderBy("_t").collect()
     assert [r["measures"]["n_repeat_words"] for r in got] == [0, 6] and got[0]["_t"] == "x"
 
@@ -442,6 +443,32 @@ def test_language(spark, none):
     assert unlearnt.where("lang_pred <> 'und'").count() == 0 and langid.identify(none, langid.fit(df)).count() == 0
 
 
+def test_kernel_is_the_shared_grams_of_texts():
+    """The hashed kernel against sets of letter n-grams, on texts of common lengths."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghij éß.,"), int(n))) for n in rng.integers(20, 400, 60)]
+
+    def grams(t):
+        clean = "".join(c if c.isalpha() else " " for c in t.lower())
+        return {clean[k : k + n] for n in (1, 2, 3) for k in range(len(clean) - n + 1)}
+
+    bits, _ = langid.presence(texts, langid.letters())
+    unit = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+    got = langid.kernel(bits, unit.astype(np.float32))
+    sets = [grams(t) for t in texts]
+    want = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.abs(got - want).max() < 0.12 and np.abs(got - want).mean() < 0.03
+
+
+def test_language_odd_tables(spark):
+    data = [(k, f"the shing {k % 7} ould" if k % 2 else f"ßen ung {k % 5} ätz", "aa" if k % 2 else "bb", "x") for k in [*range(60), *range(60)]] + [(1, None, None, None), (None, "ung", "bb", "y")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, Lang_Pred string")
+    model = langid.fit(df, per_lang=3)
+    got = langid.identify(df, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score"] and model[0] == ["aa", "bb"]
+    assert got.where("text is not null and lang_pred <> lang").count() == 0 and got.count() == len(data)
+
+
 def test_language_segments():
     alpha = langid.letters()
     text = "abc défg " * 80_000

@@ -5,12 +5,14 @@ of two texts is the number of shared bits, normalised by both sizes. Nyström la
 ridge regression, one language against the rest, into one small matrix: scoring a batch is a matrix
 product with the landmarks' bits and one with that matrix.
 
-Learnt from at most about PER_LANG distinct texts per language (chosen by hash of the text), outside
-the held-out quarter; every text is scored whole.
+Learnt from at most about PER_LANG distinct texts per language and SAMPLE in all (but one of each
+language), chosen by hash of the text, outside the held-out quarter; landmarks are dealt to the
+languages in turn, at least LANDMARKS and at least PER_LANDMARK of each. Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled
 text all are ``und``; texts longer than SEGMENT characters are read in overlapping segments into
-the same bits; rows that repeat are scored alike; other columns pass through.
+the same bits; rows that repeat are scored alike; other columns pass through, but columns named
+``lang_pred`` and ``lang_score`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import broadcast_if_small, held_out, text_batches
+from twinfold.llm.common import broadcast_if_small, checkpointed, held_out, text_batches, with_columns
 
 #: Hashed presence bits for each n-gram length.
 BITS = {1: 512, 2: 2048, 3: 8192}
 WIDTH = sum(BITS.values())
-PER_LANG, LANDMARKS, RIDGE = 800, 256, 0.1
+PER_LANG, SAMPLE, LANDMARKS, PER_LANDMARK, RIDGE = 800, 40_000, 256, 4, 0.1
 #: Characters and documents of one matrix product.
 SEGMENT, DOCS = 1 << 19, 512
 UNKNOWN = "und"
@@ -76,8 +78,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     distinct = rows.groupBy("lang", "h").agg(F.lit(1).alias("one"))
-    share = distinct.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(per_lang) / F.col("n")).alias("share"))
-    picked = distinct.join(share, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "h")
+    by_lang = checkpointed(distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")))
+    each = max(1, min(per_lang, SAMPLE // max(1, by_lang.count())))
+    share = by_lang.select("lang", (F.lit(each) / F.col("n")).alias("share"), "first")
+    picked = distinct.join(share, "lang").where((F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("h") == F.col("first"))).select("lang", "h")
     n = picked.count()
     sample = rows.join(broadcast_if_small(picked, n, 32), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 
@@ -96,7 +100,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return [], b"", np.zeros((1, 0))
     x = np.unpackbits(np.array([np.frombuffer(b, dtype=np.uint8) for _, _, b in found]), axis=1)[:, :WIDTH]
     y = np.array([langs.index(lang) for _, lang, _ in found])
-    turns = sorted(range(len(y)), key=lambda k: (np.count_nonzero(y[:k] == y[k]), y[k]))[: min(landmarks, len(y))]
+    order = np.argsort(y, kind="stable")
+    turn = np.empty(len(y), dtype=int)  # the how-manieth of its language
+    turn[order] = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+    turns = np.lexsort((y, turn))[: min(max(landmarks, PER_LANDMARK * len(langs)), len(y))]
     unit = x[turns].astype(np.float32)
     unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
     values, vectors = np.linalg.eigh((unit @ unit.T).astype(np.float64))
@@ -113,17 +120,17 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and lang_score."""
     langs, packed, matrix = model
 
-    def run(batches):
+    def start():
         import pyarrow as pa
 
         alpha = letters()
         unit = np.unpackbits(packed, axis=1)[:, :WIDTH].astype(np.float32) if len(langs) else None
         if unit is not None:
             unit /= np.sqrt(np.maximum(unit.sum(axis=1, keepdims=True), 1))
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_col))
-            for low in range(0, len(batch), DOCS):
-                part = batch.slice(low, DOCS)
+
+        def run(text):
+            names, scores = [], []
+            for low in range(0, len(text), DOCS):
                 bits, ok = presence([t.as_py() or "" for t in text.slice(low, DOCS)], alpha)
                 if unit is None:
                     ok[:] = False
@@ -132,11 +139,13 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                     s = np.c_[kernel(bits, unit), np.ones(len(bits))] @ matrix
                     best = s.argmax(axis=1)
                     score = np.clip((s[np.arange(len(s)), best] + 1) / 2, 0, 1)
-                names = [langs[k] if o else UNKNOWN for k, o in zip(best, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0))], [*part.schema.names, "lang_pred", "lang_score"])
+                names += [langs[k] if o else UNKNOWN for k, o in zip(best, ok, strict=True)]
+                scores.append(np.where(ok, score, 0.0))
+            return pa.array(names, pa.string()), np.concatenate(scores) if scores else np.zeros(0)
+
+        return run
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return text_batches(docs).mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    return with_columns(docs, text_col, start, {"lang_pred": "string", "lang_score": "double"})
 
 
 def op4_langid(spark, sf_dir):

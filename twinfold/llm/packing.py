@@ -77,14 +77,24 @@ class Encoder:
         byte = byte_chars()
         ranks = {bytes(byte[c] for c in token): n for token, n in made["model"]["vocab"].items() if token not in special}
         self.encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.merge = tiktoken.Encoding("one piece", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, n in ranks.items():
-            self.size[n] = len(token)
+        self.ranks = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        if [ranks[token] for token in self.ranks] != list(range(len(ranks))):
+            raise ValueError("ids of the vocabulary have gaps")
         self.piece = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         self.segment, self.chunk = segment, chunk
         self.words: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def merge(self):
+        """Ids of a text taken as one piece; only long pieces need it."""
+        import tiktoken
+
+        return tiktoken.Encoding("one piece", pat_str="(?s).+", mergeable_ranks={token: n for n, token in enumerate(self.ranks)}, special_tokens={}).encode_ordinary
+
+    @functools.cached_property
+    def size(self) -> np.ndarray:
+        return np.array([len(token) for token in self.ranks])
+
     def raw(self, text: str) -> bytes:
         return packed(self.encode(text))
 

@@ -6,8 +6,8 @@ integer test, and what each rule costs under a policy (its ablation) is a count
 it runs inside Spark's own expressions, a row at a time, without a shuffle.
 
 Defined results: a null text is an empty text; a text without words fails the rules on too few
-words and no others that divide by words; equal rows get equal results; other columns pass through.
-Three-word windows are compared by a 64-bit hash.
+words and no others that divide by words; equal rows get equal results; other columns pass through, but columns named
+``measures`` and ``failures`` are replaced. Three-word windows are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -57,9 +57,14 @@ def repeated_words(hashes: Column) -> Column:
     return covered[0]
 
 
+def kept_columns(docs: DataFrame, new: tuple[str, ...]):
+    """The columns of ``docs`` as one struct, without those that have one of the new names in any case."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``measures``."""
-    clean = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    clean = docs.select(kept_columns(docs, ("measures",)).alias("_in"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     clean = clean.withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     three = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.element_at("_w", i), F.element_at("_w", i + 1), F.element_at("_w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     clean = clean.withColumn("_h", three).withColumn("_repeats", F.size(F.array_distinct("_h")) < F.size("_h"))
@@ -75,12 +80,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         long(F.char_length("_t") - without(F.col("_t"), r"[0-9]+"), "n_digits"),
         long(F.char_length("_t") - without(F.col("_t"), r"[.!?:;\n|]+"), "n_ends"),
     )
-    return clean.withColumn("measures", measures).select(*docs.columns, "measures")
+    return clean.select("_in.*", measures.alias("measures"))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``measures`` and ``failures``, one bit per failed rule."""
-    seen = measure(docs.withColumn("_in", F.struct(*[F.col(c) for c in docs.columns])).select("_in", F.col(text_col).alias("_text")), "_text").select("_in", "measures", "measures.*")
+    measured = measure(docs, text_col)
+    seen = measured.select(kept_columns(measured, ("measures", "failures")).alias("_in"), "measures", "measures.*")
     bits = sum((F.when(F.expr(test), 1 << k).otherwise(0) for k, (_, test) in enumerate(RULES)), F.lit(0))
     return seen.select("_in.*", "measures", bits.cast("long").alias("failures"))
 
