@@ -147,5 +147,52 @@ def test_whole_pipeline(spark):
     jobs = spark.createDataFrame([("j", "a", "b")], "pair_id string, src_book_id string, tgt_book_id string")
     got = [(r["src_text"], r["tgt_text"]) for r in plan.align_books(jobs, paragraphs, gap=-0.1).orderBy("pair_seq").collect()]
     assert got == [("The cat sat.", "The cat sat."), ("", "A bird sang."), ("The dog ran away.", "The dog ran away.")]
-    found = plan.version_jobs(spark.createDataFrame([(1, "T\nx"), (2, "T\ny"), (3, "T\nx"), (4, None)], "book_id int, text string"))
-    assert [tuple(r) for r in found.collect()] == [("1-2", 1, 2)]
+
+
+def test_language_jobs(spark):
+    books = [(k, "hot" if k % 3 else "s", ["en", "fr", "de"][k % 4 % 3]) for k in range(60)]
+    got = {(r["src_book_id"], r["tgt_book_id"]) for r in plan.language_jobs(spark.createDataFrame(books, "book_id int, source string, lang string"), (("en", "fr"), ("en", "de"))).collect()}
+    want = set()
+    for source in ("hot", "s"):
+        of = lambda lang: [k for k, s, x in books if (s, x) == (source, lang)]  # noqa: B023, E731
+        want |= set(zip(of("en"), of("fr"), strict=False)) | set(zip(of("en"), of("de"), strict=False))
+    assert got == want
+
+
+def test_band_rows_are_the_full_table_within_the_band():
+    rng = np.random.default_rng(4)
+    for m, n in ((1, 1), (3, 200), (200, 3), (150, 170), (260, 120)):
+        sims = rng.normal(size=(m, n))
+        lo, hi = align.limits(m, n, 0.15)
+        full = np.full((m + 1, n + 1), -np.inf)
+        full[0, : hi[0] + 1] = np.arange(hi[0] + 1) * -0.1
+        for i in range(1, m + 1):
+            for j in range(lo[i], hi[i] + 1):
+                up = i * -0.1 if j == 0 else full[i - 1, j] - 0.1
+                full[i, j] = max([up, full[i - 1, j - 1] + sims[i - 1, j - 1], full[i, j - 1] - 0.1] if j else [up])
+        score, moves, _ = align.fill(lambda i, a, b: sims[i, a:b], m, n, 0.15, -0.1)  # noqa: B023
+        assert score == pytest.approx(full[m, n])
+        assert align.fill(lambda i, a, b: sims[i, a:b], m, n, 0.15, -0.1, keep=False)[0] == score  # noqa: B023
+        steps = align.path(moves, lo, m, n)
+        assert sum(sims[i, j] if k == align.MATCH else -0.1 for k, i, j in steps) == pytest.approx(score)
+
+
+def test_replacement_forms(spark):
+    rules = [(r"(\d)(x)?", "[$$$1$9$12$]"), ("0", "$9"), (r"(?<y>q)", "$<y>$<z>\\"), ("w", "$<y>")]
+    assert sentences.valid_rules(spark, rules) == rules
+    assert [sentences.groups_of(p) for p in (r"(a)(?:b)(?<c>d)", r"\(a[(]", r"(?=x)(?<!y)(z)")] == [2, 0, 1]
+    df = spark.createDataFrame([(1, 0, "5xqw")], "book_id int, para_idx int, text string")
+    assert sentences.clean(df, rules).first()["text"] == "[$5$952$]q\\$<y>"
+
+
+def test_sentence_ends(spark):
+    cases = {"It is 3.14 now. Next": ["It is 3.14 now.", "Next"], "...and then": ["...and then"], "...": ["..."], "e.g. this. That": ["e.g. this.", "That"], "What?! no": ["What?!", "no"], "“Go.” He": ["“Go.”", "He"], "「行け。」と言った": ["「行け。」", "と言った"], "": [], "  ": []}
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(cases)], "book_id int, para_idx int, text string")
+    got = {k: [] for k in range(len(cases))}
+    for r in sentences.sentences(df).orderBy("book_id", "global_idx").collect():
+        got[r["book_id"]].append(r["text"])
+    assert list(got.values()) == list(cases.values())
+    books = spark.createDataFrame([(1, "One. Two.\n\n \n\nThree"), (2, None)], "book_id int, text string")
+    assert [tuple(r) for r in sentences.book_sentences(books, cap=2).orderBy("global_idx").collect()] == [(1, 0, 0, 0, "One.", True), (1, 0, 1, 1, "Two.", True)]
+    long = spark.createDataFrame([(1, 0, "1.2" * 200_000 + ". " * 100_000 + "a" * 300_000)], "book_id int, para_idx int, text string")
+    assert sentences.sentences(long, cap=None).count() > 0

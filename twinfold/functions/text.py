@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from pyspark.sql import functions as F
 BLANK = r"\s\x0B   -     　﻿"
 
 
+#: Its characters.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{BLANK}]", c, re.ASCII))
+
+
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -29,11 +35,30 @@ def locale(c: Column) -> Column:
     return F.when(low.isin("jp", "ja"), "ja").when(low.isin("zh", "zh-cn", "zh-tw", "ko"), low).when(F.coalesce(c, F.lit("")) == "", "und").otherwise(c)
 
 
-def replacement(r: str) -> str:
-    """A replacement written with $& and $<name>, as Java writes it."""
-    import re
+def replacement(new: str, groups: int = 99, names: tuple[str, ...] | None = None) -> str:
+    """A replacement written with $&, $<name>, $1 to $99 and $$, as Java writes it.
+
+    Of two digits the first counts alone when the pattern has fewer groups; a number of no group,
+    and any other $, stands for itself. So does $<name> when the pattern has no ``names`` at all;
+    else an unknown name stands for nothing.
+    """
 
-    return re.sub(r"\$<(\w+)>", r"${\1}", r.replace("\\", "\\\\").replace("$&", "$0"))
+    def java(m: re.Match) -> str:
+        if m["all"]:
+            return "$0"
+        if m["name"]:
+            if names is None or m["name"] in names:
+                return f"${{{m['name']}}}"
+            return "" if names else f"\\$<{m['name']}>"
+        if m["digits"]:
+            for d in (m["digits"], m["digits"][0]):
+                if 0 < int(d) <= groups:
+                    rest = m["digits"][len(d) :]
+                    return f"${int(d)}" + (f"\\{rest}" if rest else "")
+            return f"\\${m['digits']}"
+        return "\\\\" if m[0] == "\\" else "\\$"
+
+    return re.sub(r"(?P<all>\$&)|\$<(?P<name>\w+)>|\$(?P<digits>\d\d?)|\$\$|\$|\\", java, new)
 
 
 def rounded(c: Column) -> Column:
@@ -70,3 +95,31 @@ def decode_entities(c: Column) -> Column:
     char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 4, "0")), "UTF-16BE")
     c = F.when(F.size(found) > 0, F.aggregate(found, c, lambda s, x: F.replace(s, F.concat(F.lit("&#"), x, F.lit(";")), char(x)))).otherwise(c)
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+
+#: Where a sentence ends, with what follows the end: full-width marks; ! and ? before a blank; dots before a blank that no lower-case letter follows.
+CLOSERS = "」』”’)"
+ENDS = (
+    (f"([。！？][.!?。！？]*[{CLOSERS}]*)", "$1\x01"),
+    (rf"([.!?]*[!?][.!?]*[{CLOSERS}]*)\s+", "$1\x01"),
+    (rf"(\.[{CLOSERS}]*)\s+(\P{{Ll}})", "$1\x01$2"),
+)
+
+
+def paragraph_texts(text: Column, delimiter: str = r"\n{2,}", crlf: bool = True) -> Column:
+    """The paragraphs of a text: split at the delimiter, inner line breaks become one space, empties dropped."""
+    raw = F.coalesce(text, F.lit(""))
+    raw = F.replace(raw, F.lit("\r\n"), F.lit("\n")) if crlf else raw
+    raw = F.replace(raw, F.lit("\r"), F.lit("")) if delimiter == "\n" else raw
+    parts = F.split(raw, delimiter)
+    if delimiter != "\n":  # such parts hold no line break
+        parts = F.transform(parts, lambda p: F.regexp_replace(F.replace(p, F.lit("\r"), F.lit("")), r"[ \t]*\n+[ \t]*", " "))
+    return F.array_remove(F.transform(parts, trim), "")
+
+
+def sentence_texts(text: Column) -> Column:
+    """The sentences of a paragraph, with their end marks; blank ones dropped."""
+    marked = F.coalesce(text, F.lit(""))
+    for pattern, new in ENDS:
+        marked = F.regexp_replace(marked, pattern, new)
+    return F.array_remove(F.transform(F.split(marked, "\x01"), trim), "")

@@ -22,31 +22,42 @@ def limits(m: int, n: int, fraction: float) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0, centre - width), np.minimum(n, centre + width)
 
 
-def fill(row_sim, m: int, n: int, fraction: float = BAND, gap: float = GAP, free_edges: bool = False):
-    """(score, moves, lo): ``row_sim(i, a, b)`` gives similarities of source i with targets a..b-1."""
+def part_of(row: np.ndarray, at: int, a: int, b: int) -> np.ndarray:
+    """Columns a..b of a row that begins at column ``at``; minus infinity where it has none."""
+    out = np.full(b - a + 1, -np.inf)
+    low, high = max(a, at), min(b, at + len(row) - 1)
+    if low <= high:
+        out[low - a : high - a + 1] = row[low - at : high - at + 1]
+    return out
+
+
+def fill(row_sim, m: int, n: int, fraction: float = BAND, gap: float = GAP, free_edges: bool = False, keep: bool = True):
+    """(score, moves, lo): ``row_sim(i, a, b)`` gives similarities of source i with targets a..b-1.
+
+    Rows are as wide as the band; without ``keep`` no moves are stored.
+    """
     lo, hi = limits(m, n, fraction)
     edge = 0.0 if free_edges else gap
-    prev = np.full(n + 1, -np.inf)
-    prev[: hi[0] + 1] = np.arange(hi[0] + 1) * edge
-    moves = np.full((m + 1, int((hi - lo).max()) + 1), TGT_ONLY, dtype=np.int8)
+    prev = np.arange(hi[0] + 1) * edge
+    moves = np.full((m + 1, int((hi - lo).max()) + 1), TGT_ONLY, dtype=np.int8) if keep else None
     for i in range(1, m + 1):
-        a, b = lo[i], hi[i]
-        up = prev[a : b + 1] + gap
+        a, b = int(lo[i]), int(hi[i])
+        up = part_of(prev, int(lo[i - 1]), a, b) + gap
         if a == 0:
             up[0] = i * edge
+        diag = part_of(prev, int(lo[i - 1]), a - 1, b - 1)
         first = max(a, 1)
-        diag = np.full(b - a + 1, -np.inf)
         if b >= first:
-            diag[first - a :] = prev[first - 1 : b] + row_sim(i - 1, first - 1, b)
+            diag[first - a :] += row_sim(i - 1, first - 1, b)
         step = np.arange(a, b + 1) * gap
         row = np.maximum.accumulate(np.maximum(diag, up) - step) + step
-        kind = np.where(diag >= row - EPS, MATCH, np.where(up >= row - EPS, SRC_ONLY, TGT_ONLY))
-        if a == 0:
-            kind[0] = SRC_ONLY
-        moves[i, : b - a + 1] = kind
-        prev = np.full(n + 1, -np.inf)
-        prev[a : b + 1] = row
-    return float(prev[n]), moves, lo
+        if keep:
+            kind = np.where(diag >= row - EPS, MATCH, np.where(up >= row - EPS, SRC_ONLY, TGT_ONLY))
+            if a == 0:
+                kind[0] = SRC_ONLY
+            moves[i, : b - a + 1] = kind
+        prev = row
+    return float(prev[n - lo[m]]), moves, lo
 
 
 def path(moves: np.ndarray, lo: np.ndarray, m: int, n: int) -> list[tuple[int, int, int]]:
@@ -106,7 +117,7 @@ def scores(src: DataFrame, tgt: DataFrame, gap: float = GAP, fraction: float = 1
             return pd.DataFrame({"pair_id": [], "m": [], "n": [], "score": []})
         s, t = s.sort_values("global_idx"), t.sort_values("global_idx")
         a, b = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (s, t))
-        score, _, _ = fill(lambda i, x, y: b[x:y] @ a[i], len(a), len(b), fraction, gap, free_edges)
+        score, _, _ = fill(lambda i, x, y: b[x:y] @ a[i], len(a), len(b), fraction, gap, free_edges, keep=False)
         return pd.DataFrame({"pair_id": [s["pair_id"].iloc[0]], "m": [len(a)], "n": [len(b)], "score": [score]})
 
     return by_pair(src).cogroup(by_pair(tgt)).applyInPandas(run, "pair_id string, m long, n long, score double")

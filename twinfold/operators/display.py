@@ -81,10 +81,10 @@ def numbered(shown: DataFrame) -> DataFrame:
 
 def chapters(shown: DataFrame, title: Column | None = None) -> DataFrame:
     """``shown`` with chapter_idx, chapter_id and chapter_title: at most 20 of 50 paragraphs or more."""
-    book = Window.partitionBy("pair_id")
-    size = F.greatest(F.lit(LEAST), F.ceil(F.count("*").over(book) / CHAPTERS))
-    out = shown.withColumn("chapter_idx", F.floor(F.col("display_idx") / size).cast("int"))
-    n = F.max("chapter_idx").over(book) + 1
+    sizes = shown.groupBy("pair_id").agg((F.max("display_idx") + 1).alias("_n"))
+    size = F.greatest(F.lit(LEAST), F.ceil(F.col("_n") / CHAPTERS))
+    out = shown.join(sizes, "pair_id").withColumn("chapter_idx", F.floor(F.col("display_idx") / size).cast("int")).withColumn("_n", F.ceil(F.col("_n") / size))
+    n = F.col("_n")
     part = F.concat(F.lit("Part "), (F.col("chapter_idx") + 1).cast("string"), F.lit(" of "), n.cast("string"))
     name = F.when(n > 1, part).otherwise(F.coalesce(title, part) if title is not None else part)
-    return out.withColumn("chapter_id", F.concat(F.lit("ch"), F.lpad((F.col("chapter_idx") + 1).cast("string"), 3, "0"))).withColumn("chapter_title", name)
+    return out.withColumn("chapter_id", F.concat(F.lit("ch"), F.lpad((F.col("chapter_idx") + 1).cast("string"), 3, "0"))).withColumn("chapter_title", name).drop("_n")

@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinfold.functions.text import is_blank, replacement, trim
+from twinfold.functions.text import paragraph_texts, replacement, sentence_texts
 
-#: A sentence: up to its end marks, which stay with it, and closing quotes after them.
-SENTENCE = "[^.!?。！？]+(?:[.!?。！？]+[」』”’)]*|$)"
-CAP = 10_000
+CAP, COUNT_CAP = 10_000, 100_000
+
+
+def groups_of(pattern: str) -> int:
+    """How many capturing groups a pattern has: opening brackets that are neither escaped nor in a class nor special."""
+    bare = re.sub(r"\\Q.*?(?:\\E|$)|\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
 
 
 def valid_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The rules whose pattern is not empty and that Spark accepts, tried on one short row each."""
-    out = []
-    for pattern, new in rules:
-        if not pattern:
-            continue
-        try:
-            spark.range(1).select(F.regexp_replace(F.col("id").cast("string"), pattern, replacement(new))).collect()
-        except Exception as error:
-            if "PATTERN" not in str(error) and "Pattern" not in str(error):
-                raise
-        else:
-            out.append((pattern, new))
-    return out
+    """The rules whose pattern is not empty and that Java accepts, all compiled in one row each of one job."""
+    some = [r for r in rules if r[0]]
+    if not some:
+        return []
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
+    tried = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(some)], "k int, pattern string").where(compiled.isNotNull())
+    good = {r["k"] for r in tried.select("k").collect()}
+    return [r for k, r in enumerate(some) if k in good]
 
 
 def clean(paragraphs: DataFrame, rules: list[tuple[str, str]], text: str = "text") -> DataFrame:
     """Regex replacements over each paragraph, in order."""
-    made = functools.reduce(lambda c, r: F.regexp_replace(c, r[0], replacement(r[1])), rules, F.col(text))
+    made = functools.reduce(lambda c, r: F.regexp_replace(c, r[0], replacement(r[1], groups_of(r[0]), tuple(re.findall(r"\(\?<(\w+)>", r[0])))), rules, F.col(text))
     return paragraphs.withColumn(text, made)
 
 
@@ -40,23 +40,29 @@ def sentences(paragraphs: DataFrame, key: str = "book_id", cap: int | None = CAP
     """(key, para_idx, sent_idx, global_idx, text, truncated).
 
     Blank paragraphs and sentences are dropped; sent_idx restarts by paragraph and global_idx runs
-    over the book. Sentences from ``cap`` on are dropped and the book is flagged.
+    over the book. Sentences from ``cap`` on are dropped and the book is flagged. One shuffle brings
+    a book's paragraphs together, a row each; sentences are numbered from what stands before them.
     """
-    part = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), F.lit(0))).alias("pos", "part")
-    found = paragraphs.where(~is_blank(F.col("text"))).select(key, "para_idx", part).withColumn("text", trim(F.col("part"))).where("text <> ''")
-    book = Window.partitionBy(key).orderBy("para_idx", "pos")
-    para = Window.partitionBy(key, "para_idx").orderBy("pos")
-    found = found.withColumn("sent_idx", F.row_number().over(para) - 1).withColumn("global_idx", F.row_number().over(book) - 1)
-    if cap is None:
-        return found.select(key, "para_idx", "sent_idx", "global_idx", "text", F.lit(False).alias("truncated"))
-    found = found.withColumn("truncated", F.count("*").over(Window.partitionBy(key)) > cap)
-    return found.where(F.col("global_idx") < cap).select(key, "para_idx", "sent_idx", "global_idx", "text", "truncated")
-
-
-def sentence_counts(paragraphs: DataFrame, key: str = "book_id", cap: int = 100_000) -> DataFrame:
+    rows = paragraphs.select(key, "para_idx", sentence_texts(F.col("text")).alias("parts")).where("size(parts) > 0")
+    before = Window.partitionBy(key).orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("first", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
+    total = F.sum(F.size("parts")).over(Window.partitionBy(key))
+    rows = rows.withColumn("truncated", F.lit(False) if cap is None else total > cap)
+    found = rows.select(key, "para_idx", "first", "truncated", F.posexplode("parts").alias("sent_idx", "text"))
+    found = found.select(key, "para_idx", "sent_idx", (F.col("first") + F.col("sent_idx")).cast("int").alias("global_idx"), "text", "truncated")
+    return found if cap is None else found.where(F.col("global_idx") < cap)
+
+
+def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = CAP, delimiter: str = r"\n{2,}") -> DataFrame:
+    """As ``sentences``, straight from whole texts (key, text), one per book: nothing is shuffled."""
+    by_para = F.transform(paragraph_texts(F.col(text), delimiter), lambda p, i: F.transform(sentence_texts(p), lambda s, k: F.struct(i.alias("para_idx"), k.alias("sent_idx"), s.alias("text"))))
+    rows = books.select(key, F.flatten(by_para).alias("s"))
+    cut = F.col("s") if cap is None else F.slice("s", 1, cap)
+    rows = rows.select(key, F.lit(False).alias("truncated") if cap is None else (F.size("s") > cap).alias("truncated"), F.posexplode(cut).alias("global_idx", "s"))
+    return rows.select(key, "s.para_idx", "s.sent_idx", "global_idx", "s.text", "truncated")
+
+
+def sentence_counts(paragraphs: DataFrame, key: str = "book_id", cap: int = COUNT_CAP) -> DataFrame:
     """(key, n_sentences, truncated) without numbering a sentence."""
-    n = F.size(F.filter(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), F.lit(0)), lambda s: ~is_blank(s)))
-    total = F.sum(F.when(is_blank(F.col("text")), 0).otherwise(n))
+    total = F.sum(F.size(sentence_texts(F.col("text"))))
     return paragraphs.groupBy(key).agg(F.least(total, F.lit(cap)).cast("long").alias("n_sentences"), (total > cap).alias("truncated"))
-
-

@@ -64,6 +64,15 @@ def numbered(df: DataFrame, order: list[Column], name: str, partitions: int | No
     return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + here - 1).drop("_part", "_start")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a gapless number from 0 within each key, without one task seeing all rows of a key."""
+    rows = checkpointed(numbered(df, [F.col(c) for c in [*keys, *order]], "_number"))
+    first = checkpointed(rows.groupBy(*keys).agg(F.min("_number").alias("_first")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    found = rows.join(broadcast_if_small(first, first.count(), 64), same)
+    return found.withColumn(name, (F.col("_number") - F.col("_first")).cast("int")).select(*df.columns, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b): the smallest node that it is connected with.
 

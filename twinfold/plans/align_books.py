@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.operators import align, near, sentences, vectors
+from twinfold.operators.shared import ranked
 
 
 def sequences(jobs: DataFrame, rows: DataFrame, side: str, key: str = "book_id") -> DataFrame:
@@ -32,19 +33,6 @@ def align_books(jobs: DataFrame, paragraphs: DataFrame, rules: list[tuple[str, s
     return align.with_texts(moves, sequences(jobs, parts, "src", key), sequences(jobs, parts, "tgt", key))
 
 
-def version_jobs(books: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
-    """Jobs between versions of a book: books that start with the same line, each with the first of them.
-
-    Books with one text are one version. A group's jobs grow with its size, not with its square.
-    """
-    opening = F.sha2(F.lower(F.split(F.coalesce(F.col(text), F.lit("")), "\n")[0]), 256)
-    rows = books.select(F.col(key).alias("b"), opening.alias("o"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("t"))
-    versions = rows.groupBy("o", "t").agg(F.min("b").alias("b"))
-    first = versions.groupBy("o").agg(F.min("b").alias("src_book_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = versions.join(first, "o").where("b <> src_book_id")
-    return found.select(F.concat_ws("-", "src_book_id", "b").alias("pair_id"), "src_book_id", F.col("b").alias("tgt_book_id"))
-
-
 def near_version_jobs(books: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
     """Jobs between versions of a book: books whose whole texts are near copies, each with the first of them.
 
@@ -55,7 +43,16 @@ def near_version_jobs(books: DataFrame, key: str = "book_id", text: str = "text"
     return versions.select(F.concat_ws("-", "src_book_id", "b").alias("pair_id"), "src_book_id", F.col("b").alias("tgt_book_id"))
 
 
-def language_jobs(books: DataFrame, source_lang: str = "en", target_lang: str = "fr", key: str = "book_id") -> DataFrame:
-    """One job per source: its first book in one language with its first in the other."""
-    first = lambda lang: F.min(F.when(F.col("lang") == lang, F.col(key)))
-    return books.groupBy("source").agg(first(source_lang).alias("src_book_id"), first(target_lang).alias("tgt_book_id")).where("src_book_id is not null and tgt_book_id is not null").select(F.col("source").alias("pair_id"), "src_book_id", "tgt_book_id")
+def language_jobs(books: DataFrame, pairs: tuple = (("en", "fr"),), key: str = "book_id") -> DataFrame:
+    """Jobs (pair_id, src_book_id, tgt_book_id): the k-th book of a source in one language with its k-th in another.
+
+    ``pairs`` lists (source language, target language). Books are ranked by key within source and
+    language; a book without a partner has no job, and each pair of languages has at most one job a book.
+    """
+    wanted = sorted({lang for pair in pairs for lang in pair})
+    rows = ranked(books.where(F.col("lang").isin(wanted)).select("source", "lang", key), ["source", "lang"], [key], "k")
+    src = rows.select("source", "k", F.col("lang").alias("src_lang"), F.col(key).alias("src_book_id"))
+    tgt = rows.select("source", "k", F.col("lang").alias("tgt_lang"), F.col(key).alias("tgt_book_id"))
+    ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    both = src.join(tgt, ["source", "k"]).where(F.array_contains(ways, F.struct(F.col("src_lang").alias("a"), F.col("tgt_lang").alias("b"))))
+    return both.select(F.concat_ws("-", "src_book_id", "tgt_book_id").alias("pair_id"), "src_book_id", "tgt_book_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinfold.functions import text as tx
 from twinfold.sources.paragraphs import text_paragraphs
 
 
@@ -26,10 +27,18 @@ def lines_of(some_books: DataFrame) -> DataFrame:
 
 
 def label_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors as two sequences per pair: labels 0 and 1, 2 and 3, ... in order of vec_id."""
-    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = rows.select(F.floor(F.col("label") / 2).cast("long").alias("pair_id"), (F.col("label") % 2).alias("side"), at.alias("global_idx"), "embedding")
+    """Vectors as two sequences per pair: labels 0 and 1, 2 and 3, ... in order of vec_id, a pair for each block of ids."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null").withColumn("block", F.floor(F.col("vec_id") / BLOCK))
+    at = F.row_number().over(Window.partitionBy("label", "block").orderBy("vec_id")) - 1
+    rows = rows.select((F.col("block") * 1000 + F.floor(F.col("label") / 2)).cast("long").alias("pair_id"), (F.col("label") % 2).alias("side"), at.alias("global_idx"), "embedding")
+    return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
+
+
+def side_sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of even and of odd labels as two sequences, a pair for each 250 ids: longer than the narrowest band."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null").withColumn("block", F.floor(F.col("vec_id") / 250))
+    at = F.row_number().over(Window.partitionBy("block", F.col("label") % 2).orderBy("vec_id")) - 1
+    rows = rows.select(F.col("block").cast("long").alias("pair_id"), (F.col("label") % 2).alias("side"), at.alias("global_idx"), "embedding")
     return rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side")
 
 
@@ -69,16 +78,34 @@ paragraphs AS (SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY
   FROM (SELECT book_id, pos, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM cut) WHERE text <> '')
 """
 
-SENTENCES = PARAGRAPHS + r""",
-found AS (SELECT book_id, para_idx, regexp_extract_all(text, '[^.!?。！？]+(?:[.!?。！？]+[」』”’)]*|$)') AS parts FROM paragraphs),
+def marked_sql(text: str) -> str:
+    """Sentence ends of a text followed by chr(1)."""
+    for pattern, new in tx.ENDS:
+        made = r"'\1' || chr(1)" + (r" || '\2'" if "$2" in new else "")
+        text = f"regexp_replace({text}, '{pattern}', {made}, 'g')"
+    return text
+
+
+SENTENCES = PARAGRAPHS + rf""",
+found AS (SELECT book_id, para_idx, string_split({marked_sql("text")}, chr(1)) AS parts FROM paragraphs),
 split AS (SELECT book_id, para_idx, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM found),
 trimmed AS (SELECT book_id, para_idx, pos, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM split),
 sentences AS (SELECT book_id, para_idx, (row_number() OVER (PARTITION BY book_id, para_idx ORDER BY pos) - 1)::INT AS sent_idx,
   (row_number() OVER (PARTITION BY book_id ORDER BY para_idx, pos) - 1)::INT AS global_idx, text FROM trimmed WHERE text <> '')
 """
 
+#: Vectors to a block of a sequence: about a tenth of them have each label.
+BLOCK = 2000
+
 SEQUENCES = """
-v AS (SELECT (label // 2)::BIGINT AS pair_id, label % 2 AS side, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS global_idx, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT (vec_id // 2000 * 1000 + label // 2)::BIGINT AS pair_id, label % 2 AS side, row_number() OVER (PARTITION BY label, vec_id // 2000 ORDER BY vec_id) - 1 AS global_idx, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+src AS (SELECT pair_id, global_idx AS i, embedding AS a FROM v WHERE side = 0),
+tgt AS (SELECT pair_id, global_idx AS j, embedding AS b FROM v WHERE side = 1)
+"""
+
+#: ``side_sequences`` in SQL.
+SIDES = """
+v AS (SELECT (vec_id // 250)::BIGINT AS pair_id, label % 2 AS side, row_number() OVER (PARTITION BY vec_id // 250, label % 2 ORDER BY vec_id) - 1 AS global_idx, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 src AS (SELECT pair_id, global_idx AS i, embedding AS a FROM v WHERE side = 0),
 tgt AS (SELECT pair_id, global_idx AS j, embedding AS b FROM v WHERE side = 1)
 """

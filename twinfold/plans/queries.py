@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from twinfold.functions import text as tx
 from twinfold.operators import align, catalog, display, progress, search, sentences, vectors
-from twinfold.operators.shared import checkpointed
+from twinfold.operators.shared import checkpointed, ranked
 from twinfold.plans import align_books as plan
 from twinfold.plans import inputs
 from twinfold.sinks import exports
@@ -55,19 +55,23 @@ def align_score(spark, sf_dir):
 
 GAP = -0.05
 
-#: Score table row by row, then the path back from its end, for the full band, of src (pair_id, i, a) and tgt (pair_id, j, b).
-def moves_sql(sequences: str, gap: float) -> str:
+#: Score table row by row, then the path back from its end, of src (pair_id, i, a) and tgt (pair_id, j, b), within a band.
+def moves_sql(sequences: str, gap: float, fraction: float = 1.0) -> str:
+    # row i + 1 of the table; cells outside the band are as good as minus infinity
     return "WITH RECURSIVE " + sequences + f""",
-size AS (SELECT s.pair_id AS pair_id, m, n FROM (SELECT pair_id, count(*) AS m FROM src GROUP BY pair_id) s JOIN (SELECT pair_id, count(*) AS n FROM tgt GROUP BY pair_id) t ON s.pair_id = t.pair_id),
+size AS (SELECT s.pair_id AS pair_id, m, n, greatest(50, ceil({fraction} * greatest(m, n)), ceil(n::DOUBLE / greatest(m, 1)))::BIGINT AS w
+  FROM (SELECT pair_id, count(*) AS m FROM src GROUP BY pair_id) s JOIN (SELECT pair_id, count(*) AS n FROM tgt GROUP BY pair_id) t ON s.pair_id = t.pair_id),
 sims AS (SELECT src.pair_id AS pair_id, i, j, list_dot_product(a::DOUBLE[], b::DOUBLE[]) AS sim FROM src JOIN tgt ON src.pair_id = tgt.pair_id),
 dp AS (
-  SELECT pair_id, 0::BIGINT AS i, j::BIGINT AS j, (j * {gap})::DOUBLE AS v, 2 AS kind FROM size, range(0, 100000) r(j) WHERE j <= n
+  SELECT pair_id, 0::BIGINT AS i, j::BIGINT AS j, (CASE WHEN j <= w THEN j * {gap} ELSE -1e18 END)::DOUBLE AS v, 2 AS kind FROM size, range(0, 100000) r(j) WHERE j <= n
   UNION ALL
   SELECT pair_id, i, j, v, CASE WHEN diag >= v - 1e-5 THEN 0 WHEN up >= v - 1e-5 THEN 1 ELSE 2 END AS kind
-  FROM (SELECT *, max(greatest(diag, up) - j * {gap}) OVER (PARTITION BY pair_id ORDER BY j) + j * {gap} AS v
-    FROM (SELECT d.pair_id AS pair_id, d.i + 1 AS i, d.j AS j, CASE WHEN d.j = 0 THEN (d.i + 1) * {gap} ELSE d.v + {gap} END AS up, coalesce(d.before + s.sim, -1e18) AS diag
-      FROM (SELECT *, lag(v) OVER (PARTITION BY pair_id ORDER BY j) AS before FROM dp) d
-      LEFT JOIN sims s ON s.pair_id = d.pair_id AND s.i = d.i AND s.j = d.j - 1 JOIN size z ON z.pair_id = d.pair_id WHERE d.i < z.m))),
+  FROM (SELECT pair_id, i, j, diag, up, CASE WHEN inside THEN best + j * {gap} ELSE -1e18 END AS v
+    FROM (SELECT *, max(CASE WHEN inside THEN greatest(diag, up) - j * {gap} ELSE -1e18 END) OVER (PARTITION BY pair_id ORDER BY j) AS best
+      FROM (SELECT d.pair_id AS pair_id, d.i + 1 AS i, d.j AS j, CASE WHEN d.j = 0 THEN (d.i + 1) * {gap} ELSE d.v + {gap} END AS up, coalesce(d.before + s.sim, -1e18) AS diag,
+          abs(d.j - floor((d.i + 1) * (z.n::DOUBLE / greatest(z.m, 1)) + 0.5)) <= z.w AS inside
+        FROM (SELECT *, lag(v) OVER (PARTITION BY pair_id ORDER BY j) AS before FROM dp) d
+        LEFT JOIN sims s ON s.pair_id = d.pair_id AND s.i = d.i AND s.j = d.j - 1 JOIN size z ON z.pair_id = d.pair_id WHERE d.i < z.m)))),
 back AS (
   SELECT pair_id, m AS i, n AS j, 0 AS step, -1 AS kind FROM size
   UNION ALL
@@ -81,13 +85,13 @@ moves AS (SELECT b.pair_id::VARCHAR AS pair_id, (row_number() OVER (PARTITION BY
 """
 
 
-MOVES = moves_sql(inputs.SEQUENCES, GAP)
+MOVES = moves_sql(inputs.SEQUENCES, GAP, align.BAND)
 
 
 @query(MOVES + "SELECT pair_id, pair_seq, src_global_idx, tgt_global_idx, alignment_type, confidence FROM moves")
 def align_moves(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
-    return align.align(src, tgt, fraction=1.0, gap=GAP).withColumn("confidence", r6(F.col("confidence")))
+    return align.align(src, tgt, gap=GAP).withColumn("confidence", r6(F.col("confidence")))
 
 
 @query(MOVES + """
@@ -97,7 +101,14 @@ floor(100.0 * count(*) FILTER (WHERE alignment_type = '1:1') / count(*) + 0.5)::
 """)
 def align_summary(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
-    return align.summary(align.align(src, tgt, fraction=1.0, gap=GAP))
+    return align.summary(align.align(src, tgt, gap=GAP))
+
+
+@query(moves_sql(inputs.SIDES, GAP, align.BAND) + "SELECT pair_id, pair_seq, src_global_idx, tgt_global_idx, alignment_type, confidence FROM moves")
+def align_banded(spark, sf_dir):
+    """The default band on sequences that are longer than it is wide."""
+    src, tgt = inputs.side_sequences(spark, sf_dir)
+    return align.align(src, tgt, gap=GAP).withColumn("confidence", r6(F.col("confidence")))
 
 
 @query("WITH " + inputs.SEQUENCES + """
@@ -110,7 +121,7 @@ def pair_similarities(spark, sf_dir):
 
 
 BAND = inputs.SEQUENCES + """,
-size AS (SELECT s.pair_id AS pair_id, m, n, greatest(10, ceil(0.15 * greatest(m, n)), ceil(n::DOUBLE / greatest(m, 1)))::BIGINT AS w
+size AS (SELECT s.pair_id AS pair_id, m, n, greatest(50, ceil(0.15 * greatest(m, n)), ceil(n::DOUBLE / greatest(m, 1)))::BIGINT AS w
   FROM (SELECT pair_id, count(*) AS m FROM src GROUP BY pair_id) s JOIN (SELECT pair_id, count(*) AS n FROM tgt GROUP BY pair_id) t ON s.pair_id = t.pair_id),
 ri AS (SELECT pair_id, m, n, w, unnest(range(0, m + 1)) AS i FROM size),
 band AS (SELECT pair_id, i, greatest(0, floor(i * n::DOUBLE / greatest(m, 1) + 0.5)::BIGINT - w) AS lo, least(n, floor(i * n::DOUBLE / greatest(m, 1) + 0.5)::BIGINT + w) AS hi FROM ri)
@@ -121,7 +132,7 @@ band AS (SELECT pair_id, i, greatest(0, floor(i * n::DOUBLE / greatest(m, 1) + 0
 def band_limits(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
     sizes = src.groupBy("pair_id").agg(F.count("*").alias("m")).join(tgt.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id")
-    return vectors.band(sizes, least=10)
+    return vectors.band(sizes)
 
 
 @query("WITH " + BAND + """
@@ -130,7 +141,7 @@ FROM band JOIN src ON src.pair_id = band.pair_id AND src.i = band.i - 1 JOIN tgt
 """)
 def band_candidates(spark, sf_dir):
     src, tgt = inputs.label_sequences(spark, sf_dir)
-    return vectors.band_candidates(src, tgt, least=10).withColumn("sim", r6(F.col("sim")))
+    return vectors.band_candidates(src, tgt).withColumn("sim", r6(F.col("sim")))
 
 
 @query("""
@@ -173,14 +184,14 @@ def cleaned_paragraphs(spark, sf_dir):
     return sentences.clean(inputs.paragraphs(spark, sf_dir), sentences.valid_rules(spark, RULES))
 
 
-@query("WITH " + inputs.SENTENCES + " SELECT *, count(*) OVER (PARTITION BY book_id) > 200 AS truncated FROM sentences QUALIFY global_idx < 200")
+@query("WITH " + inputs.SENTENCES + " SELECT *, count(*) OVER (PARTITION BY book_id) > 10000 AS truncated FROM sentences QUALIFY global_idx < 10000")
 def split_sentences(spark, sf_dir):
-    return sentences.sentences(inputs.paragraphs(spark, sf_dir), cap=200)
+    return sentences.book_sentences(inputs.books(spark, sf_dir), delimiter="\n")
 
 
-@query("WITH " + inputs.SENTENCES + " SELECT book_id, least(count(*), 100)::BIGINT AS n_sentences, count(*) > 100 AS truncated FROM sentences GROUP BY book_id")
+@query("WITH " + inputs.SENTENCES + " SELECT book_id, least(count(*), 100000)::BIGINT AS n_sentences, count(*) > 100000 AS truncated FROM sentences GROUP BY book_id")
 def sentence_counts(spark, sf_dir):
-    return sentences.sentence_counts(inputs.paragraphs(spark, sf_dir), cap=100)
+    return sentences.sentence_counts(inputs.paragraphs(spark, sf_dir))
 
 
 @query("""SELECT doc_id, CASE WHEN lower(lang) IN ('jp', 'ja') THEN 'ja' WHEN lower(lang) IN ('zh', 'zh-cn', 'zh-tw', 'ko') THEN lower(lang) WHEN coalesce(lang, '') = '' THEN 'und' ELSE lang END AS locale,
@@ -193,32 +204,12 @@ def text_facts(spark, sf_dir):
 # ---------------------------------------------------------------- whole pipelines
 
 
-BOOK_VECTORS = inputs.SENTENCES + """,
-jobs AS (SELECT source AS pair_id, min(CASE WHEN lang = 'en' THEN doc_id END) AS s, min(CASE WHEN lang = 'fr' THEN doc_id END) AS t FROM documents GROUP BY source),
-used AS (SELECT pair_id, 0 AS side, s AS book_id FROM jobs WHERE s IS NOT NULL AND t IS NOT NULL UNION ALL SELECT pair_id, 1, t FROM jobs WHERE s IS NOT NULL AND t IS NOT NULL),
-padded AS (SELECT pair_id, side, global_idx, ' ' || lower(text) || ' ' AS t FROM sentences JOIN used ON used.book_id = sentences.book_id),
-grams AS (SELECT pair_id, side, global_idx, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS k FROM padded),
-dims AS (SELECT pair_id, side, global_idx, ('0x' || substr(md5(substr(t, k, 3)), 1, 8))::BIGINT % 64 AS d, count(*) AS n FROM grams GROUP BY pair_id, side, global_idx, d),
-lens AS (SELECT pair_id, side, global_idx, sqrt(sum(n * n)::DOUBLE) AS len FROM dims GROUP BY pair_id, side, global_idx),
-axes AS (SELECT pair_id, side, global_idx, len, unnest(range(0, 64)) AS d FROM lens),
-vecs AS (SELECT x.pair_id AS pair_id, x.side AS side, x.global_idx AS global_idx, list((coalesce(n, 0) / len)::FLOAT ORDER BY x.d) AS v
-  FROM axes x LEFT JOIN dims g ON g.pair_id = x.pair_id AND g.side = x.side AND g.global_idx = x.global_idx AND g.d = x.d GROUP BY x.pair_id, x.side, x.global_idx),
-src AS (SELECT pair_id, global_idx::BIGINT AS i, v AS a FROM vecs WHERE side = 0),
-tgt AS (SELECT pair_id, global_idx::BIGINT AS j, v AS b FROM vecs WHERE side = 1)
-"""
-
-BOOK_PAIRS = moves_sql(BOOK_VECTORS, GAP) + """,
-texts AS (SELECT pair_id, side, global_idx, sent_idx, para_idx, text FROM sentences JOIN used ON used.book_id = sentences.book_id),
-book_pairs AS (SELECT m.pair_id AS pair_id, pair_seq, coalesce(s.text, '') AS src_text, coalesce(t.text, '') AS tgt_text, s.sent_idx AS src_sent_idx, s.para_idx AS src_para_idx, src_global_idx, t.sent_idx AS tgt_sent_idx, t.para_idx AS tgt_para_idx, tgt_global_idx, alignment_type, confidence
-  FROM moves m LEFT JOIN texts s ON s.pair_id = m.pair_id AND s.side = 0 AND s.global_idx = m.src_global_idx LEFT JOIN texts t ON t.pair_id = m.pair_id AND t.side = 1 AND t.global_idx = m.tgt_global_idx)
-"""
-
-
-@query(BOOK_PAIRS + "SELECT * FROM book_pairs")
+@query()
 def align_languages(spark, sf_dir):
+    """English books with the French, German and Spanish ones of their source, by rank. SQL is too slow for whole tables."""
     books = inputs.books(spark, sf_dir)
-    jobs = plan.language_jobs(books)
-    pairs = plan.align_books(jobs, inputs.lines_of(plan.books_of(jobs, books)), band=1.0, gap=GAP)
+    jobs = checkpointed(plan.language_jobs(books, (("en", "fr"), ("en", "de"), ("en", "es"))))
+    pairs = plan.align_books(jobs, inputs.lines_of(plan.books_of(jobs, books)), gap=GAP)
     return pairs.withColumn("confidence", r6(F.col("confidence")))
 
 
@@ -283,7 +274,7 @@ SELECT pair_id, display_idx::INT AS display_idx, chapter_idx, 'ch' || lpad((chap
 """)
 def chapters(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "documents").select(F.col("source").alias("pair_id"), "doc_id")
-    shown = paras.numbered(rows, "pair_id", ["doc_id"], "display_idx")
+    shown = ranked(rows, ["pair_id"], ["doc_id"], "display_idx")
     return display.chapters(shown, F.col("pair_id")).select("pair_id", "display_idx", "chapter_idx", "chapter_id", "chapter_title")
 
 
@@ -503,28 +494,58 @@ def file_catalog(spark, sf_dir):
 # ---------------------------------------------------------------- search
 
 
-@query("WITH " + NUMBERED + """,
-q AS (SELECT item_id AS query_id, lower(trim(substr(text, 1, 4))) AS q FROM benchmark WHERE item_id < 20),
+def asked_queries(spark, sf_dir):
+    """The query set: every benchmark row whose id is divisible by 20, whole."""
+    return inputs.table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def search_pairs_sql(asked: str) -> str:
+    return "WITH " + NUMBERED + f""",
+q AS ({asked}),
 h AS (SELECT query_id, pair_id, display_idx, pair_idx, CASE WHEN instr(lower(src_text), q) > 0 THEN src_text ELSE tgt_text END AS snippet FROM ranked, q WHERE instr(lower(src_text), q) > 0 OR instr(lower(tgt_text), q) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, pair_id ORDER BY display_idx, pair_idx) AS rank, count(*) OVER (PARTITION BY query_id, pair_id) AS n FROM h)
-SELECT query_id, pair_id, rank::INT AS rank, display_idx || '-' || pair_idx AS id, display_idx::INT AS para_idx, snippet, n > 2 AS has_more FROM r WHERE rank <= 2
-""")
+SELECT query_id, pair_id, rank::INT AS rank, display_idx || '-' || pair_idx AS id, display_idx::INT AS para_idx, snippet, n > 30 AS has_more FROM r WHERE rank <= 30
+"""
+
+
+ASKED = "SELECT item_id AS query_id, lower(trim(text)) AS q FROM benchmark WHERE item_id % 20 = 0 AND trim(text) <> ''"
+
+
+@query(search_pairs_sql(ASKED))
 def search_pairs(spark, sf_dir):
     shown = display.numbered(display.displayed(inputs.turns(spark, sf_dir)))
-    asked = inputs.table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 4).alias("query"))
-    return search.search_pairs(shown, asked, most=2)
+    return search.search_pairs(shown, asked_queries(spark, sf_dir))
+
+
+@query(search_pairs_sql("SELECT conv_id * 1000 + turn AS query_id, lower(trim(text)) AS q FROM conversations WHERE conv_id % 20 = 0 AND trim(text) <> ''"))
+def search_turns(spark, sf_dir):
+    """Turns of every twentieth conversation, searched in all."""
+    shown = display.numbered(display.displayed(inputs.turns(spark, sf_dir)))
+    asked = inputs.table(spark, sf_dir, "conversations").where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    return search.search_pairs(shown, asked)
 
 
-@query("WITH " + inputs.PARAGRAPHS + """,
-q AS (SELECT item_id AS query_id, lower(trim(substr(text, 1, 12))) AS q FROM benchmark),
+def search_books_sql(asked: str) -> str:
+    return "WITH " + inputs.PARAGRAPHS + f""",
+q AS ({asked}),
 h AS (SELECT query_id, book_id, para_idx, text, q, instr(lower(text), q) - 1 AS hit FROM paragraphs, q WHERE instr(lower(text), q) > 0),
 c AS (SELECT *, greatest(0, hit - 50) AS a, least(length(text), hit + length(q) + 50) AS z FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, book_id ORDER BY para_idx) AS rank, count(*) OVER (PARTITION BY query_id, book_id) AS n FROM c)
 SELECT query_id, book_id, rank::INT AS rank, para_idx, CASE WHEN a > 0 THEN '…' ELSE '' END || substr(text, a + 1, z - a) || CASE WHEN z < length(text) THEN '…' ELSE '' END AS snippet, n > 30 AS has_more FROM r WHERE rank <= 30
-""")
+"""
+
+
+@query(search_books_sql("SELECT book_id * 100000 + para_idx AS query_id, lower(text) AS q FROM paragraphs WHERE book_id % 20 = 0"))
+def search_lines(spark, sf_dir):
+    """Lines of every twentieth book, searched in all."""
+    lines = inputs.paragraphs(spark, sf_dir)
+    asked = lines.where("book_id % 20 = 0").select((F.col("book_id") * 100_000 + F.col("para_idx")).alias("query_id"), F.col("text").alias("query"))
+    return search.search_books(lines, asked)
+
+
+@query(search_books_sql(ASKED))
 def search_books(spark, sf_dir):
-    asked = inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("query"))
-    return search.search_books(inputs.paragraphs(spark, sf_dir), asked)
+    return search.search_books(inputs.paragraphs(spark, sf_dir), asked_queries(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- catalog
