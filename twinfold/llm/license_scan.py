@@ -141,10 +141,10 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple = TEMPLATES,
 
 
 def best_license(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, license, dice, start, n_matches) of scanned rows: the best coefficient, then the longest window, then the first template."""
+    """(id, license, dice, start, n_matches) of scanned rows: the best coefficient, then the longest window, then the first template; start is -1 without one."""
     top = F.array_max(F.transform("licenses", lambda x: F.struct(x["dice"].alias("dice"), x["words"].alias("words"), (-x["template"]).alias("k"), x["license"].alias("license"), x["start"].alias("start"))))
     first = found.select(id_col, top.alias("b"), F.size("licenses").cast("long").alias("n_matches"))
-    return first.select(id_col, F.col("b.license").alias("license"), F.round(F.coalesce("b.dice", F.lit(0.0)), 6).alias("dice"), F.col("b.start").cast("long").alias("start"), "n_matches")
+    return first.select(id_col, F.col("b.license").alias("license"), F.round(F.coalesce("b.dice", F.lit(0.0)), 6).alias("dice"), F.coalesce(F.col("b.start"), F.lit(-1)).cast("long").alias("start"), "n_matches")
 
 
 def op1_license_scan(spark, sf_dir):
@@ -171,7 +171,7 @@ e AS (SELECT *, 2.0::DOUBLE * m / (a + b) AS dice FROM d WHERE 2.0::DOUBLE * m /
 t AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, p) = 1),
 f AS (SELECT t.*, least(t.n, len(w.w) - p + 1) AS words, count(*) OVER (PARTITION BY t.doc_id) AS n_matches FROM t JOIN w ON w.doc_id = t.doc_id),
 u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, words DESC, k) = 1)
-SELECT w.doc_id AS doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, (p - 1)::BIGINT AS start, coalesce(n_matches, 0)::BIGINT AS n_matches FROM w LEFT JOIN u ON u.doc_id = w.doc_id
+SELECT w.doc_id AS doc_id, license, round(coalesce(dice, 0.0), 6) AS dice, coalesce(p - 1, -1)::BIGINT AS start, coalesce(n_matches, 0)::BIGINT AS n_matches FROM w LEFT JOIN u ON u.doc_id = w.doc_id
 """
 
 
