@@ -2,7 +2,7 @@
 
 Texts with one set of word shingles are one node. Nodes that agree in all hashes of a band share a
 bucket, and so do those that the caller puts into one. In each round every bucket compares some
-heads (the first node; in later rounds the first of 4, 16, ... parts) with its others, by the exact
+heads (the first node; in later rounds the first of 8, 64, ... parts) with its others, by the exact
 Jaccard similarity of their shingles. Heads leave the bucket, and so do nodes that are near to a
 head before them, until no bucket has two. So work grows with a bucket's size and the number of its
 different texts, not with the square of a group of copies. At a similarity of 0.8 a pair shares no
@@ -24,6 +24,8 @@ SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 5
 #: Characters between words, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Each round has so many times the heads of the one before.
+HEADS = 8
 #: Word hashes a worker remembers; shingles hashed at once; comparisons of one text in a task.
 KNOWN, BLOCK, SHARE = 1 << 17, 2048, 1000
 
@@ -143,29 +145,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
         return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
 
+    shared = several(rows)
+    need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    texts = whole.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
+    # every node of a shared bucket is compared in the first round; later rounds read the same texts
+    texts = checkpointed(texts.dropDuplicates(["node"]))
+
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.distinct())
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = checkpointed(nodes.join(need, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
-        need = broadcast_if_small(need, need.count(), 64)
-        whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-        texts = whole.join(need, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
-        return checkpointed(checked(pairs, checkpointed(texts.dropDuplicates(["node"])), shingle, least))
-
-    open_ = shared = several(rows)
-    edges, heads = docs.sparkSession.createDataFrame([], "a long, b long"), 1
-    while not open_.isEmpty():
+        """Those of the distinct, checkpointed pairs that are near."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = texts.join(broadcast_if_small(used, 2 * pairs.count(), 64), "node", "left_semi")
+        return checkpointed(checked(pairs, some, shingle, least))
+
+    open_, heads = shared, 1
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    while True:
         part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
         first = checkpointed(open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
         pairs = first.join(open_.withColumnRenamed("node", "b"), "bucket")
         # a pair of heads is compared once
         twice = first.withColumnRenamed("a", "b").withColumn("also", F.lit(True))
         pairs = pairs.join(twice, ["bucket", "b"], "left").where("a < b or (a > b and also is null)")
-        found = near(pairs.select("a", "b"))
+        asked = checkpointed(pairs.select("a", "b").distinct())
+        if asked.isEmpty():  # a bucket of two nodes or more always has a pair
+            break
+        found = near(asked)
         edges = edges.unionByName(found)
         gone = first.select("bucket", F.col("a").alias("node")).unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
-        open_ = several(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
-        heads *= 4
+        open_ = checkpointed(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
+        heads *= HEADS
     member = components(edges)
     if across:
         met = shared.select("node", "bucket").join(member, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
@@ -173,7 +182,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         met = checkpointed(met.join(mixed, "bucket", "left_semi"))
         other = met.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
         pairs = met.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> other").select("a", "b")
-        member = components(edges.unionByName(near(pairs)))
+        member = components(edges.unionByName(near(checkpointed(pairs.distinct()))))
 
     rooted = nodes.join(member, "node", "left").select("set", F.col("node"), F.coalesce("root", "node").alias("root"), F.col("id").alias("i"), F.col("t").alias("u"))
     heads = nodes.select(F.col("node").alias("root"), F.col("id").alias("group_id"))
