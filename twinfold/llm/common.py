@@ -48,3 +48,9 @@ def with_columns(docs: DataFrame, text_col: str, start: Callable, new: dict[str,
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made(batch.column(at)))], names)
 
     return text_batches(kept).mapInArrow(run, schema)
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns of these names, in any case."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
