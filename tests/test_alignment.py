@@ -196,3 +196,27 @@ def test_sentence_ends(spark):
     assert [tuple(r) for r in sentences.book_sentences(books, cap=2).orderBy("global_idx").collect()] == [(1, 0, 0, 0, "One.", True), (1, 0, 1, 1, "Two.", True)]
     long = spark.createDataFrame([(1, 0, "1.2" * 200_000 + ". " * 100_000 + "a" * 300_000)], "book_id int, para_idx int, text string")
     assert sentences.sentences(long, cap=None).count() > 0
+
+
+def test_sentence_breaks_by_language(spark):
+    cases = [
+        ("en", "Dr. No met Mr. Bond. He left.", ["Dr. No met Mr. Bond.", "He left."]),
+        ("de", "Dr. No kam. Z.B. Berlin vgl. Abb. Zwei. Ende", ["Dr. No kam.", "Z.B. Berlin vgl. Abb. Zwei.", "Ende"]),
+        (None, "Dr. No met him.", ["Dr.", "No met him."]),
+        ("en", '"Go." Then she went (at 9.) He slept.', ['"Go."', "Then she went (at 9.)", "He slept."]),
+        ("en", "It is 3.14, e.g. the U.S.A today. Next? , no; yes", ["It is 3.14, e.g. the U.S.A today.", "Next? , no; yes"]),
+        ("ja", "そうか！「行け。」彼は。。。終わり", ["そうか！", "「行け。」", "彼は。。。", "終わり"]),
+        ("hi", "यह है। वह है। 3 items. 3 men came", ["यह है।", "वह है।", "3 items. 3 men came"]),
+        ("en", "Wait... what? No... Yes!!", ["Wait... what?", "No...", "Yes!!"]),
+    ]
+    rows = spark.createDataFrame([(k, 0, t, lang) for k, (lang, t, _) in enumerate(cases)], "book_id int, para_idx int, text string, lang string")
+    got = {k: [] for k in range(len(cases))}
+    for r in sentences.sentences(rows, lang="lang").orderBy("book_id", "global_idx").collect():
+        got[r["book_id"]].append(r["text"])
+    assert list(got.values()) == [want for *_, want in cases]
+
+
+def test_sentence_breaks_of_long_texts(spark):
+    texts = ["a" * 500_000 + " b. C", "." * 500_000 + " x", "x. " * 100_000, " " * 500_000 + "a.", "!" * 300_000 + ")" * 300_000]
+    rows = spark.createDataFrame([(k, 0, t, "en") for k, t in enumerate(texts)], "book_id int, para_idx int, text string, lang string")
+    assert {r["book_id"]: r["n"] for r in sentences.sentences(rows, cap=None, lang="lang").groupBy("book_id").agg(F.count("*").alias("n")).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1}

@@ -97,15 +97,6 @@ def decode_entities(c: Column) -> Column:
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
-#: Where a sentence ends, with what follows the end: full-width marks; ! and ? before a blank; dots before a blank that no lower-case letter follows.
-CLOSERS = "」』”’)"
-ENDS = (
-    (f"([。！？][.!?。！？]*[{CLOSERS}]*)", "$1\x01"),
-    (rf"([.!?]*[!?][.!?]*[{CLOSERS}]*)\s+", "$1\x01"),
-    (rf"(\.[{CLOSERS}]*)\s+(\P{{Ll}})", "$1\x01$2"),
-)
-
-
 def paragraph_texts(text: Column, delimiter: str = r"\n{2,}", crlf: bool = True) -> Column:
     """The paragraphs of a text: split at the delimiter, inner line breaks become one space, empties dropped."""
     raw = F.coalesce(text, F.lit(""))
@@ -115,11 +106,3 @@ def paragraph_texts(text: Column, delimiter: str = r"\n{2,}", crlf: bool = True)
     if delimiter != "\n":  # such parts hold no line break
         parts = F.transform(parts, lambda p: F.regexp_replace(F.replace(p, F.lit("\r"), F.lit("")), r"[ \t]*\n+[ \t]*", " "))
     return F.array_remove(F.transform(parts, trim), "")
-
-
-def sentence_texts(text: Column) -> Column:
-    """The sentences of a paragraph, with their end marks; blank ones dropped."""
-    marked = F.coalesce(text, F.lit(""))
-    for pattern, new in ENDS:
-        marked = F.regexp_replace(marked, pattern, new)
-    return F.array_remove(F.transform(F.split(marked, "\x01"), trim), "")

@@ -8,7 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinfold.functions.text import paragraph_texts, replacement, sentence_texts
+from twinfold.functions.sentence_breaks import sentence_texts
+from twinfold.functions.text import paragraph_texts, replacement
 
 CAP, COUNT_CAP = 10_000, 100_000
 
@@ -36,14 +37,14 @@ def clean(paragraphs: DataFrame, rules: list[tuple[str, str]], text: str = "text
     return paragraphs.withColumn(text, made)
 
 
-def sentences(paragraphs: DataFrame, key: str = "book_id", cap: int | None = CAP) -> DataFrame:
+def sentences(paragraphs: DataFrame, key: str = "book_id", cap: int | None = CAP, lang: str | None = None) -> DataFrame:
     """(key, para_idx, sent_idx, global_idx, text, truncated).
 
     Blank paragraphs and sentences are dropped; sent_idx restarts by paragraph and global_idx runs
-    over the book. Sentences from ``cap`` on are dropped and the book is flagged. One shuffle brings
+    over the book; ``lang`` names the column of their language. Sentences from ``cap`` on are dropped and the book is flagged. One shuffle brings
     a book's paragraphs together, a row each; sentences are numbered from what stands before them.
     """
-    rows = paragraphs.select(key, "para_idx", sentence_texts(F.col("text")).alias("parts")).where("size(parts) > 0")
+    rows = paragraphs.select(key, "para_idx", sentence_texts(F.col("text"), F.col(lang) if lang else None).alias("parts")).where("size(parts) > 0")
     before = Window.partitionBy(key).orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
     total = F.sum(F.size("parts")).over(Window.partitionBy(key))
@@ -53,16 +54,16 @@ def sentences(paragraphs: DataFrame, key: str = "book_id", cap: int | None = CAP
     return found if cap is None else found.where(F.col("global_idx") < cap)
 
 
-def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = CAP, delimiter: str = r"\n{2,}") -> DataFrame:
+def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = CAP, delimiter: str = r"\n{2,}", lang: str | None = None) -> DataFrame:
     """As ``sentences``, straight from whole texts (key, text), one per book: nothing is shuffled."""
-    by_para = F.transform(paragraph_texts(F.col(text), delimiter), lambda p, i: F.transform(sentence_texts(p), lambda s, k: F.struct(i.alias("para_idx"), k.alias("sent_idx"), s.alias("text"))))
+    by_para = F.transform(paragraph_texts(F.col(text), delimiter), lambda p, i: F.transform(sentence_texts(p, F.col(lang) if lang else None), lambda s, k: F.struct(i.alias("para_idx"), k.alias("sent_idx"), s.alias("text"))))
     rows = books.select(key, F.flatten(by_para).alias("s"))
     cut = F.col("s") if cap is None else F.slice("s", 1, cap)
     rows = rows.select(key, F.lit(False).alias("truncated") if cap is None else (F.size("s") > cap).alias("truncated"), F.posexplode(cut).alias("global_idx", "s"))
     return rows.select(key, "s.para_idx", "s.sent_idx", "global_idx", "s.text", "truncated")
 
 
-def sentence_counts(paragraphs: DataFrame, key: str = "book_id", cap: int = COUNT_CAP) -> DataFrame:
+def sentence_counts(paragraphs: DataFrame, key: str = "book_id", cap: int = COUNT_CAP, lang: str | None = None) -> DataFrame:
     """(key, n_sentences, truncated) without numbering a sentence."""
-    total = F.sum(F.size(sentence_texts(F.col("text"))))
+    total = F.sum(F.size(sentence_texts(F.col("text"), F.col(lang) if lang else None)))
     return paragraphs.groupBy(key).agg(F.least(total, F.lit(cap)).cast("long").alias("n_sentences"), (total > cap).alias("truncated"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinfold.functions import text as tx
+from twinfold.functions import sentence_breaks as breaks
 from twinfold.sources.paragraphs import text_paragraphs
 
 
@@ -78,22 +78,23 @@ paragraphs AS (SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY
   FROM (SELECT book_id, pos, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM cut) WHERE text <> '')
 """
 
-def marked_sql(text: str) -> str:
-    """Sentence ends of a text followed by chr(1)."""
-    for pattern, new in tx.ENDS:
-        made = r"'\1' || chr(1)" + (r" || '\2'" if "$2" in new else "")
-        text = f"regexp_replace({text}, '{pattern}', {made}, 'g')"
-    return text
-
-
-SENTENCES = PARAGRAPHS + rf""",
-found AS (SELECT book_id, para_idx, string_split({marked_sql("text")}, chr(1)) AS parts FROM paragraphs),
-split AS (SELECT book_id, para_idx, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM found),
-trimmed AS (SELECT book_id, para_idx, pos, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM split),
+def split_sql(rows: str) -> str:
+    """Sentences of ``rows`` (book_id, para_idx, text, lang)."""
+    return rf"""
+found AS (SELECT book_id, para_idx, lang, regexp_extract_all(text, '{breaks.PIECE}') AS parts FROM ({rows})),
+cut_parts AS (SELECT book_id, para_idx, lang, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM found),
+beside AS (SELECT *, lead(part) OVER (PARTITION BY book_id, para_idx ORDER BY pos) AS nxt FROM cut_parts),
+ends AS (SELECT book_id, para_idx, pos, part, {breaks.breaks_sql("part", "nxt", "lang")} AS ended FROM beside),
+runs AS (SELECT *, coalesce(sum(ended::INT) OVER (PARTITION BY book_id, para_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM ends),
+whole AS (SELECT book_id, para_idx, run AS pos, string_agg(part, '' ORDER BY pos) AS part FROM runs GROUP BY book_id, para_idx, run),
+trimmed AS (SELECT book_id, para_idx, pos, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM whole),
 sentences AS (SELECT book_id, para_idx, (row_number() OVER (PARTITION BY book_id, para_idx ORDER BY pos) - 1)::INT AS sent_idx,
   (row_number() OVER (PARTITION BY book_id ORDER BY para_idx, pos) - 1)::INT AS global_idx, text FROM trimmed WHERE text <> '')
 """
 
+
+SENTENCES = PARAGRAPHS + "," + split_sql("SELECT book_id, para_idx, paragraphs.text AS text, lang FROM paragraphs JOIN documents ON doc_id = book_id")
+
 #: Vectors to a block of a sequence: about a tenth of them have each label.
 BLOCK = 2000
 

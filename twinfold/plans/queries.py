@@ -186,12 +186,24 @@ def cleaned_paragraphs(spark, sf_dir):
 
 @query("WITH " + inputs.SENTENCES + " SELECT *, count(*) OVER (PARTITION BY book_id) > 10000 AS truncated FROM sentences QUALIFY global_idx < 10000")
 def split_sentences(spark, sf_dir):
-    return sentences.book_sentences(inputs.books(spark, sf_dir), delimiter="\n")
+    return sentences.book_sentences(inputs.books(spark, sf_dir), delimiter="\n", lang="lang")
+
+
+BOUNDARIES = {"f": "She met Dr. No at 3.14 p.m. in the U.S.A today", "s": "e.g. this; z.B. Berlin... or not? “Yes.” Then", "c": "彼は「行け。」と言った。そうか！」 Mr. X left (at 9.) He slept."}
+
+
+@query("WITH " + inputs.split_sql("SELECT conv_id * 10 + k AS book_id, turn AS para_idx, CASE k " + " ".join(f"WHEN {n} THEN '{t} '" for n, t in enumerate(BOUNDARIES.values())) + " END || text || ' ' || CASE k " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(BOUNDARIES.values())) + " END AS text, 'en' AS lang FROM conversations, range(3) r(k) WHERE text IS NOT NULL") + " SELECT book_id, para_idx, global_idx, text FROM sentences")
+def sentence_boundaries(spark, sf_dir):
+    """Turns between awkward sentences, in three ways: abbreviations, numbers, closers, full-width marks."""
+    ways = F.posexplode(F.array(*[F.concat(F.lit(t + " "), F.col("text"), F.lit(" " + t)) for t in BOUNDARIES.values()])).alias("k", "text")
+    rows = inputs.table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", F.col("turn").alias("para_idx"), ways)
+    found = sentences.sentences(rows.select((F.col("conv_id") * 10 + F.col("k")).alias("book_id"), "para_idx", "text", F.lit("en").alias("lang")), cap=None, lang="lang")
+    return found.select("book_id", "para_idx", "global_idx", "text")
 
 
 @query("WITH " + inputs.SENTENCES + " SELECT book_id, least(count(*), 100000)::BIGINT AS n_sentences, count(*) > 100000 AS truncated FROM sentences GROUP BY book_id")
 def sentence_counts(spark, sf_dir):
-    return sentences.sentence_counts(inputs.paragraphs(spark, sf_dir))
+    return sentences.sentence_counts(paras.text_paragraphs(inputs.books(spark, sf_dir), delimiter="\n", keep=("lang",)), lang="lang")
 
 
 @query("""SELECT doc_id, CASE WHEN lower(lang) IN ('jp', 'ja') THEN 'ja' WHEN lower(lang) IN ('zh', 'zh-cn', 'zh-tw', 'ko') THEN lower(lang) WHEN coalesce(lang, '') = '' THEN 'und' ELSE lang END AS locale,
