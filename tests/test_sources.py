@@ -56,6 +56,30 @@ def test_blocks(spark):
     assert blocks(spark, None) == [] and blocks(spark, "") == []
 
 
+def test_nested_blocks_and_images(spark):
+    page = """<body><div class="bs1">a<div>b<div class="bs">c<img src='../i/1.png'/></div>d</div>e</div>lost<div class="bs"><img src="../i/gone.png"></div>
+    <div class="bs"><svg><image xlink:href="2.png"/></svg><img src="../i/1.png"><img src="../i/1.png"></div></div><p>no</p></body>"""
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    members = spark.createDataFrame([(1, "O/i/1.png"), (1, "O/t/2.png"), (2, "O/i/gone.png")], "page_id int, path string")
+    want = [(1, 0, "abcde", ["O/i/1.png"]), (1, 1, "c", ["O/i/1.png"]), (1, 2, "", ["O/i/1.png", "O/t/2.png"])]
+    assert rows(markup.blocks(df, path=F.lit("O/t/c.xhtml"), members=members, on=["page_id"]), "block_idx") == want
+    lines = spark.createDataFrame([(1, "<body>x<img src='a.png'>y<br><rt>gone</rt>z<div class='parag'></div></body>"), (2, "<body>x<img src='a.png'>y<br>z</body>"), (3, "<body><p><img src='a.png'></p>lost</body>")], "page_id int, html string")
+    assert rows(markup.blocks(lines), "page_id", "block_idx") == [(2, 0, "x", []), (2, 1, "", ["a.png"]), (2, 2, "y", []), (2, 3, "z", []), (3, 0, "", ["a.png"])]
+
+
+def test_odd_pages_are_read_once(spark):
+    many = 300_000
+    odd = ["<!--" * many, "<a " * many, "<script" * many, "<rt>" * (many // 10) + "x", "<body " * many, "<div class='bs'>" * 3000 + "x", "&" * many + "&#65;", "<p>a</p>" * 20_000]
+    df = spark.createDataFrame(list(enumerate(odd)), "page_id int, html string").repartition(4)
+    assert {r["page_id"]: r["n"] for r in markup.blocks(df).groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {5: 3000, 6: 1, 7: 20_000}
+
+
+def test_entities_of_all_planes(spark):
+    cases = {"&#65;&#x42;": "AB", "&#99999;": chr(99999), "&#128512;&#x1F600;": "😀😀", "&hellip;&eacute;&apos;": "…é'", "&#0;&#xD800;&#1114112;&#99999999999999999999;": "\ufffd" * 4, "&nope; & &amp;lt; &amp": "&nope; & &lt; &amp", "&#000065;": "A", "": ""}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert df.where(tx.decode_entities(F.col("t")) != F.col("want")).collect() == [] and df.count() == len(cases)
+
+
 def test_images_paths_and_types(spark):
     df = spark.createDataFrame([(1, '<img src="../images/a.jpg"><image xlink:href="b.PNG"/><img src="../images/a.jpg"><image href="http://x/y.gif"/>')], "page_id int, html string")
     got = rows(markup.image_refs(df, F.lit("OEBPS/text/c.xhtml")), "image_idx")
@@ -152,4 +176,4 @@ def test_spine(spark):
     df = spark.createDataFrame([(1, good), (2, b"not a zip"), (3, None), (4, book({"x": "y"}))], "book_id int, content binary")
     pages = spine.spine(spine.members(df))
     assert rows(pages.select("book_id", "spine_pos", "path"), "spine_pos") == [(1, 0, "b.html"), (1, 1, "a.xhtml")]
-    assert rows(spine.book_paragraphs(pages), "para_idx") == [(1, 0, "First."), (1, 1, "One."), (1, 2, "Two.")]
+    assert rows(spine.book_paragraphs(pages), "para_idx") == [(1, 0, "First.", []), (1, 1, "One.", []), (1, 2, "Two.", [])]

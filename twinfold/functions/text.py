@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 
 from pyspark.sql import Column
@@ -73,28 +75,36 @@ def has_mojibake(c: Column) -> Column:
 
 def mime_type(path: Column) -> Column:
     ext = F.lower(F.element_at(F.split(path, r"\."), -1))
+    # Fixed values.
     known = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), ext), F.lit("application/octet-stream"))
 
 
 def resolve_path(base: Column, href: Column) -> Column:
-    """``href`` seen from the document ``base``: ``..`` and ``.`` are followed; a leading / is dropped."""
-    folder = F.when(href.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(F.split(base, "/"), F.lit(1), F.size(F.split(base, "/")) - 1))
+    """``href`` seen from the folder of the document ``base``: ``..`` and ``.`` are followed; empty steps, also that of a leading /, are dropped."""
+    folder = F.slice(F.split(base, "/"), F.lit(1), F.size(F.split(base, "/")) - 1)
     steps = F.filter(F.concat(folder, F.split(href, "/")), lambda x: (x != "") & (x != "."))
     up = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
     return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")
 
 
 def decode_entities(c: Column) -> Column:
-    """The five named entities, &nbsp; and &copy;; numeric ones of the basic plane."""
-    # Fixed values.
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"), ("middot", "·")):
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,5}|[xX][0-9a-fA-F]{1,4});"), F.lit(1)))
-    code = lambda x: F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 9), 16, 10)).otherwise(x).cast("int")
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 4, "0")), "UTF-16BE")
-    c = F.when(F.size(found) > 0, F.aggregate(found, c, lambda s, x: F.replace(s, F.concat(F.lit("&#"), x, F.lit(";")), char(x)))).otherwise(c)
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """Named entities of HTML 4 and &apos;, and numeric ones of any plane, in one pass; numbers of no character give U+FFFD, unknown names stay."""
+    names = html.entities.name2codepoint | {"apos": ord("'")}
+    known = F.from_json(F.lit(json.dumps({name: chr(code) for name, code in names.items()})), "map<string,string>")
+
+    def numeric(digits: Column, base: int) -> Column:
+        number = F.when(F.length(F.ltrim(digits, F.lit("0"))) < 8, F.conv(digits, base, 10).cast("long"))
+        real = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def decoded(x: Column) -> Column:
+        name = F.regexp_extract(x, "^&(#?[xX]?)([0-9a-zA-Z]+);$", 2)
+        hexadecimal, decimal = x.rlike("^&#[xX][0-9a-fA-F]+;$"), x.rlike("^&#[0-9]+;$")
+        return F.when(~x.startswith("&"), x).when(decimal, numeric(name, 10)).when(hexadecimal, numeric(name, 16)).otherwise(F.coalesce(known[F.substring(x, 2, F.length(x) - 2)], x))
+
+    pieces = F.regexp_extract_all(c, F.lit("&[#0-9a-zA-Z]+;|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(c)
 
 
 def paragraph_texts(text: Column, delimiter: str = r"\n{2,}", crlf: bool = True) -> Column:

@@ -389,7 +389,7 @@ def blocks_sql() -> str:
         decoded = f"replace({decoded}, '&{name};', '{char}')"
     ends = ", ".join(f"'{t}'" for t in markup.BLOCK_TAGS)
     return rf"""
-WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<rt\b[^>]*>.*?</rt\s*>', '', 'g'), '(?is)^.*?<body\b[^>]*>', ''), '{markup.TOKEN}') AS tokens FROM pages),
+WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)^.*?<body\b[^>]*>', ''), '{markup.TOKEN}') AS tokens FROM pages),
 u AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM b),
 t AS (SELECT page_id, pos, CASE WHEN starts_with(token, '<') THEN lower(regexp_extract(token, '^</?\s*([A-Za-z][A-Za-z0-9:]*)', 1)) END AS tag, starts_with(token, '</') AS closing,
   CASE WHEN NOT starts_with(token, '<') THEN regexp_replace(token, '[ \t]*[\n\r]+[ \t]*', ' ', 'g') END AS text FROM u WHERE NOT regexp_matches(token, '(?is)^(<!|<script|<style|<\?)')),
@@ -405,7 +405,39 @@ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY part) - 1)::IN
 
 @query(blocks_sql())
 def page_blocks(spark, sf_dir):
-    return markup.blocks(inputs.table(spark, sf_dir, "pages"))
+    return markup.blocks(inputs.table(spark, sf_dir, "pages")).drop("image_ids")
+
+
+#: Lists of a page as divs in a div, each with an image; the files of even pages are there.
+NESTING = ((r"<ul>", r'<div class="x bs1">All &#x1F600;&hellip; '), (r'<li><a href="/([^"]*)">', r'<div class="bs"><img src="../img/\1.png" alt=""/>'), (r"</a></li>|</ul>", "</div>"))
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{NESTING[0][0]}', '{NESTING[0][1]}', 'g'), '{NESTING[1][0]}', '{NESTING[1][1]}', 'g'), '{NESTING[2][0]}', '{NESTING[2][1]}', 'g') AS html FROM pages),
+b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)^.*?<body\b[^>]*>', ''), '{markup.TOKEN}') AS tokens FROM h),
+u AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM b),
+d AS (SELECT *, starts_with(token, '<div') AS opens, token = '</div>' AS shuts, regexp_matches(token, '^<div class="(x )?bs1?"') AS bs FROM u),
+l AS (SELECT *, sum(opens::INT - shuts::INT) OVER (PARTITION BY page_id ORDER BY pos) + shuts::INT AS level, sum(bs::INT) OVER (PARTITION BY page_id) AS n FROM d),
+s AS (SELECT page_id, pos AS low, bs, lead(pos) OVER (PARTITION BY page_id, level ORDER BY pos) AS high FROM l WHERE n >= 3 AND (opens OR shuts)),
+x AS (SELECT s.page_id AS page_id, low, pos, CASE WHEN NOT starts_with(token, '<') THEN token END AS text, CASE WHEN starts_with(token, '<img') AND u.page_id % 2 = 0 THEN regexp_extract(token, '<img src="../(img/[^"]*)"', 1) END AS image
+  FROM s JOIN u ON u.page_id = s.page_id AND pos > low AND pos < high WHERE bs),
+i AS (SELECT page_id, low, image, min(pos) AS pos FROM x WHERE image IS NOT NULL GROUP BY page_id, low, image),
+k AS (SELECT page_id, low, string_agg(image, ' ' ORDER BY pos) AS images FROM i GROUP BY page_id, low),
+y AS (SELECT page_id, low, string_agg(text, '' ORDER BY pos) AS text FROM x GROUP BY page_id, low),
+j AS (SELECT y.page_id AS page_id, y.low AS low, text, images FROM y LEFT JOIN k ON k.page_id = y.page_id AND k.low = y.low),
+t AS (SELECT page_id, low, regexp_replace(replace(replace(replace(replace(replace(text, '&quot;', '"'), '&#x1F600;', '😀'), '&hellip;', '…'), '&copy;', '©'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text, coalesce(images, '') AS images FROM j)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY low) - 1)::INT AS block_idx, text, images FROM t WHERE text <> '' OR images <> ''
+""")
+def nested_blocks(spark, sf_dir):
+    """Blocks of divs in divs with their images; pages with too few of them have none here."""
+    pages = inputs.table(spark, sf_dir, "pages").select("page_id", "html")
+    for pattern, new in NESTING:
+        pages = pages.withColumn("html", F.regexp_replace("html", pattern, new.replace("\\1", "$1")))
+    pages = pages.where(F.size(F.regexp_extract_all("html", F.lit('<div class="(x )?bs1?"'), F.lit(0))) >= 3)
+    names = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<img src="\.\./(img/[^"]*)"'), F.lit(1))))
+    members = pages.where("page_id % 2 = 0").select("page_id", names.alias("path"))
+    found = markup.blocks(pages, path=F.lit("text/page.xhtml"), members=members, on=["page_id"])
+    return found.select("page_id", "block_idx", "text", F.array_join("image_ids", " ").alias("images"))
 
 
 @query(r"""

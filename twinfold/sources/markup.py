@@ -8,66 +8,109 @@ from pyspark.sql import functions as F
 from twinfold.functions.text import decode_entities, mime_type, resolve_path, trim
 
 # Tags that end a line of the fallback rule.
-BLOCK_TAGS = "div p h1 h2 h3 h4 h5 h6 section article blockquote li td th".split()
-#: Tokens of a page; a script or style element is one token.
-TOKEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+"
+BLOCK_TAGS = ("div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "li", "td", "th")
+#: Tokens of a page; a script or style element is one token. What is not closed ends with the page, so that a page is read once, in linear time.
+TOKEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[^>]*(?:>|\z)|[^<]+"
 
 
-def without_readings(html: Column) -> Column:
-    """Without ruby readings."""
-    return F.regexp_replace(html, r"(?is)<rt\b[^>]*>.*?</rt\s*>", "")
+def attribute(token: Column, name: str) -> Column:
+    """The value of an attribute of a tag, '' if it has none."""
+    return F.regexp_extract(token, rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
-def tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, token, tag, close, text) of each page, in order; comments, scripts and styles dropped."""
-    body = F.regexp_replace(without_readings(F.coalesce(F.col(html), F.lit(""))), r"(?is)^.*?<body\b[^>]*>", "")
-    out = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("pos", "token")).where(r"token not rlike '(?is)^(<!|<script|<style|<\\?)'")
+def tokens(pages: DataFrame, key: str = "page_id", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """(key, pos, token, tag, close, text) of each page's body, in order; comments, scripts, styles and ruby readings dropped."""
+    out = pages.select(key, *(keep or []), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     tag = F.when(F.col("token").startswith("<"), F.lower(F.regexp_extract("token", r"^</?\s*([A-Za-z][A-Za-z0-9:]*)", 1)))
-    return out.withColumn("tag", tag).withColumn("close", F.col("token").startswith("</")).withColumn("text", F.when(~F.col("token").startswith("<"), F.regexp_replace("token", r"[ \t]*[\n\r]+[ \t]*", " ")))
-
-
-def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, block_idx, text) of each page by the first rule that applies.
-
-    Rules: three or more div of class bs, bs1, ...; p elements when any has text; div of class
-    calibre2 or with parag in its class; else lines between br and block tags. A p ends at its end
-    tag, the next p or a block tag.
+    out = out.withColumn("tag", tag).withColumn("close", F.col("token").startswith("</"))
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a reading ends with its end tag or that of its ruby, or where another part of the ruby begins
+    ruby = F.last(F.when(F.col("tag").isin("rt", "rb", "rp") | ((F.col("tag") == "ruby") & F.col("close")), (F.col("tag") == "rt") & ~F.col("close")), ignorenulls=True).over(run)
+    body = F.min(F.when((F.col("tag") == "body") & ~F.col("close"), F.col("pos"))).over(Window.partitionBy(key))
+    out = out.withColumn("reading", F.coalesce(ruby, F.lit(False))).withColumn("body", F.coalesce(body, F.lit(-1)))
+    out = out.where(r"pos > body and not reading and token not rlike '(?is)^(<!|<script|<style|<\\?)'").drop("reading", "body")
+    return out.withColumn("text", F.when(~F.col("token").startswith("<"), F.regexp_replace("token", r"[ \t]*[\n\r]+[ \t]*", " ")))
+
+
+def parted(t: DataFrame, key: str) -> DataFrame:
+    """Rows of ``t`` with the part that they are in: ``flat`` where that is given, else once for each div with the flag ``here`` around them, where it begins.
+
+    Divs are paired by depth. Each row is dealt to the levels of flagged divs that are open there; at
+    a level, the last one that began holds it. So rows grow with the result only, without comparing
+    rows with divs.
     """
-    t = tokens(pages, key, html)
-    class_ = F.regexp_extract("token", r"""(?is)\bclass\s*=\s*["']([^"']*)["']""", 1)
-    names = F.split(trim(class_), r"\s+")
-    is_open = F.col("tag").isNotNull() & ~F.col("close") & ~F.col("token").endswith("/>")
-    div = is_open & (F.col("tag") == "div")
-    t = t.withColumn("bs", div & F.exists(names, lambda c: c.rlike(r"^bs\d*$"))).withColumn("cal", div & F.exists(names, lambda c: (c == "calibre2") | c.contains("parag")))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens, shuts = (F.col("tag") == "div") & F.col("open"), (F.col("tag") == "div") & F.col("close")
+    t = t.withColumn("level", F.sum(flag(opens) - flag(shuts)).over(run) + flag(shuts))
+    pairs = Window.partitionBy(key, F.when(opens | shuts, F.col("level"))).orderBy("pos")
+    t = t.withColumn("shut", flag(shuts) * F.coalesce(F.lag(flag(opens & F.col("here"))).over(pairs), F.lit(0)))
+    t = t.withColumn("around", F.sum(flag(F.col("here")) - F.col("shut")).over(run).cast("int"))
+    none = F.array().cast("array<int>")
+    content = F.col("text").isNotNull() | F.col("image").isNotNull()
+    levels = F.when(F.col("flat").isNotNull(), F.when(content, F.array(F.lit(0))).otherwise(none)).when(F.col("here"), F.array("around")).when(content & (F.col("around") > 0), F.sequence(F.lit(1), F.col("around"))).otherwise(none)
+    dealt = t.select("*", F.explode(levels).alias("at"))
+    begun = F.last(F.when(F.col("here"), F.col("pos")), ignorenulls=True).over(Window.partitionBy(key, "at").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("part", F.coalesce("flat", begun.cast("long"))).where(content)
+
+
+def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", path: Column | None = None, members: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """(key, block_idx, text, image_ids) of each page by the first rule that applies.
+
+    Rules: three or more div of class bs, bs1, ...; p elements when any has text or an image; div of
+    class calibre2 or with parag in its class; else lines between br and block tags, images being
+    lines of their own. A p ends at its end tag, the next p or a block tag; what stands in several
+    divs of the rule is in the block of each. A block's images are its img, then its SVG images, each
+    source once, resolved against ``path`` if that is given; those that are not in ``members`` (path
+    and the columns ``on`` of the pages) are dropped. Blocks without text and images are dropped.
+    """
+    on = on or []
+    rows = pages.select(key, html, *([path.alias("_path")] if path is not None else []), *[F.col(c).alias(f"_on_{c}") for c in on if c != key])
+    carried = [c for c in rows.columns if c not in (key, html)]
+    t = tokens(rows, key, html, carried)
+    names = F.split(trim(attribute(F.col("token"), "class")), r"\s+")
+    t = t.withColumn("open", F.col("tag").isNotNull() & ~F.col("close") & ~F.col("token").endswith("/>"))
+    div = F.col("open") & (F.col("tag") == "div")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    t = t.withColumn("bs", yes(div & F.exists(names, lambda c: c.rlike(r"^bs\d*$")))).withColumn("cal", yes(div & F.exists(names, lambda c: (c == "calibre2") | c.contains("parag"))))
+    source = F.when(F.col("tag") == "img", attribute(F.col("token"), "src")).when(F.col("tag").isin("image", "svg:image"), F.coalesce(F.nullif(attribute(F.col("token"), "href"), F.lit("")), attribute(F.col("token"), "xlink:href")))
+    source = F.when(~F.col("close") & ~((F.col("tag") != "img") & source.rlike("(?i)^https?:")), F.nullif(decode_entities(source), F.lit("")))
+    t = t.withColumn("image", source)
     page = Window.partitionBy(key)
     run = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     ends = F.col("tag").isin(*BLOCK_TAGS)
-    p_open = is_open & (F.col("tag") == "p")
-    t = t.withColumn("p_part", F.sum(flag(ends)).over(run)).withColumn("br_part", F.sum(flag(ends | F.col("tag").isin("br", "img"))).over(run))
-    t = t.withColumn("in_p", F.coalesce(F.last(F.when(ends, p_open), ignorenulls=True).over(run), F.lit(False)))
-    depth = F.sum(F.when(F.col("tag") == "div", F.when(F.col("close"), -1).when(is_open, 1).otherwise(0)).otherwise(0)).over(run)
-    t = t.withColumn("depth", depth)
-    # the div of a class that is open: its start and depth; it ends when the depth falls below
-    for name in ("bs", "cal"):
-        t = t.withColumn(f"{name}_part", F.sum(flag(F.col(name))).over(run)).withColumn(f"{name}_depth", F.last(F.when(F.col(name), F.col("depth")), ignorenulls=True).over(run))
-        inside = Window.partitionBy(key, f"{name}_part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        t = t.withColumn(f"in_{name}", F.coalesce(F.min("depth").over(inside) >= F.col(f"{name}_depth"), F.lit(False)))
-    has_text = F.col("text").isNotNull() & (trim(decode_entities(F.col("text"))) != "")
-    t = t.withColumn("n_bs", F.sum(flag(F.col("bs"))).over(page)).withColumn("n_p", F.sum(flag(F.col("in_p") & has_text)).over(page)).withColumn("n_cal", F.sum(flag(F.col("cal"))).over(page))
-    rule = F.when(F.col("n_bs") >= 3, "bs").when(F.col("n_p") > 0, "p").when(F.col("n_cal") > 0, "cal").otherwise("br")
-    t = t.withColumn("rule", rule)
-    inside = F.when(F.col("rule") == "bs", F.col("in_bs")).when(F.col("rule") == "p", F.col("in_p")).when(F.col("rule") == "cal", F.col("in_cal")).otherwise(F.lit(True))
-    part = F.when(F.col("rule") == "bs", F.col("bs_part")).when(F.col("rule") == "p", F.col("p_part")).when(F.col("rule") == "cal", F.col("cal_part")).otherwise(F.col("br_part"))
-    found = t.where(inside & F.col("text").isNotNull()).withColumn("part", part).groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
-    found = found.withColumn("text", trim(decode_entities(F.col("text")))).where("text <> ''")
-    return found.withColumn("block_idx", F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1).select(key, "block_idx", "text")
+    t = t.withColumn("p_part", F.sum(flag(ends)).over(run)).withColumn("br_part", 2 * F.sum(flag(ends | (F.col("tag") == "br") | F.col("image").isNotNull())).over(run) - flag(F.col("image").isNotNull()))
+    t = t.withColumn("in_p", yes(F.last(F.when(ends, F.col("open") & (F.col("tag") == "p")), ignorenulls=True).over(run)))
+    content = F.col("image").isNotNull() | (F.col("text").isNotNull() & (trim(decode_entities(F.col("text"))) != ""))
+    t = t.withColumn("n_bs", F.sum(flag(F.col("bs"))).over(page)).withColumn("n_p", F.sum(flag(F.col("in_p") & content)).over(page)).withColumn("n_cal", F.sum(flag(F.col("cal"))).over(page))
+    t = t.withColumn("rule", F.when(F.col("n_bs") >= 3, "bs").when(F.col("n_p") > 0, "p").when(F.col("n_cal") > 0, "cal").otherwise("br"))
+    rule = F.col("rule")
+    flat = F.when(rule == "p", F.when(F.col("in_p"), F.col("p_part"))).when(rule == "br", F.col("br_part"))
+    t = t.where("rule <> 'p' or in_p").withColumn("flat", flat.cast("long")).withColumn("here", F.when(rule == "bs", F.col("bs")).otherwise((rule == "cal") & F.col("cal")))
+    sorted_ = lambda *c: F.array_sort(F.collect_list(F.when(F.col(c[-1]).isNotNull(), F.struct(*c))))
+    found = parted(t.withColumn("svg", F.col("tag") != "img"), key).groupBy(key, "part").agg(
+        F.array_join(F.transform(sorted_("pos", "text"), lambda x: x["text"]), "").alias("text"), F.array_distinct(F.transform(sorted_("svg", "pos", "image"), lambda x: x["image"])).alias("image_ids"), *[F.first(c).alias(c) for c in carried],
+    ).withColumn("text", trim(decode_entities(F.col("text"))))
+    if path is not None:
+        found = found.withColumn("image_ids", F.transform("image_ids", lambda x: resolve_path(F.col("_path"), x)))
+    if members is not None:
+        # a row for each image, and one for a block without
+        own = [F.col(c if c == key else f"_on_{c}").eqNullSafe(F.col(f"_there_{c}")) for c in on]
+        there = members.select(*[F.col(c).alias(f"_there_{c}") for c in on], F.col("path").alias("_there")).distinct()
+        images = found.select("*", F.posexplode_outer("image_ids").alias("_at", "_image")).join(there, [*own, F.col("_image") == F.col("_there")], "left")
+        kept = F.array_sort(F.collect_list(F.when(F.col("_there").isNotNull(), F.struct("_at", "_image"))))
+        found = images.groupBy(key, "part").agg(F.first("text").alias("text"), F.transform(kept, lambda x: x["_image"]).alias("image_ids"))
+    found = found.where("text <> '' or size(image_ids) > 0")
+    return found.withColumn("block_idx", F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1).select(key, "block_idx", "text", "image_ids")
 
 
 def image_refs(pages: DataFrame, path: Column, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, image_idx, asset_id, mime_type): img sources, then SVG images; each raw source once, resolved against the page's path."""
-    img = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    svg = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?is)<image\b[^>]*?\b(?:xlink:)?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    tags = lambda name: F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(rf"(?is)<{name}\b[^>]*(?:>|\z)"), F.lit(0))
+    given = lambda some: F.filter(some, lambda x: x != "")
+    img = given(F.transform(tags("img"), lambda x: attribute(x, "src")))
+    svg = given(F.transform(tags("image"), lambda x: F.coalesce(F.nullif(attribute(x, "href"), F.lit("")), attribute(x, "xlink:href"))))
     raw = F.array_distinct(F.concat(img, F.filter(svg, lambda h: ~h.rlike("(?i)^https?:"))))
     out = pages.select(key, path.alias("path"), F.posexplode(raw).alias("image_idx", "raw")).withColumn("asset_id", resolve_path(F.col("path"), F.col("raw")))
     return out.select(key, "image_idx", "asset_id", mime_type(F.col("asset_id")).alias("mime_type"))

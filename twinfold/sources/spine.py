@@ -66,7 +66,7 @@ def spine(found: DataFrame, key: str = "book_id") -> DataFrame:
 
 
 def book_paragraphs(pages: DataFrame, key: str = "book_id") -> DataFrame:
-    """(key, para_idx, text) of spine pages: blocks of each page, numbered through the book."""
-    named = pages.select(F.concat_ws("|", F.lpad(F.col("spine_pos").cast("string"), 9, "0"), F.col(key).cast("string")).alias("page_id"), key, "spine_pos", F.col("xhtml").alias("html"))
-    found = markup.blocks(named).join(named.select("page_id", key, "spine_pos"), "page_id")
-    return numbered(found, key, ["spine_pos", "block_idx"], "para_idx").select(key, "para_idx", "text")
+    """(key, para_idx, text, image_ids) of spine pages: blocks of each page, numbered through the book; images are paths in the book."""
+    named = pages.select(F.concat_ws("|", F.lpad(F.col("spine_pos").cast("string"), 9, "0"), F.col(key).cast("string")).alias("page_id"), key, "spine_pos", "path", F.col("xhtml").alias("html"))
+    found = markup.blocks(named, path=F.col("path")).join(named.select("page_id", key, "spine_pos"), "page_id")
+    return numbered(found, key, ["spine_pos", "block_idx"], "para_idx").select(key, "para_idx", "text", "image_ids")
