@@ -122,6 +122,63 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: f
     return text_batches(rows.sortWithinPartitions("a")).mapInArrow(run, "a long, b long")
 
 
+class Candidates:
+    """Nodes of the documents, the buckets that two of them share, and comparisons of nodes by their texts.
+
+    ``made`` has (id, t, set) of each document, ``nodes`` (set, node, none, id, t) of each node's
+    first document, ``shared`` (node, bucket).
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, more: DataFrame | None, shingle: int, least: float):
+        self.shingle, self.least, self.spark = shingle, least, docs.sparkSession
+        made = self.made = checkpointed(signatures(docs, id_col, text_col, shingle))
+        top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("top")
+        nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t")
+        nodes = self.nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
+        one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "buckets").join(nodes, "set").where("i <=> id and u = t")
+        rows = checkpointed(one.select("node", "buckets")).select("node", F.explode("buckets").alias("bucket"))
+        if more is not None:
+            own = made.select(F.col("id").alias("i"), "set").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
+            rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket").distinct()))
+        shared = self.shared = several(rows)
+        need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
+        whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+        texts = whole.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
+        # every node of a shared bucket is compared in the first round; later rounds read the same texts
+        self.texts = checkpointed(texts.dropDuplicates(["node"]))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct, checkpointed pairs that are near."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        some = self.texts.join(broadcast_if_small(used, 2 * pairs.count(), 64), "node", "left_semi")
+        return checkpointed(checked(pairs, some, self.shingle, self.least))
+
+    def edges(self, open_: DataFrame) -> DataFrame:
+        """Near pairs (a, b) of nodes that share a bucket of ``open_``: any two near nodes are in one, or one of them is near to a smaller node."""
+        heads, edges = 1, self.spark.createDataFrame([], "a long, b long")
+        while True:
+            part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
+            first = checkpointed(open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
+            pairs = first.join(open_.withColumnRenamed("node", "b"), "bucket")
+            # a pair of heads is compared once
+            twice = first.withColumnRenamed("a", "b").withColumn("also", F.lit(True))
+            pairs = pairs.join(twice, ["bucket", "b"], "left").where("a < b or (a > b and also is null)")
+            asked = checkpointed(pairs.select("a", "b").distinct())
+            if asked.isEmpty():  # a bucket of two nodes or more always has a pair
+                return edges
+            found = self.near(asked)
+            edges = edges.unionByName(found)
+            gone = first.select("bucket", F.col("a").alias("node")).unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
+            open_ = checkpointed(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
+            heads *= HEADS
+
+
+def several(some: DataFrame) -> DataFrame:
+    """Rows (node, bucket) of buckets with two nodes or more."""
+    full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
+    return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None, across: bool = False, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(id, t, group_id, first): group_id is the smallest id that near texts connect with the row's.
 
@@ -130,51 +187,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     group's member but not to its first is compared with the first only: of any two near texts one
     is not a first. With it such texts are compared too, where groups meet in a bucket.
     """
-    made = checkpointed(signatures(docs, id_col, text_col, shingle))
-    top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("top")
-    nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t")
-    nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
-    one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "buckets").join(nodes, "set").where("i <=> id and u = t")
-    rows = checkpointed(one.select("node", "buckets")).select("node", F.explode("buckets").alias("bucket"))
-    if more is not None:
-        own = made.select(F.col("id").alias("i"), "set").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-        rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket").distinct()))
-
-    def several(some: DataFrame) -> DataFrame:
-        """Rows of buckets with two nodes or more."""
-        full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
-        return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
-
-    shared = several(rows)
-    need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    texts = whole.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
-    # every node of a shared bucket is compared in the first round; later rounds read the same texts
-    texts = checkpointed(texts.dropDuplicates(["node"]))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct, checkpointed pairs that are near."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = texts.join(broadcast_if_small(used, 2 * pairs.count(), 64), "node", "left_semi")
-        return checkpointed(checked(pairs, some, shingle, least))
-
-    open_, heads = shared, 1
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    while True:
-        part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
-        first = checkpointed(open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
-        pairs = first.join(open_.withColumnRenamed("node", "b"), "bucket")
-        # a pair of heads is compared once
-        twice = first.withColumnRenamed("a", "b").withColumn("also", F.lit(True))
-        pairs = pairs.join(twice, ["bucket", "b"], "left").where("a < b or (a > b and also is null)")
-        asked = checkpointed(pairs.select("a", "b").distinct())
-        if asked.isEmpty():  # a bucket of two nodes or more always has a pair
-            break
-        found = near(asked)
-        edges = edges.unionByName(found)
-        gone = first.select("bucket", F.col("a").alias("node")).unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
-        open_ = checkpointed(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
-        heads *= HEADS
+    some = Candidates(docs, id_col, text_col, more, shingle, least)
+    made, nodes, shared = some.made, some.nodes, some.shared
+    edges = some.edges(shared)
     member = components(edges)
     if across:
         met = shared.select("node", "bucket").join(member, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
@@ -182,7 +197,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         met = checkpointed(met.join(mixed, "bucket", "left_semi"))
         other = met.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
         pairs = met.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> other").select("a", "b")
-        member = components(edges.unionByName(near(checkpointed(pairs.distinct()))))
+        member = components(edges.unionByName(some.near(checkpointed(pairs.distinct()))))
 
     rooted = nodes.join(member, "node", "left").select("set", F.col("node"), F.coalesce("root", "node").alias("root"), F.col("id").alias("i"), F.col("t").alias("u"))
     heads = nodes.select(F.col("node").alias("root"), F.col("id").alias("group_id"))
@@ -191,10 +206,42 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     return made.select("id", "t", "set").join(named, "set").select("id", "t", "group_id", here.alias("first"))
 
 
+def dropped(some: Candidates) -> DataFrame:
+    """(node): the nodes that are near to a node that stays. No two nodes that stay and share a bucket are near.
+
+    A node that is near to no smaller one stays, and what is near to it goes. What is only near to
+    nodes that go is open: it is compared with those that stay, and the rest anew with one another,
+    until nothing is open. Chains of near texts are short, so few nodes are open after the first pass.
+    """
+    spark, shared = some.spark, some.shared
+    gone, stay, open_ = spark.createDataFrame([], "node long"), None, shared
+    while True:
+        edges = checkpointed(some.edges(open_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = checkpointed(open_.select("node").distinct())
+        behind = edges.select(F.col("b").alias("node")).distinct()
+        heads = checkpointed(nodes.join(behind, "node", "left_anti"))
+        near = checkpointed(edges.join(heads.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct())
+        gone, stay = gone.unionByName(near), heads if stay is None else stay.unionByName(heads)
+        left = checkpointed(behind.join(near, "node", "left_anti"))
+        if left.isEmpty():
+            return gone
+        # against those that stay and share a bucket
+        rows = checkpointed(shared.join(left, "node", "left_semi"))
+        pairs = rows.withColumnRenamed("node", "b").join(shared.join(stay, "node", "left_semi").withColumnRenamed("node", "a"), "bucket").select("a", "b").distinct()
+        near = some.near(checkpointed(pairs)).select(F.col("b").alias("node")).distinct()
+        gone = gone.unionByName(near)
+        open_ = checkpointed(rows.join(near, "node", "left_anti"))
+        if open_.isEmpty():
+            return gone
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
-    """``docs`` without texts that are near to one that stays; the smallest id stays."""
-    found = groups(docs, id_col, text_col, more)
-    lost = checkpointed(found.where("not first").select(F.col("id").alias("lost_id"), F.col("t").alias("lost_t")))
+    """``docs`` without the texts that are near to one that stays; of texts with one set of shingles the smallest id stays."""
+    some = Candidates(docs, id_col, text_col, more, SHINGLE, LEAST)
+    far = some.nodes.join(dropped(some).distinct(), "node", "left_anti").select("set", F.col("id").alias("i"), F.col("t").alias("u"))
+    first = F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))
+    lost = some.made.select("id", "t", "set").join(far, "set", "left")
+    lost = checkpointed(lost.where(~F.coalesce(first, F.lit(False))).select(F.col("id").alias("lost_id"), F.col("t").alias("lost_t")).distinct())
     lost = broadcast_if_small(lost, lost.count(), 64)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
     return rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("t") == F.col("lost_t")), "left_anti").select("row.*")
