@@ -211,7 +211,6 @@ def test_mixing_is_nested_and_odd_tables(spark, none):
 
 def test_packing(docs):
     model = Tokenizer.from_file(BPE)
-    model.encode_special_tokens = True
     ids = {k: [*model.encode(t or "", add_special_tokens=False).ids, 1] for k, t in texts(docs).items()}
     got = packing.pack(docs.coalesce(1), BPE).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -235,8 +234,7 @@ def test_packing(docs):
 def test_encoder_gives_the_tokenizers_ids():
     import random
 
-    model, encode = Tokenizer.from_file(BPE), packing.Encoder(BPE)
-    model.encode_special_tokens = True
+    model, encode = Tokenizer.from_file(BPE), packing.Encoder(BPE, special=True)
     rnd = random.Random(0)
     some = ["".join(rnd.choice("ab'st ve,.\n\t1²Ⅷ_é日本\u3000 \xa0\x1f\x85\u0301ll 'm😀") for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
     some += ["", " ", "  a", "it's 's", "<|endoftext|> a<|endoftext|>", "x" * 5000, "a  b   c\n\n d"]
@@ -247,8 +245,7 @@ def test_encoder_gives_the_tokenizers_ids():
 def test_encoder_cuts_long_texts_where_ids_allow():
     import random
 
-    model, encode = Tokenizer.from_file(BPE), packing.Encoder(BPE, segment=64, chunk=512)
-    model.encode_special_tokens = True
+    model, encode = Tokenizer.from_file(BPE), packing.Encoder(BPE, segment=64, chunk=512, special=True)
     rnd = random.Random(1)
     part = lambda: rnd.choice([" ", "\n", "x", "ab", "日本", "é", "\t ", "the ", "1", "=", "😀", "\u3000", "'s", " \n"]) * rnd.randint(1, 400)
     some = ["".join(part() for _ in range(rnd.randint(1, 6))) for _ in range(500)]

@@ -58,14 +58,15 @@ class Encoder:
     Byte-level BPE splits a text before any space that stands between two visible characters; ids
     of a text are the ids of its space-led words in turn. Texts with other runs of white space are
     encoded whole. The file's vocabulary is run by ``tiktoken``, which gives the ids that
-    ``tokenizers`` gives for it several times as fast; special tokens' strings are ordinary text.
+    ``tokenizers`` gives for it several times as fast. With ``special`` the strings of the file's added
+    tokens have these tokens' ids, and what is between them is encoded by itself; else they are ordinary text.
 
     A text of more than ``segment`` characters is encoded in segments that end where a piece of the
     pattern ends, and a piece of more than ``chunk`` bytes (a run of blanks, a word without end) in
     chunks, so memory does not depend on what a text is made of.
     """
 
-    def __init__(self, path: str, segment: int = SEGMENT, chunk: int = CHUNK):
+    def __init__(self, path: str, segment: int = SEGMENT, chunk: int = CHUNK, special: bool = False):
         import json
 
         import regex
@@ -73,15 +74,17 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        special = {t["content"] for t in made["added_tokens"]}
+        added = {t["content"]: t["id"] for t in made["added_tokens"]}
         byte = byte_chars()
-        ranks = {bytes(byte[c] for c in token): n for token, n in made["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte[c] for c in token): n for token, n in made["model"]["vocab"].items() if token not in added}
         self.encode = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.ranks = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         if [ranks[token] for token in self.ranks] != list(range(len(ranks))):
             raise ValueError("ids of the vocabulary have gaps")
         self.piece = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         self.segment, self.chunk = segment, chunk
+        self.added = {token: packed([n]) for token, n in added.items()} if special else {}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words: dict[str, bytes] = {}
 
     @functools.cached_property
@@ -105,6 +108,11 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if self.marks and self.marks.search(text):
+            return b"".join([self.added.get(part) or self.plain(part) for part in self.marks.split(text) if part])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         return self.short(text) if len(text) <= self.segment else b"".join(self.long(text))
 
     def short(self, text: str) -> bytes:
@@ -192,7 +200,7 @@ def packed(ids: list[int]) -> bytes:
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One per worker process, for all its tasks."""
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
