@@ -231,6 +231,15 @@ def folded(rows: DataFrame, words: str, ranks: dict[bytes, int], name: str = "id
     return rows.withColumn(name, made)
 
 
+class Numbers(dict):
+    """Numbers of words; a word that is asked for the first time gets the next one and is listed in ``new``."""
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class Splitter:
     """Words of texts by a pattern, as numbers; new words are told apart.
 
@@ -245,16 +254,15 @@ class Splitter:
         self.clear()
 
     def clear(self) -> None:
-        self.number = {w: k for k, w in enumerate(self.frequent)}
+        self.number = Numbers(zip(self.frequent, range(len(self.frequent)), strict=True))
 
     def __call__(self, text: str) -> tuple[bytes, list[str], bool]:
         """Numbers of the text's words, the words met for the first time, and whether numbering began anew."""
         anew = len(self.number) - len(self.frequent) >= self.most
         if anew:
             self.clear()
+        self.number.new = new = []
         words = self.find(text)
-        new = list(set(words).difference(self.number))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         return np.fromiter(map(self.number.__getitem__, words), "<u4", len(words)).tobytes(), new, anew
 
 
@@ -322,12 +330,13 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: st
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def start():
-        table = dict(enumerate(shared.value))
+        table = shared.value
 
-        def run(ids):
-            return [[None if x is None else b"".join([table.get(k, b"") for k in np.frombuffer(x, dtype="<u4").tolist()]) for x in ids.to_pylist()]]
+        def pieces(ids: bytes) -> bytes:
+            some = np.frombuffer(ids, dtype="<u4")
+            return b"".join(map(table.__getitem__, some[some < len(table)].tolist()))
 
-        return run
+        return lambda ids: [[None if x is None else pieces(x) for x in ids.to_pylist()]]
 
     return with_columns(docs, ids_col, start, {bytes_col: "binary"})
 
