@@ -173,6 +173,25 @@ class Candidates:
             heads *= HEADS
 
 
+    def against(self, rows: DataFrame, others: DataFrame) -> DataFrame:
+        """(node): the nodes of ``rows`` that are near to one of ``others`` in a bucket.
+
+        In each round some of a bucket's others are compared, more from round to round; what is near to one leaves.
+        """
+        heads, gone, others = 1, self.spark.createDataFrame([], "node long"), checkpointed(others)
+        while True:
+            part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
+            first = checkpointed(others.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
+            asked = checkpointed(rows.withColumnRenamed("node", "b").join(first, "bucket").select("a", "b").distinct())
+            if asked.isEmpty():
+                return gone
+            near = checkpointed(self.near(asked).select(F.col("b").alias("node")).distinct())
+            gone = gone.unionByName(near)
+            rows = checkpointed(rows.join(near, "node", "left_anti"))
+            others = checkpointed(others.join(first.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti"))
+            heads *= HEADS
+
+
 def several(some: DataFrame) -> DataFrame:
     """Rows (node, bucket) of buckets with two nodes or more."""
     full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
@@ -227,8 +246,7 @@ def dropped(some: Candidates) -> DataFrame:
             return gone
         # against those that stay and share a bucket
         rows = checkpointed(shared.join(left, "node", "left_semi"))
-        pairs = rows.withColumnRenamed("node", "b").join(shared.join(stay, "node", "left_semi").withColumnRenamed("node", "a"), "bucket").select("a", "b").distinct()
-        near = some.near(checkpointed(pairs)).select(F.col("b").alias("node")).distinct()
+        near = some.against(rows, shared.join(stay, "node", "left_semi").join(rows.select("bucket").distinct(), "bucket", "left_semi"))
         gone = gone.unionByName(near)
         open_ = checkpointed(rows.join(near, "node", "left_anti"))
         if open_.isEmpty():
