@@ -78,6 +78,32 @@ def test_far_texts_of_one_bucket_stay(spark):
     assert near.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_first_keys_of_near_sets_meet():
+    """Any two near sets share a key that the length filter keeps, whatever the counts."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        levels = near.levels_of(rng.integers(0, 50, 64))
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 80)), dtype=np.uint64))
+        other = np.unique(np.concatenate([base[: max(1, int(len(base) * rng.uniform(0.8, 1)))], rng.integers(0, 1 << 63, int(rng.integers(0, 10)), dtype=np.uint64)]))
+        x, y = set(base.tolist()), set(other.tolist())
+        if similarity(x, y) < 0.8:
+            continue
+        a, b = (near.first_keys(s, levels, 0.8).tolist() for s in (base, other))
+        rest = [min(len(base) - a.index(k), len(other) - b.index(k)) for k in set(a) & set(b)]
+        assert max(rest) >= 0.8 / 1.8 * (len(base) + len(other)) - 1e-6
+
+
+def test_a_shared_passage_puts_no_texts_together(spark):
+    """Texts that share half their words meet in no bucket; copies of one of them still do."""
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*passage, *(f"a{k}x{i}" for i in range(60))]) for k in range(40)]
+    texts.append(texts[7] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = near.Candidates(df, "doc_id", "text", None, near.SHINGLE, near.LEAST)
+    assert {r["node"] for r in some.shared.select("node").distinct().collect()} == {7, 40}
+    assert near.drop_near_copies(df).count() == 40
+
+
 def test_versions_are_near_copies_of_whole_texts(spark):
     w = [f"w{k}" for k in range(100)]
     rest = " ".join(w)

@@ -1,12 +1,16 @@
-"""Near copies among whole texts: min-hash bands propose pairs, the texts decide.
+"""Near copies among whole texts: rare shingles propose pairs, the texts decide.
 
-Texts with one set of word shingles are one node. Nodes that agree in all hashes of a band share a
-bucket, and so do those that the caller puts into one. In each round every bucket compares some
-heads (the first node; in later rounds the first of 8, 64, ... parts) with its others, by the exact
-Jaccard similarity of their shingles. Heads leave the bucket, and so do nodes that are near to a
-head before them, until no bucket has two. So work grows with a bucket's size and the number of its
-different texts, not with the square of a group of copies. At a similarity of 0.8 a pair shares no
-bucket with probability (1 - 0.8^5)^25, 5 in 100,000.
+Texts with one set of word shingles are one node. A set of n shingles is put in one order for all
+texts, rare ones first; two sets with a Jaccard similarity of t or more share one of their first
+n - ceil(t * n) + 1 shingles, so each of these is a bucket and no near pair is missed. A bucket's
+pair is left out when what follows the shared shingle in either set is too short for t: then another
+bucket has the pair, or it is not near. How rare a shingle is comes from counts by hash cell over all texts; cells that shingles share only make the
+order less sharp. What many texts share, as a passage, comes last and puts none of them together.
+
+In each round every bucket compares some heads (the first node; in later rounds the first of 8, 64,
+... parts) with its others, by the exact similarity. Heads leave the bucket, and so do nodes that
+are near to a head before them, until no bucket has two. So work grows with a bucket's size and the
+number of its different texts, not with the square of a group of copies.
 
 Defined results: a null text is an empty text; texts without words are one node; a null id counts as
 larger than any.
@@ -20,14 +24,16 @@ from pyspark.sql import functions as F
 
 from twinfold.operators.shared import broadcast_if_small, checkpointed, components, numbered, text_batches
 
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 25, 5
+SHINGLE, LEAST = 5, 0.8
+#: Cells in which shingles are counted; a task keeps one number for each.
+CELLS = 1 << 19
 #: Characters between words, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Each round has so many times the heads of the one before.
 HEADS = 8
-#: Word hashes a worker remembers; shingles hashed at once; comparisons of one text in a task.
-KNOWN, BLOCK, SHARE = 1 << 17, 2048, 1000
+#: Word hashes a worker remembers; comparisons of one text in a task.
+KNOWN, SHARE = 1 << 17, 1000
 
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
@@ -66,34 +72,59 @@ class Shingles:
         return np.unique(mixed)
 
 
-def bands_of(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray, rows: int) -> list[int]:
-    """One hash for each band of min-hashes; none for an empty set."""
-    import xxhash
+def cell_counts(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> np.ndarray:
+    """How many texts have a shingle of each cell, over all texts. Tasks add up their own before the shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        cut, total = Shingles(shingle), np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, cut.of(text.as_py()) % np.uint64(CELLS), 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+
+    made = text_batches(docs).select(text_col).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = made.toArrow()  # at most CELLS rows
+    counts = np.zeros(CELLS, dtype=np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
-    if not len(hashes):
-        return []
-    least = np.full(len(times), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for low in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[None, low : low + BLOCK] * times[:, None] + plus[:, None]).min(axis=1))
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(-1, rows))]
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 16 bits."""
+    return np.minimum(2048 * np.log2(counts + 1.0), 65535).astype(np.uint16)
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, t, set, buckets): a hash of the text, a digest of its shingles, a bucket for each band."""
+
+def first_keys(hashes: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """The keys of a set's rarest shingles, as many as make two near sets share one. A key sorts by level, then by hash."""
+    n = len(hashes)
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    keys = (levels[hashes % np.uint64(len(levels))].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
+    first = n - int(np.ceil(least * n - 1e-9)) + 1
+    return np.unique(np.partition(keys, first - 1)[:first]).view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(id, t, set, size, buckets): a hash of the text, a digest and the number of its shingles, the keys of its rarest ones in order."""
+    levels = levels_of(cell_counts(docs, text_col, shingle))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        cut, times, plus = Shingles(shingle), odd_numbers(bands * rows, 7), odd_numbers(bands * rows, 8)
+        cut = Shingles(shingle)
         for batch in batches:
             sets = [cut.of(t.as_py()) for t in batch.column(2)]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            buckets = pa.array([bands_of(s, times, plus, rows) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, buckets], ["id", "t", "set", "buckets"])
+            buckets = pa.array([first_keys(s, levels, least) for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, sizes, buckets], ["id", "t", "set", "size", "buckets"])
 
     rows_ = text_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, t long, set binary, buckets array<long>")
+    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, t long, set binary, size long, buckets array<long>")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -126,20 +157,21 @@ class Candidates:
     """Nodes of the documents, the buckets that two of them share, and comparisons of nodes by their texts.
 
     ``made`` has (id, t, set) of each document, ``nodes`` (set, node, none, id, t) of each node's
-    first document, ``shared`` (node, bucket).
+    first document, ``shared`` (node, bucket, pos, size): the place of the shared shingle in a set of
+    that size, 0 in the caller's buckets.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, more: DataFrame | None, shingle: int, least: float):
         self.shingle, self.least, self.spark = shingle, least, docs.sparkSession
-        made = self.made = checkpointed(signatures(docs, id_col, text_col, shingle))
+        made = self.made = checkpointed(signatures(docs, id_col, text_col, shingle, least))
         top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("top")
         nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t")
         nodes = self.nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
-        one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "buckets").join(nodes, "set").where("i <=> id and u = t")
-        rows = checkpointed(one.select("node", "buckets")).select("node", F.explode("buckets").alias("bucket"))
+        one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "size", "buckets").join(nodes, "set").where("i <=> id and u = t")
+        rows = one.select("node", "size", F.posexplode("buckets").alias("pos", "bucket")).select("node", "bucket", "pos", "size")
         if more is not None:
-            own = made.select(F.col("id").alias("i"), "set").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-            rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket").distinct()))
+            own = made.select(F.col("id").alias("i"), "set", "size").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
+            rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size").distinct()))
         shared = self.shared = several(rows)
         need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
         whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
@@ -153,25 +185,37 @@ class Candidates:
         some = self.texts.join(broadcast_if_small(used, 2 * pairs.count(), 64), "node", "left_semi")
         return checkpointed(checked(pairs, some, self.shingle, self.least))
 
+    def heads(self, some: DataFrame, parts: int) -> DataFrame:
+        """(bucket, a, a_pos, a_size): the first node of each part of a bucket."""
+        part = F.pmod(F.xxhash64("node", "bucket"), F.lit(parts))
+        least = some.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "pos", "size")).alias("h"))
+        return checkpointed(least.select("bucket", F.col("h.node").alias("a"), F.col("h.pos").alias("a_pos"), F.col("h.size").alias("a_size")))
+
+    def met(self, first: DataFrame, some: DataFrame) -> DataFrame:
+        """(bucket, a, b): pairs of heads and others of a bucket that its shingle does not rule out."""
+        others = some.select("bucket", F.col("node").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"))
+        most = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+        can = most >= self.least / (1 + self.least) * (F.col("a_size") + F.col("b_size")) - 1e-6
+        return first.join(others, "bucket").where(can & (F.col("a") != F.col("b"))).select("bucket", "a", "b")
+
     def edges(self, open_: DataFrame) -> DataFrame:
         """Near pairs (a, b) of nodes that share a bucket of ``open_``: any two near nodes are in one, or one of them is near to a smaller node."""
         heads, edges = 1, self.spark.createDataFrame([], "a long, b long")
-        while True:
-            part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
-            first = checkpointed(open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
-            pairs = first.join(open_.withColumnRenamed("node", "b"), "bucket")
+        while not open_.isEmpty():
+            first = self.heads(open_, heads)
             # a pair of heads is compared once
-            twice = first.withColumnRenamed("a", "b").withColumn("also", F.lit(True))
-            pairs = pairs.join(twice, ["bucket", "b"], "left").where("a < b or (a > b and also is null)")
+            twice = first.select("bucket", F.col("a").alias("b"), F.lit(True).alias("also"))
+            pairs = self.met(first, open_).join(twice, ["bucket", "b"], "left").where("a < b or also is null")
             asked = checkpointed(pairs.select("a", "b").distinct())
-            if asked.isEmpty():  # a bucket of two nodes or more always has a pair
-                return edges
-            found = self.near(asked)
-            edges = edges.unionByName(found)
-            gone = first.select("bucket", F.col("a").alias("node")).unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
-            open_ = checkpointed(open_.join(gone.distinct(), ["bucket", "node"], "left_anti").select("node", "bucket"))
+            gone = first.select("bucket", F.col("a").alias("node"))
+            if not asked.isEmpty():
+                found = self.near(asked)
+                edges = edges.unionByName(found)
+                gone = gone.unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
+            left = open_.join(gone.distinct(), ["bucket", "node"], "left_anti")
+            open_ = several(left.select(*open_.columns))
             heads *= HEADS
-
+        return edges
 
     def against(self, rows: DataFrame, others: DataFrame) -> DataFrame:
         """(node): the nodes of ``rows`` that are near to one of ``others`` in a bucket.
@@ -179,21 +223,21 @@ class Candidates:
         In each round some of a bucket's others are compared, more from round to round; what is near to one leaves.
         """
         heads, gone, others = 1, self.spark.createDataFrame([], "node long"), checkpointed(others)
-        while True:
-            part = F.pmod(F.xxhash64("node", "bucket"), F.lit(heads))
-            first = checkpointed(others.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a"))
-            asked = checkpointed(rows.withColumnRenamed("node", "b").join(first, "bucket").select("a", "b").distinct())
-            if asked.isEmpty():
-                return gone
-            near = checkpointed(self.near(asked).select(F.col("b").alias("node")).distinct())
-            gone = gone.unionByName(near)
-            rows = checkpointed(rows.join(near, "node", "left_anti"))
-            others = checkpointed(others.join(first.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti"))
+        while not (rows.isEmpty() or others.isEmpty()):
+            first = self.heads(others, heads)
+            asked = checkpointed(self.met(first, rows).select("a", "b").distinct())
+            if not asked.isEmpty():
+                near = checkpointed(self.near(asked).select(F.col("b").alias("node")).distinct())
+                gone = gone.unionByName(near)
+                rows = checkpointed(rows.join(near, "node", "left_anti"))
+            left = others.join(first.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti").select(*others.columns)
+            others = checkpointed(left.join(rows.select("bucket").distinct(), "bucket", "left_semi"))
             heads *= HEADS
+        return gone
 
 
 def several(some: DataFrame) -> DataFrame:
-    """Rows (node, bucket) of buckets with two nodes or more."""
+    """Those rows (node, bucket, pos, size) of buckets with two nodes or more."""
     full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
     return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinfold.functions import text as tx
-from twinfold.operators import align, catalog, display, progress, search, sentences, vectors
+from twinfold.operators import align, catalog, display, near, progress, search, sentences, vectors
 from twinfold.operators.shared import checkpointed, ranked
 from twinfold.plans import align_books as plan
 from twinfold.plans import inputs
@@ -225,6 +225,22 @@ def align_languages(spark, sf_dir):
     return pairs.withColumn("confidence", r6(F.col("confidence")))
 
 
+@query(r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o >= 0.8 * (x.n + y.n - o) - 1e-9),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other)
+SELECT doc_id AS book_id, min(other) AS group_id FROM reach GROUP BY doc_id
+""")
+def version_groups(spark, sf_dir):
+    """The first of the books that each book is a version of, over chains of near texts."""
+    found = near.groups(inputs.books(spark, sf_dir), "book_id", "text", across=True)
+    return found.select(F.col("id").alias("book_id"), "group_id")
+
+
 @query()
 def align_versions(spark, sf_dir):
     books = inputs.books(spark, sf_dir)
