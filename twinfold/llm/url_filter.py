@@ -8,7 +8,8 @@ by more than TOLERANCE in all. What a host inherits over links (its own seed not
 pages without a rule: blocked when distrust is above trust.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and verdict
-allow; null html has no links, nor have comments and scripts; without seeds or links nothing is
+allow; null html has no links, nor have comments and scripts, closed or
+not; without seeds or links nothing is
 inherited; rows that repeat a page are judged alike and add to link weights; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -27,9 +28,9 @@ DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 FREQUENT = 0.001
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: What holds no links, and links of anchors and areas.
-UNREAD = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-LINK = r"""(?is)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
+#: What holds no links, up to the page's end if it is not closed, and links of anchors and areas, whose tags end before the next one. So a page is read in linear time.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+LINK = r"""(?is)<(?:a|area)\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s<>]+)"""
 
 
 def url_host(url: Column) -> Column:
