@@ -78,6 +78,20 @@ def test_far_texts_of_one_bucket_stay(spark):
     assert near.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_word_hashes_follow_the_words(monkeypatch):
+    texts = ["", " \n", "a", "A b", "one two", "onetwo", "\u00c4 \u00e4 x\u0000y", " Long" * 3000, "w" * 9000 + " end", *(" ".join(f"W{k % m}" for k in range(4000)) for m in (7, 3999))]
+    cut = near.Shingles()
+    whole = [cut.of(t) for t in texts]
+    seen = {}
+    for t, h in zip(texts, whole, strict=True):
+        plain = plain_sets([(0, "".join(c.lower() if c.isascii() else c for c in t))])[0]
+        assert len(h) == len(plain)
+        seen.setdefault(frozenset(plain), h.tobytes())
+    assert len(set(seen.values())) == len(seen)
+    monkeypatch.setattr(near, "CHUNK", 100)
+    assert all((near.Shingles().of(t) == h).all() for t, h in zip(texts, whole, strict=True))
+
+
 def test_first_keys_of_near_sets_meet():
     """Any two near sets share a key that the length filter keeps, whatever the counts."""
     rng = np.random.default_rng(5)

@@ -29,47 +29,70 @@ SHINGLE, LEAST = 5, 0.8
 CELLS = 1 << 19
 #: Characters between words, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Each round has so many times the heads of the one before.
 HEADS = 8
-#: Word hashes a worker remembers; comparisons of one text in a task.
-KNOWN, SHARE = 1 << 17, 1000
+#: Bytes of a text that are hashed at once, but for longer words; comparisons of one text in a task.
+CHUNK, SHARE = 1 << 20, 1000
 
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: For each byte, a factor of the hash of a word, the same for both cases of a letter; and whether it is between words.
+FACTOR = odd_numbers(256, 6)
+FACTOR[ord("A") : ord("Z") + 1] = FACTOR[ord("a") : ord("z") + 1]
+GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BASE, MIX = (int(x) for x in odd_numbers(2, 9))
+
+
 class Shingles:
-    """Sets of shingle hashes, with the words' hashes remembered."""
+    """Sets of shingle hashes, from the bytes of a text.
+
+    A word's hash is a polynomial in an odd base modulo 2^64, so all words of a chunk come from one
+    running sum, divided by the power at their start.
+    """
 
     def __init__(self, shingle: int = SHINGLE):
-        self.known: dict = {}
         self.times = odd_numbers(shingle, 5)
-
-    def of(self, text: str) -> np.ndarray:
+        self.powers = self.inverses = np.empty(0, dtype=np.uint64)
+
+    def words(self, data: np.ndarray) -> np.ndarray:
+        """A hash of each word, in order."""
+        n = len(data)
+        if n > len(self.powers):
+            self.powers, self.inverses = (np.cumprod(np.full(n, x, dtype=np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        edge = np.diff(GAP[data].astype(np.int8), prepend=1, append=1)
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(FACTOR[data] * self.powers[:n], out=sums[1:])
+        h = (sums[last] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(MIX)
+        return h ^ (h >> np.uint64(32))
+
+    def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles; all words are one if there are fewer."""
         import re
 
-        import xxhash
-
-        found = re.findall(f"[^{SPACE}]+", (text or "").translate(LOWER))
-        if not found:
-            return np.empty(0, dtype=np.uint64)
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        known, one = self.known, xxhash.xxh64_intdigest
-        for w in found:
-            if w not in known:
-                known[w] = one(w)
-        h = np.array([known[w] for w in found], dtype=np.uint64)
+        data, low, parts = (text or "").encode(), 0, [np.empty(0, dtype=np.uint64)]
+        gap = re.compile(f"[{SPACE}]".encode())
+        while low < len(data):
+            end = gap.search(data, low + CHUNK)
+            high = end.start() if end else len(data)
+            parts.append(self.words(np.frombuffer(data, dtype=np.uint8)[low:high]))
+            low = high
+        h = np.concatenate(parts)
+        if not len(h):
+            return h
         n = min(len(h), len(self.times))
         # a shorter text must not look like a part of a longer one
         mixed = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for k in range(n):
             mixed = mixed * self.times[k] + h[k : len(h) - n + 1 + k]
             mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
+        mixed.sort()
+        return mixed[np.diff(mixed, prepend=~mixed[:1]) != 0]
 
 
 def cell_counts(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> np.ndarray:
