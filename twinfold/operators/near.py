@@ -179,23 +179,26 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: f
 class Candidates:
     """Nodes of the documents, the buckets that two of them share, and comparisons of nodes by their texts.
 
-    ``made`` has (id, t, set) of each document, ``nodes`` (set, node, none, id, t) of each node's
+    ``made`` has (id, t, set, row) of each document, ``nodes`` (set, node, none, id, t, row) of each node's
     first document, ``shared`` (node, bucket, pos, size): the place of the shared shingle in a set of
     that size, 0 in the caller's buckets.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, more: DataFrame | None, shingle: int, least: float):
         self.shingle, self.least, self.spark = shingle, least, docs.sparkSession
-        made = self.made = checkpointed(signatures(docs, id_col, text_col, shingle, least))
-        top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("top")
-        nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t")
+        made = self.made = checkpointed(signatures(docs, id_col, text_col, shingle, least).withColumn("row", F.monotonically_increasing_id()))
+        top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "row")).alias("top")
+        nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t", "top.row")
         nodes = self.nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
-        one = made.select(F.col("id").alias("i"), F.col("t").alias("u"), "set", "size", "buckets").join(nodes, "set").where("i <=> id and u = t")
-        rows = one.select("node", "size", F.posexplode("buckets").alias("pos", "bucket")).select("node", "bucket", "pos", "size")
+        # most buckets have one text: they go before anything is joined, so that only a number and a key of each are shuffled
+        keys = made.select("row", "size", F.posexplode("buckets").alias("pos", "bucket"))
+        full = checkpointed(keys.groupBy("bucket").count().where("count > 1").select("bucket"))
+        rows = keys.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").join(nodes.select("row", "node"), "row")
+        rows = rows.select("node", "bucket", "pos", "size")
         if more is not None:
             own = made.select(F.col("id").alias("i"), "set", "size").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-            rows = rows.unionByName(checkpointed(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size").distinct()))
-        shared = self.shared = several(rows)
+            rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size").distinct())
+        shared = self.shared = several(checkpointed(rows))
         need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
         whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
         texts = whole.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
@@ -261,8 +264,8 @@ class Candidates:
 
 def several(some: DataFrame) -> DataFrame:
     """Those rows (node, bucket, pos, size) of buckets with two nodes or more."""
-    full = checkpointed(some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket"))
-    return checkpointed(some.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").distinct())
+    full = some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
+    return checkpointed(some.join(full, "bucket", "left_semi"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None, across: bool = False, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
