@@ -322,6 +322,71 @@ def placed_images(spark, sf_dir):
     return placed.select("pair_id", "display_idx", F.array_join(display.picked_images("target", F.array().cast("array<string>"), F.col("tgt_images")), ",").alias("images"))
 
 
+EXPORTED = inputs.TURNS + r""",
+own AS (SELECT DISTINCT conv_id AS pair_id, turn::INT AS pl FROM conversations),
+paras AS (SELECT pair_id, src_para_idx AS para_idx, CASE WHEN src_para_idx % 2 = 1 THEN 's' || src_para_idx END AS img FROM pairs WHERE src_para_idx IS NOT NULL
+  GROUP BY pair_id, src_para_idx HAVING src_para_idx % 2 = 1 OR regexp_matches(max(src_text), '\S')),
+disp AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY para_idx) - 1 AS d FROM paras)
+"""
+
+
+def illustrated(spark, sf_dir):
+    """Turns with their source paragraphs, each second one with an image, and an image for each turn of the conversation."""
+    pairs = inputs.turns(spark, sf_dir)
+    idx = F.col("src_para_idx")
+    pictures = F.when(idx % 2 == 1, F.array(F.concat(F.lit("s"), idx))).otherwise(F.array().cast("array<string>"))
+    paragraphs = pairs.where(idx.isNotNull()).groupBy("pair_id", idx.alias("para_idx")).agg(F.max("src_text").alias("text"), F.first(pictures).alias("image_ids"))
+    at = F.col("turn").cast("int")
+    targets = inputs.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), at.alias("para_idx"), F.lit("").alias("text"), F.array(F.concat(F.lit("t"), at)).alias("image_ids")).distinct()
+    return pairs, paragraphs, targets
+
+
+@query("WITH " + EXPORTED + r""",
+p AS (SELECT disp.pair_id AS pair_id, d, tgt_para_idx FROM disp JOIN pairs ON pairs.pair_id = disp.pair_id AND coalesce(src_para_idx, 0) = disp.para_idx WHERE regexp_matches(src_text, '\S') OR regexp_matches(tgt_text, '\S')),
+homes AS (SELECT pair_id, tgt_para_idx, min(d) AS d FROM p WHERE tgt_para_idx IS NOT NULL GROUP BY pair_id, tgt_para_idx),
+last AS (SELECT pair_id, max(d) AS last FROM disp GROUP BY pair_id),
+placed AS (SELECT own.pair_id AS pair_id, pl, last, (SELECT min(tgt_para_idx) FROM homes h WHERE h.pair_id = own.pair_id AND h.tgt_para_idx >= pl) AS nxt FROM own JOIN last ON own.pair_id = last.pair_id),
+theirs AS (SELECT placed.pair_id AS pair_id, coalesce(h.d, last) AS d, string_agg('t' || pl, ',' ORDER BY pl) AS images FROM placed LEFT JOIN homes h ON h.pair_id = placed.pair_id AND h.tgt_para_idx = nxt GROUP BY placed.pair_id, coalesce(h.d, last)),
+n AS (SELECT pair_id, d, count(*) AS n FROM p GROUP BY pair_id, d)
+SELECT disp.pair_id AS pair_id, (row_number() OVER (PARTITION BY disp.pair_id ORDER BY disp.d) - 1)::INT AS display_idx, para_idx, concat_ws(',', img, images) AS images, coalesce(n, 0)::INT AS n_pairs
+FROM disp LEFT JOIN n ON n.pair_id = disp.pair_id AND n.d = disp.d LEFT JOIN theirs ON theirs.pair_id = disp.pair_id AND theirs.d = disp.d WHERE n > 0 OR img IS NOT NULL OR images IS NOT NULL
+""")
+def exported_paragraphs(spark, sf_dir):
+    """Conversations as exported: pairs with either side, images of both sides."""
+    rows = display.exported(*illustrated(spark, sf_dir))
+    return rows.select("pair_id", "display_idx", "para_idx", F.array_join("images", ",").alias("images"), F.size("pairs").alias("n_pairs"))
+
+
+ORPHANED = inputs.TURNS + """,
+half AS (SELECT pair_id, pair_seq, CASE WHEN length(src_text) % 2 = 1 THEN src_para_idx END AS src_para_idx FROM pairs)
+"""
+
+
+@query("WITH " + ORPHANED + """
+SELECT pair_id, pair_seq, coalesce(first_value(src_para_idx IGNORE NULLS) OVER (PARTITION BY pair_id ORDER BY pair_seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+  last_value(src_para_idx IGNORE NULLS) OVER (PARTITION BY pair_id ORDER BY pair_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS src_para_idx FROM half
+""")
+def orphans_onward(spark, sf_dir):
+    """Turns whose user texts of even length have no paragraph, with the paragraph that they are shown in."""
+    half = F.when(F.char_length("src_text") % 2 == 1, F.col("src_para_idx"))
+    return display.with_next_paragraph(inputs.turns(spark, sf_dir).withColumn("src_para_idx", half)).select("pair_id", "pair_seq", "src_para_idx")
+
+
+@query("WITH " + EXPORTED + """,
+r AS (SELECT pair_id, coalesce(src_para_idx, 0) AS para_idx, pair_seq, tgt_para_idx FROM pairs),
+mine AS (SELECT pair_id, para_idx, min(CASE WHEN pair_seq % 2 = 1 THEN pair_seq END) AS first FROM r GROUP BY pair_id, para_idx),
+cited AS (SELECT pair_id, para_idx, tgt_para_idx, min(pair_seq) AS seq FROM r WHERE tgt_para_idx IS NOT NULL GROUP BY pair_id, para_idx, tgt_para_idx),
+theirs AS (SELECT c.pair_id AS pair_id, para_idx, string_agg('t' || pl, ',' ORDER BY seq) AS images FROM cited c JOIN own ON own.pair_id = c.pair_id AND pl = tgt_para_idx GROUP BY c.pair_id, para_idx)
+SELECT mine.pair_id AS pair_id, mine.para_idx AS para_idx, concat_ws(',', 'p' || first, images) AS images FROM mine LEFT JOIN theirs ON theirs.pair_id = mine.pair_id AND theirs.para_idx = mine.para_idx
+""")
+def legacy_images(spark, sf_dir):
+    """Images of turns without source paragraphs, each second pair with one of its own."""
+    pairs, _, targets = illustrated(spark, sf_dir)
+    own = F.when(F.col("pair_seq") % 2 == 1, F.array(F.concat(F.lit("p"), "pair_seq")))
+    rows = display.legacy_images(pairs.withColumn("src_images", own), targets)
+    return rows.select("pair_id", "para_idx", F.array_join("images", ",").alias("images"))
+
+
 # ---------------------------------------------------------------- interchange
 
 TSV = inputs.TURNS + r""",
@@ -378,6 +443,24 @@ def record_round_trip(spark, sf_dir):
     return back.select("pair_id", "pair_seq", "src_text", "tgt_text", "src_para_idx", "tgt_para_idx", "alignment_type", r6(F.col("confidence")).alias("confidence"))
 
 
+@query("WITH " + EXPORTED + """
+SELECT pair_id, 'source' AS side, para_idx, coalesce(img, '') AS images FROM disp
+UNION ALL SELECT own.pair_id AS pair_id, 'target', pl, 't' || pl FROM own JOIN (SELECT DISTINCT pair_id FROM pairs) k ON k.pair_id = own.pair_id
+UNION ALL SELECT DISTINCT pair_id, 'list', NULL::INT, img FROM disp WHERE img IS NOT NULL
+UNION ALL SELECT own.pair_id AS pair_id, 'list', NULL::INT, 't' || pl FROM own JOIN (SELECT DISTINCT pair_id FROM pairs) k ON k.pair_id = own.pair_id
+""")
+def record_paragraphs(spark, sf_dir):
+    """Paragraphs of both sides and the image list, written into records and read back."""
+    pairs, paragraphs, targets = illustrated(spark, sf_dir)
+    paragraphs = paragraphs.where(~tx.is_blank(F.col("text")) | (F.size("image_ids") > 0))
+    langs = pairs.select("pair_id").distinct().select("pair_id", F.lit("en").alias("src_lang"), F.lit("fr").alias("tgt_lang"))
+    ids = paragraphs.select("pair_id", "image_ids").unionByName(targets.select("pair_id", "image_ids")).select("pair_id", F.explode("image_ids").alias("id")).distinct()
+    back = records.read(exports.record_json(pairs, langs, paragraphs, targets, ids.withColumn("mime_type", F.lit("image/png"))))
+    side = lambda f, name: f(back, "pair_id").select("pair_id", F.lit(name).alias("side"), "para_idx", F.array_join("image_ids", ",").alias("images"))
+    listed = records.images(back, "pair_id").select("pair_id", F.lit("list").alias("side"), F.lit(None).cast("int").alias("para_idx"), F.col("id").alias("images"))
+    return side(records.source_paragraphs, "source").unionByName(side(records.target_paragraphs, "target")).unionByName(listed)
+
+
 @query("SELECT doc_id, false AS is_record FROM documents")
 def foreign_records(spark, sf_dir):
     read = records.read(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

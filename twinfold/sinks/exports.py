@@ -27,20 +27,29 @@ def tsv_lines(pairs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     return head.unionByName(rows)
 
 
-def write_tsv(lines: DataFrame, path: str) -> None:
-    """One folder per pair, its lines in order. A pair's file is one value: books are capped in sentences."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    lines.groupBy("pair_id").agg(whole.alias("value")).write.partitionBy("pair_id").text(path)
+def write_tsv(lines: DataFrame, path: str, files: int | None = None) -> None:
+    """One folder per pair with one file, its lines in order; no pair is one value.
+
+    Pairs are dealt to ``files`` tasks (the session's shuffle partitions by default), which sort their
+    lines by pair and line and write them one by one.
+    """
+    n = files or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartition(n, "pair_id").sortWithinPartitions("pair_id", "line_no")
+    dealt.select("pair_id", F.col("line").alias("value")).write.partitionBy("pair_id").text(path)
 
 
-def record_json(pairs: DataFrame, langs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(pair_id, json): one record per pair, image payloads left out."""
-    cols = [c for c in pairs.columns if c not in ("pair_id", "pair_seq")]
-    body = pairs.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("pair_seq", *cols))).alias("pairs")).join(langs, "pair_id", "left")
+def record_json(pairs: DataFrame, langs: DataFrame, sources: DataFrame | None = None, targets: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(pair_id, json): one record per pair, image payloads left out.
+
+    ``sources`` and ``targets`` are (pair_id, para_idx, text, image_ids), ``images`` is
+    (pair_id, id, mime_type). What is not given is left out of the record.
+    """
+    listed = lambda rows, *cols: rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_list"))
+    body = listed(pairs, "pair_seq", *[c for c in pairs.columns if c not in ("pair_id", "pair_seq")]).withColumnRenamed("_list", "pairs").join(langs, "pair_id", "left")
     extra = []
-    if sources is not None:
-        paras = sources.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text", "image_ids"))).alias("source_paragraphs"))
-        body, extra = body.join(paras, "pair_id", "left"), ["source_paragraphs"]
+    for name, rows, cols in (("source_paragraphs", sources, ("para_idx", "text", "image_ids")), ("target_paragraphs", targets, ("para_idx", "text", "image_ids")), ("images", images, ("id", "mime_type"))):
+        if rows is not None:
+            body, extra = body.join(listed(rows, *cols).withColumnRenamed("_list", name), "pair_id", "left"), [*extra, name]
     made = F.struct(F.lit(EXPORTER).alias("exported_by"), F.lit(VERSION).alias("version"), "pair_id", "src_lang", "tgt_lang", "pairs", *extra)
     return body.select("pair_id", F.to_json(made).alias("json"))
 

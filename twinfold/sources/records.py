@@ -26,6 +26,15 @@ def source_paragraphs(read_: DataFrame, key: str) -> DataFrame:
     return read_.select(key, F.explode("record.source_paragraphs").alias("p")).select(key, "p.*")
 
 
+def target_paragraphs(read_: DataFrame, key: str) -> DataFrame:
+    return read_.select(key, F.explode("record.target_paragraphs").alias("p")).select(key, "p.*")
+
+
+def images(read_: DataFrame, key: str) -> DataFrame:
+    """(key, id, mime_type): the image list; payloads are not in records."""
+    return read_.select(key, F.explode("record.images").alias("p")).select(key, "p.*")
+
+
 def without_record(books: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Books that still need extraction: those that no record gave paragraphs for."""
     return books.join(found.select(key).distinct(), key, "left_anti")
