@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from twinfold.operators import catalog, progress, search
+from twinfold.operators import catalog, progress, search, store
 from twinfold.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -70,3 +70,43 @@ def test_job_stream(spark, tmp_path):
         stream = spark.readStream.schema("pair_id string, n int").parquet(src)
         jobs.follow_jobs(stream, lambda d: d.withColumn("m", F.col("n") * 2), out, str(tmp_path / "c")).awaitTermination()
     assert sorted((r["pair_id"], r["m"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 4), ("c", 6)]
+
+
+def test_latest_positions_in_the_state_store(spark, tmp_path):
+    schema = "event_id long, key string, ts timestamp, char_count double, total_chars double"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, "k", T0, 5.0, 10.0), (2, "j", T0, 1.0, 10.0)], [(3, "k", T0 + timedelta(days=5), 8.0, 10.0), (9, "k", T0 + timedelta(days=9), -1.0, 10.0)], [(4, "k", T0 + timedelta(1), 6.0, 10.0), (3, "k", T0 + timedelta(days=5), 8.0, 10.0)]]
+    touched = []
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        jobs.follow_latest(stream, out, str(tmp_path / "c")).awaitTermination()
+        touched.append(spark.read.parquet(f"{out}/batch={n}").count())
+    # a batch writes its own keys only
+    assert touched == [2, 1, 1]
+    assert {r["key"]: r["char_count"] for r in jobs.read_latest(spark, out).collect()} == {"k": 8.0, "j": 1.0}
+
+
+def test_store(spark, tmp_path):
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, schema = str(tmp_path / "s"), "id string, title string"
+    titles = lambda a, b: spark.createDataFrame([(f"t{k}",) for k in range(a, b)], "title string")
+    with ThreadPoolExecutor(2) as pool:
+        made = [r for part in pool.map(lambda ab: store.add(titles(*ab), path).collect(), [(0, 30), (30, 60)]) for r in part]
+    read = lambda p=path: store.stored(spark, p, schema)
+    assert len({r["id"] for r in made}) == 60 == store.counted(read()).first()["n"]
+    assert {(r["id"], r["title"]) for r in made} == {(r["id"], r["title"]) for r in read().collect()}
+    one = made[7]
+    assert [r["title"] for r in store.get(read(), one["id"]).collect()] == [one["title"]] and store.get(read(), "none").count() == 0
+    # a lookup reads one bucket
+    assert f"(bucket#" in (plan := store.get(read(), one["id"])._jdf.queryExecution().toString()) and "PartitionFilters: [isnotnull(bucket" in plan
+    files = {f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    store.remove(spark.createDataFrame([(one["id"],), ("unknown",), (None,)], "id string"), path)
+    assert files < {f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    assert store.get(read(), one["id"]).count() == 0 and store.counted(read()).first()["n"] == 59
+    store.add(spark.createDataFrame([("own", "last")], "id string, title string"), path)
+    assert store.listed(read()).first()["id"] == "own"
+    store.compacted(read(), str(tmp_path / "u"))
+    assert sorted(read().collect()) == sorted(read(str(tmp_path / "u")).collect())

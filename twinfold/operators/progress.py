@@ -35,8 +35,9 @@ def page_start(pages: DataFrame, layout: DataFrame, key: str = "book_id") -> Dat
     total = layout.groupBy(key).agg(F.max("start").alias("total"))
     real = layout.where("offset_left is not null").select(key, F.col("offset_left").cast("double").alias("at"), F.lit(1).alias("side"), "start", *[F.lit(None).cast(t).alias(c) for c, t in pages.dtypes if c != key])
     asked = pages.select(key, (F.col("page") * (F.col("width") + F.col("gap"))).cast("double").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("start"), *[c for c in pages.columns if c != key])
-    onward = Window.partitionBy(key).orderBy("at", "side", "start").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return real.unionByName(asked).withColumn("start", F.first("start", ignorenulls=True).over(onward)).where("side = 0").join(total, key).select(*pages.columns, F.coalesce("start", "total").alias("char"))
+    # from the end backwards: a frame that only grows takes linear time
+    onward = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("side"), F.desc("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return real.unionByName(asked).withColumn("start", F.last("start", ignorenulls=True).over(onward)).where("side = 0").join(total, key).select(*pages.columns, F.coalesce("start", "total").alias("char"))
 
 
 def latest(events: DataFrame, key: str = "key") -> DataFrame:

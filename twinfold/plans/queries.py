@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from twinfold.functions import text as tx
-from twinfold.operators import align, catalog, display, near, progress, search, sentences, vectors
-from twinfold.operators.shared import checkpointed, ranked
+from twinfold.operators import align, catalog, display, near, progress, search, sentences, store, vectors
+from twinfold.operators.shared import checkpointed, ranked, shared_folder
 from twinfold.plans import align_books as plan
 from twinfold.plans import inputs
 from twinfold.sinks import exports
@@ -717,6 +719,22 @@ def catalog_jobs(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "src_name", "tgt_name", "label")
 
 
+@query("""
+SELECT source, lang, count(*) AS n, min(doc_id) AS "first", max(doc_id) AS "last" FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id IS NOT NULL GROUP BY source, lang
+""")
+def stored_books(spark, sf_dir):
+    """All books stored in two writes, the German ones deleted, the rest compacted and counted."""
+    folder, schema = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", "id long, source string, lang string"
+    rows = inputs.books(spark, sf_dir).where("book_id is not null").select(F.col("book_id").alias("id"), "source", "lang")
+    german = F.coalesce(F.col("lang") == "de", F.lit(False))
+    store.add(rows.where(german), f"{folder}/a")
+    store.add(rows.where(~german), f"{folder}/a")
+    store.remove(rows.where(german), f"{folder}/a")
+    store.compacted(store.stored(spark, f"{folder}/a", schema), f"{folder}/b")
+    left = store.stored(spark, f"{folder}/b", schema)
+    return left.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 @query("WITH " + inputs.TURNS + """ SELECT pair_id, count(*) FILTER (WHERE alignment_type = '1:1') AS matched, count(*) FILTER (WHERE alignment_type <> '0:1') AS src_total, count(*) FILTER (WHERE alignment_type <> '1:0') AS tgt_total FROM pairs GROUP BY pair_id""")
 def import_totals(spark, sf_dir):
     return catalog.import_totals(inputs.turns(spark, sf_dir))
