@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.operators.shared import text_batches
+
 DIM, GRAM, BATCH = 64, 3, 32
+#: Rows and columns of a tile of similarities.
+TILE = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -81,11 +85,48 @@ def band(sizes: DataFrame, fraction: float = 0.15, least: int = 50) -> DataFrame
     return rows.select("pair_id", "i", F.greatest(F.lit(0), centre - F.col("w")).cast("long").alias("lo"), F.least(F.col("n"), centre + F.col("w")).cast("long").alias("hi"))
 
 
-def band_candidates(src: DataFrame, tgt: DataFrame, fraction: float = 0.15, least: int = 50) -> DataFrame:
-    """(pair_id, i, j, sim) for pairs within the band: the range join as an equi-join on (pair_id, j)."""
+def band_candidates(src: DataFrame, tgt: DataFrame, fraction: float = 0.15, least: int = 50, tile: int = TILE) -> DataFrame:
+    """(pair_id, i, j, sim) for pairs within the band, in tiles of ``tile`` rows and columns that overlap it.
+
+    A block of vectors is sent once for each tile and a tile is one matrix product, so no vector is
+    sent per cell. ``sim`` is null where a vector is null, holds nulls or NaN, or is of another length.
+    """
     sizes = src.groupBy("pair_id").agg(F.count("*").alias("m")).join(tgt.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id")
-    limits = band(sizes, fraction, least).where("i > 0 and hi > 0")
-    cells = limits.select("pair_id", (F.col("i") - 1).alias("i"), F.explode(F.sequence(F.greatest("lo", F.lit(1)) - 1, F.col("hi") - 1)).alias("j"))
-    s = src.select("pair_id", F.col("global_idx").cast("long").alias("i"), F.col("embedding").alias("a"))
-    t = tgt.select("pair_id", F.col("global_idx").cast("long").alias("j"), F.col("embedding").alias("b"))
-    return cells.join(s, ["pair_id", "i"]).join(t, ["pair_id", "j"]).select("pair_id", "i", "j", dot(F.col("a"), F.col("b")).alias("sim"))
+    limits = band(sizes, fraction, least).where("i > 0 and hi > 0").select("pair_id", (F.col("i") - 1).alias("i"), (F.greatest("lo", F.lit(1)) - 1).alias("lo"), (F.col("hi") - 1).alias("hi"))
+    rows = src.select("pair_id", F.col("global_idx").cast("long").alias("i"), F.col("embedding").alias("a")).join(limits, ["pair_id", "i"])
+    block = lambda c: F.floor(F.col(c) / tile)
+    left = rows.groupBy("pair_id", block("i").alias("_row")).agg(F.collect_list(F.struct("i", "lo", "hi", "a")).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    tiles = left.select("pair_id", "rows", F.explode(F.sequence(block("lo"), block("hi"))).alias("_col"))
+    cols = tgt.select("pair_id", F.col("global_idx").cast("long").alias("j"), F.col("embedding").alias("b"))
+    right = cols.groupBy("pair_id", block("j").alias("_col")).agg(F.collect_list(F.struct("j", "b")).alias("cols"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(vectors: list, dim: int) -> np.ndarray:
+            out = np.zeros((len(vectors), dim))
+            for k, v in enumerate(vectors):
+                out[k, : len(v or [])] = np.array(v or [], dtype=float)
+            return out
+
+        def lengths(vectors: list) -> np.ndarray:
+            return np.array([np.nan if v is None else len(v) for v in vectors])
+
+        for batch in batches:
+            key = batch.column(0)
+            for k in range(len(batch)):
+                rows, cols = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                a, b = [r["a"] for r in rows], [c["b"] for c in cols]
+                dim = max(len(v or []) for v in (*a, *b))
+                sims = matrix(a, dim) @ matrix(b, dim).T
+                sims[lengths(a)[:, None] != lengths(b)] = np.nan
+                i, lo, hi = (np.array([r[n] for r in rows]) for n in ("i", "lo", "hi"))
+                j = np.array([c["j"] for c in cols])
+                at, to = np.nonzero((j >= lo[:, None]) & (j <= hi[:, None]))
+                sim = sims[at, to]
+                found = [key.take(pa.array(np.full(len(at), k))), pa.array(i[at]), pa.array(j[to]), pa.array(sim, mask=np.isnan(sim))]
+                yield pa.RecordBatch.from_arrays(found, ["pair_id", "i", "j", "sim"])
+
+    made = tiles.join(right, ["pair_id", "_col"]).select("pair_id", "rows", "cols")
+    return text_batches(made).mapInArrow(run, f"pair_id {src.schema['pair_id'].dataType.simpleString()}, i long, j long, sim double")
