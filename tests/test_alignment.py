@@ -220,3 +220,46 @@ def test_sentence_breaks_of_long_texts(spark):
     texts = ["a" * 500_000 + " b. C", "." * 500_000 + " x", "x. " * 100_000, " " * 500_000 + "a.", "!" * 300_000 + ")" * 300_000]
     rows = spark.createDataFrame([(k, 0, t, "en") for k, t in enumerate(texts)], "book_id int, para_idx int, text string, lang string")
     assert {r["book_id"]: r["n"] for r in sentences.sentences(rows, cap=None, lang="lang").groupBy("book_id").agg(F.count("*").alias("n")).collect()} == {0: 2, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_sentence_ends_follow_the_break_table(spark):
+    """The one expression ends sentences where the classes of both sides of a cut do, in SQL."""
+    import duckdb
+
+    from twinfold.functions import sentence_breaks
+    from twinfold.plans import inputs
+
+    rng = np.random.default_rng(8)
+    some = [".", ".", "!", "?", "…", "。", "．", "؟", ",", "-", ")", '"', "’", " ", " ", "\t", "　", "a", "B", "7", "é", "É", "Dr", "dr", "Mr.", "núm", "NÚM", "inKl", "inKl", "St", "z.B", "Abcdefghi", "漢", "\U0001d400", "\U0001f600"]
+    rows = [(k, 0, "".join(rng.choice(some, int(rng.integers(1, 25)))), lang) for k, lang in enumerate(["en", "de", "fr", "es", "it", "EN-us", "xx", None] * 150)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (book_id BIGINT, para_idx INT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"WITH {inputs.split_sql('SELECT * FROM t')} SELECT book_id, sent_idx, text FROM sentences ORDER BY 1, 2").fetchall()
+    df = spark.createDataFrame(rows, "book_id long, para_idx int, text string, lang string")
+    clean = lambda t: t.strip()
+    got = [(r["book_id"], r["sent_idx"], clean(r["text"])) for r in sentences.sentences(df, lang="lang").orderBy("book_id", "global_idx").collect()]
+    assert got == [(k, n, clean(t)) for k, n, t in want if clean(t)] and len(got) > len(rows)
+    # one expression a sentence end, not one for each rule
+    plan = df.select(sentence_breaks.sentence_texts(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "RLIKE" not in plan
+
+
+def test_books_are_aligned_as_text(spark):
+    """Pair rows agree with sentences, vectors and moves made one by one; neither vectors nor sentences are joined."""
+    rng = np.random.default_rng(4)
+    words = ["Alpha", "beta", "İzmir", "ΟΔΟΣ", "x", "Straße", "漢字", "don't", "😀"]
+    text = lambda: " ".join(rng.choice(words, int(rng.integers(1, 9)))) + "."
+    paragraphs = spark.createDataFrame([(k, p, " ".join(text() for _ in range(int(rng.integers(1, 4))))) for k in range(6) for p in range(12)] + [(6, 0, " ")], "book_id long, para_idx int, text string")
+    jobs = spark.createDataFrame([("a", 0, 1), ("b", 0, 2), ("c", 3, 0), ("d", 4, 5), ("e", 6, 0), ("f", 0, 0)], "pair_id string, src_book_id long, tgt_book_id long")
+    parts = sentences.sentences(paragraphs, cap=20)
+    side_of = lambda rows, s: jobs.select("pair_id", F.col(f"{s}_book_id").alias("book_id")).join(rows, "book_id")
+    vector = vectors.embed_hashed(parts, ["book_id", "global_idx"])
+    moves = align.align(side_of(vector, "src"), side_of(vector, "tgt"), align.BAND, -0.05)
+    want = align.with_texts(moves, side_of(parts, "src"), side_of(parts, "tgt"))
+    got = plan.align_books(jobs, paragraphs, cap=20, gap=-0.05)
+    assert got.columns == want.columns
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want) and got.select("pair_id").distinct().count() == 5
+    text_plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "global_idx" not in text_plan.split("Join")[-1] and "embedding" not in text_plan

@@ -7,9 +7,12 @@ matrix product and one running maximum. Only the moves are kept, a byte per cell
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinfold.operators import vectors
+
 BAND, GAP, EPS = 0.15, 0.0, 1e-5
 MATCH, SRC_ONLY, TGT_ONLY = 0, 1, 2
 TYPES = ("1:1", "1:0", "0:1")
@@ -107,6 +110,27 @@ def align(src: DataFrame, tgt: DataFrame, fraction: float = BAND, gap: float = G
     return by_pair(src).cogroup(by_pair(tgt)).applyInPandas(run, SCHEMA)
 
 
+def text_moves(src: Column, tgt: Column, fraction: float = BAND, gap: float = GAP) -> Column:
+    """Moves (src, tgt, kind, confidence) of two arrays of sentences with a ``text``, by their hashed vectors; kind is a place in ``TYPES``."""
+    known = vectors.Dimensions()
+
+    @F.arrow_udf("array<struct<src int, tgt int, kind int, confidence double>>")
+    def moves(s: pa.Array, t: pa.Array) -> pa.Array:
+        ends, parts = [0], []
+        for x, y in zip(s, t, strict=True):
+            a, b = (known.matrix(v.as_py()).astype(np.float64) for v in (x, y))
+            _, kinds, lo = fill(lambda i, low, high: b[low:high] @ a[i], len(a), len(b), fraction, gap)  # noqa: B023
+            steps = path(kinds, lo, len(a), len(b))
+            ends.append(ends[-1] + len(steps))
+            parts += [(i, j, k, float(a[i] @ b[j]) if k == MATCH else None) for k, i, j in steps]
+        kind, i, j = (np.array([p[c] for p in parts], dtype=np.int32) for c in (2, 0, 1))
+        fields = [pa.array(i, mask=i < 0), pa.array(j, mask=j < 0), pa.array(kind), pa.array([p[3] for p in parts], pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["src", "tgt", "kind", "confidence"]))
+
+    lowered = lambda c: F.transform(c, lambda x: F.lower(x["text"]))
+    return moves(lowered(src), lowered(tgt))
+
+
 def scores(src: DataFrame, tgt: DataFrame, gap: float = GAP, fraction: float = 1.0, free_edges: bool = True) -> DataFrame:
     """(pair_id, m, n, score): the best total of each pair, without its moves."""
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from twinfold.operators.shared import text_batches
 
 DIM, GRAM, BATCH = 64, 3, 32
+#: N-grams that a task remembers.
+KNOWN = 1 << 19
 #: Rows and columns of a tile of similarities.
 TILE = 64
 
@@ -40,6 +42,33 @@ def embed_hashed(rows: DataFrame, keys: list[str], text: str = "text", dim: int
     return found.select(*keys, vector.alias("embedding"))
 
 
+class Dimensions(dict):
+    """The dimension of each n-gram, as in ``gram_counts``; those seen last are remembered."""
+
+    def __init__(self, dim: int = DIM, gram: int = GRAM):
+        self.dim, self.gram = dim, gram
+
+    def __missing__(self, gram: str) -> int:
+        import hashlib
+
+        if len(self) >= KNOWN:
+            self.clear()
+        found = self[gram] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") % self.dim
+        return found
+
+    def matrix(self, texts: list[str]):
+        """A row for each lower-cased text: the vectors of ``embed_hashed``."""
+        import numpy as np
+
+        out, width = np.zeros((len(texts), self.dim), dtype=np.float32), self.gram
+        for k, text in enumerate(texts):
+            t = f" {text} "
+            found = [self[t[i : i + width]] for i in range(max(len(t) - width + 1, 1))]
+            n = np.bincount(found, minlength=self.dim).astype(np.float64)
+            out[k] = n / np.sqrt(n @ n)
+        return out
+
+
 def embed_with(rows: DataFrame, load: Callable, keys: list[str], text: str = "text", batch: int = BATCH) -> DataFrame:
     """(keys, embedding) by a model: ``load()`` is called once per task and gives a function from a list of texts to a matrix.
 

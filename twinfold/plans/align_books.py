@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.operators import align, near, sentences, vectors
-from twinfold.operators.shared import ranked
-
-
-def sequences(jobs: DataFrame, rows: DataFrame, side: str, key: str = "book_id") -> DataFrame:
-    """Rows of the books on one side of the jobs, under pair_id."""
-    return jobs.select("pair_id", F.col(f"{side}_book_id").alias(key)).join(rows, key)
+from twinfold.operators import align, near, sentences
+from twinfold.operators.shared import checkpointed, ranked, text_batches
 
 
 def books_of(jobs: DataFrame, books: DataFrame, key: str = "book_id") -> DataFrame:
@@ -22,15 +17,36 @@ def books_of(jobs: DataFrame, books: DataFrame, key: str = "book_id") -> DataFra
 def align_books(jobs: DataFrame, paragraphs: DataFrame, rules: list[tuple[str, str]] | None = None, cap: int = sentences.CAP, band: float = align.BAND, gap: float = align.GAP, key: str = "book_id") -> DataFrame:
     """Pair rows of all jobs (pair_id, src_book_id, tgt_book_id), from paragraphs (key, para_idx, text).
 
-    Only the books of a job are split and embedded, each once however many jobs it is in.
+    Only the books of a job are split, each once however many jobs it is in. A book is one row of
+    sentences; it is sent to its jobs as text and embedded where it is aligned, so that neither
+    vectors nor single sentences are shuffled.
     """
     wanted = books_of(jobs, paragraphs, key)
     if rules:
         wanted = sentences.clean(wanted, sentences.valid_rules(wanted.sparkSession, rules))
-    parts = sentences.sentences(wanted, key, cap)
-    vector = vectors.embed_hashed(parts, [key, "global_idx"])
-    moves = align.align(sequences(jobs, vector, "src", key), sequences(jobs, vector, "tgt", key), band, gap)
-    return align.with_texts(moves, sequences(jobs, parts, "src", key), sequences(jobs, parts, "tgt", key))
+    books = checkpointed(sentences.whole_books(wanted, key, cap))
+    # the target first: a source has more jobs than a target
+    rows = with_book(with_book(jobs.select("pair_id", "src_book_id", "tgt_book_id"), books, "tgt", key), books, "src", key)
+    made = text_batches(rows).select(F.col("pair_id").cast("string").alias("pair_id"), "src", "tgt", align.text_moves(F.col("src"), F.col("tgt"), band, gap).alias("moves"))
+    side = lambda p, at: [F.get(p, at)[c].alias(f"{p}_{c}") for c in ("text", "sent_idx", "para_idx")]
+
+    def row(m, seq):
+        (s, *src), (t, *tgt) = side("src", m["src"]), side("tgt", m["tgt"])
+        texts = [F.coalesce(s, F.lit("")).alias("src_text"), F.coalesce(t, F.lit("")).alias("tgt_text")]
+        at = [m[p].alias(f"{p}_global_idx") for p in ("src", "tgt")]
+        kind = F.get(F.array(*map(F.lit, align.TYPES)), m["kind"])
+        return F.struct(seq.alias("pair_seq"), *texts, *src, at[0], *tgt, at[1], kind.alias("alignment_type"), m["confidence"].alias("confidence"))
+
+    return made.select("pair_id", F.inline(F.transform("moves", row)))
+
+
+def with_book(jobs: DataFrame, books: DataFrame, side: str, key: str, share: int = 1000) -> DataFrame:
+    """``jobs`` with the sentences of the book on one side; a book of many jobs is sent to several tasks, ``share`` jobs each."""
+    book = f"{side}_book_id"
+    parts = jobs.groupBy(book).count().select(F.col(book).alias(key), F.ceil(F.col("count") / share).cast("int").alias("_parts"))
+    dealt = jobs.join(parts.withColumnRenamed(key, book), book).withColumn("_part", F.pmod(F.xxhash64("pair_id"), F.col("_parts")).cast("int")).drop("_parts")
+    sent = books.join(parts, key).select(F.col(key).alias(book), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("sentences").alias(side))
+    return dealt.join(sent, [book, "_part"]).drop("_part")
 
 
 def near_version_jobs(books: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
