@@ -5,15 +5,13 @@ ends at a cut follows from the classes on its two sides, by the public rules for
 of Unicode text: nothing breaks before a comma or another end mark; !, ? and full-width marks break;
 a dot does not within a number (3.14), within an abbreviation (U.S.A), before a word in lower case, or
 after an abbreviation of the locale (Dr.); other dots break. Closing quotes and brackets stay with
-their sentence; unlike there, opening ones begin the next. Classes of one side are regular expressions
-without look-around, so that they also run in SQL. A cut needs its two neighbours only, so a text is
-marked in one pass, in time linear to its length.
+their sentence; unlike there, opening ones begin the next. In SQL classes of one side are regular
+expressions without look-around; in Spark one expression with look-around marks the ends. A cut needs
+its two neighbours only, so a text is marked in one pass, in time linear to its length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +24,8 @@ CLOSE = r"\x22\x27)\]}\x{BB}\x{2019}\x{201D}\x{203A}\x{3009}\x{300B}\x{300D}\x{3
 SPACE = r"\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
 GO_ON = r",:;\x{3001}\x{FF0C}\x{FF1A}\x{FF1B}\x{2013}\x{2014}\-"
 
+#: An end mark, as a class that most characters leave after one comparison.
+MARK = rf"[.!?[\x{{061F}}-\x{{FF61}}&&[{DOT}{END}]]]"
 #: One piece between two cuts.
 PIECE = f"[^{DOT}{END}]*[{DOT}{END}]+[{CLOSE}]*[{SPACE}]*|[^{DOT}{END}]+"
 #: What the left side of a cut may be; the group is the word of an abbreviation.
@@ -43,41 +43,37 @@ ABBREVIATIONS = {
 }
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is made once, however often ``body`` names it: the end of a fold over nothing."""
-    return F.aggregate(F.array().cast("array<int>"), value, lambda s, _: s, body)
-
+def any_case(word: str) -> str:
+    """A regex of what becomes ``word`` in lower case, also the Kelvin sign."""
+    return "".join(f"[{c}{c.upper()}]" if c != "k" else "[kK\\x{212A}]" for c in word)
 
-def abbreviations(lang: Column | None) -> Column | None:
-    """The words of a language; of a text without a known one, none."""
-    if lang is None:
-        return None
-    known = F.create_map(*[x for k, words in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*map(F.lit, words)))])
-    return F.coalesce(known[F.lower(F.substring(lang, 1, 2))], F.array().cast("array<string>"))
 
+def end_pattern(words: tuple[str, ...] = ()) -> str:
+    """A run of end marks with the closers and blanks behind it, where a sentence ends; ``words`` are abbreviations.
 
-def breaks(left: Column, right: Column, words: Column | None) -> Column:
-    """Whether a sentence ends between two neighbouring pieces."""
-    inside = (right.rlike(DIGIT) & left.rlike(BARE_DOT)) | (right.rlike(UPPER) & left.rlike(LETTER_DOT)) | right.rlike(LOWER)
-    if words is not None:
-        inside = inside | F.array_contains(words, F.lower(F.regexp_extract(left, WORD_DOT, 1)))
-    return F.when(right.rlike(CARRIES_ON), False).when(~left.rlike(ENDS_IN_DOT), True).otherwise(~inside)
+    The classes and rules of ``breaks_sql`` in one expression: what is behind the run is looked at
+    before closers and blanks, what is ahead after them. A run is tried from its first mark only.
+    Java looks back by code points only if the pattern holds one beyond the basic plane: the last group does, and matches nothing.
+    """
+    short = rf"(?<!(?<!\pL)(?:{'|'.join(map(any_case, words))})\.)" if words else ""
+    dot = rf"(?<=[{DOT}])(?!\p{{Nd}})(?!(?<=[\p{{Lu}}\p{{Ll}}\p{{Lt}}][{DOT}])[\p{{Lu}}\p{{Lt}}]){short}[{CLOSE}]*+[{SPACE}]*+(?![^\pL{DOT}{END}]*+\p{{Ll}})"
+    return rf"{MARK}(?<![{DOT}{END}][{DOT}{END}])[{DOT}{END}]*+(?:(?<=[{END}])[{CLOSE}]*+[{SPACE}]*+|{dot})(?![{GO_ON}{DOT}{END}])(?:|{chr(0x10000)})"
 
 
 def sentence_texts(text: Column, lang: Column | None = None) -> Column:
     """The sentences of a paragraph, with their end marks; blank ones dropped. Abbreviations are those of ``lang``."""
-
-    def marked(pieces: Column, words: Column | None) -> Column:
-        end = lambda s, k: F.when(breaks(s, F.get(pieces, k + 1), words), F.concat(s, F.lit("\x01"))).otherwise(s)
-        return F.split(F.array_join(F.transform(pieces, end), ""), "\x01")
-
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    words = abbreviations(lang)
-    return F.array_remove(F.transform(let(pieces, lambda p: marked(p, words)), trim), "")
+    whole = F.coalesce(text, F.lit(""))
+    marked = lambda words=(): F.regexp_replace(whole, end_pattern(words), "$0\x01")
+    found = marked()
+    if lang is not None:
+        code = F.lower(F.substring(lang, 1, 2))
+        for known, words in ABBREVIATIONS.items():
+            found = F.when(code == known, marked(words)).otherwise(found)
+    return F.array_remove(F.transform(F.split(found, "\x01"), trim), "")
 
 
 def breaks_sql(left: str, right: str, lang: str) -> str:
-    """``breaks`` in SQL."""
+    """Whether a sentence ends between two neighbouring pieces, in SQL."""
     at = lambda side, rule: f"regexp_matches({side}, '{rule.replace(chr(39), chr(39) * 2)}')"
     words = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in some)}]" for k, some in ABBREVIATIONS.items())
     short = f"coalesce(list_contains(CASE lower(substr({lang}, 1, 2)) {words} END, lower(regexp_extract({left}, '{WORD_DOT}', 1))), false)"
