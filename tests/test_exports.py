@@ -61,3 +61,13 @@ def test_records_keep_both_sides_and_the_image_list(spark):
     assert [(r["para_idx"], r["image_ids"]) for r in records.target_paragraphs(back, "pair_id").collect()] == [(0, []), (1, ["t1"])]
     assert [(r["id"], r["mime_type"]) for r in records.images(back, "pair_id").collect()] == [("t1", "image/png")]
     assert records.source_paragraphs(back, "pair_id").count() == 0
+
+
+def test_scores_are_rounded_by_their_exact_value(spark):
+    """A score just below a tie goes down (0.01875 is 0.018749999...), a tie goes up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [k / 160 for k in range(161)] + [k / 32 for k in range(33)] + [k / 1000 + 0.00005 for k in range(1000)] + [-0.03125, -0.5, 12345.03125, 2 / 3, 200.00005, 1e-9]
+    df = spark.createDataFrame([(1, k, "a", "b", v) for k, v in enumerate(values)], "pair_id long, pair_seq int, src_text string, tgt_text string, confidence double")
+    got = [r["line"].split("\t")[-1] for r in exports.tsv_lines(df).where("line_no >= 0").orderBy("line_no").collect()]
+    assert got == [str(Decimal(v).quantize(Decimal("0.0001"), ROUND_HALF_UP)) for v in values]

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.sources.records import EXPORTER, VERSION
 
 
+def four_places(x: Column) -> Column:
+    """The exact value of a double to four places, ties away from zero; from 256 on by its shortest digits.
+
+    The value is cut at 2^-30, so that both parts times 10,000 are exact.
+    """
+    size = F.abs(x)
+    high = F.floor(size * float(1 << 30)) / float(1 << 30)
+    units = F.floor(high * 10000)
+    up = (size - high) * 10000 >= 0.5 - (high * 10000 - units)
+    made = F.format_string("%.4f", (units + up.cast("long")) / 10000)
+    return F.when(size < 256, F.concat(F.when(x < 0, "-").otherwise(""), made)).otherwise(F.format_string("%.4f", x))
+
+
 def tsv_lines(pairs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(pair_id, line_no, line): header lines have line_no below 0, rows keep pair_seq.
 
@@ -16,7 +29,7 @@ def tsv_lines(pairs: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """
     flat = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\t\n]", " ")
     src = F.when(F.col("src_text").startswith("#"), F.concat(F.lit(" "), flat("src_text"))).otherwise(flat("src_text"))
-    score = F.when(F.col("confidence").isNull(), "").otherwise(F.format_string("%.4f", "confidence"))
+    score = F.when(F.col("confidence").isNull(), "").otherwise(four_places(F.col("confidence")))
     rows = pairs.select("pair_id", F.col("pair_seq").alias("line_no"), F.concat_ws("\t", src, flat("tgt_text"), score).alias("line"))
     n = pairs.groupBy("pair_id").agg(F.count("*").alias("n"))
     if titles is not None:
