@@ -177,3 +177,32 @@ def test_spine(spark):
     pages = spine.spine(spine.members(df))
     assert rows(pages.select("book_id", "spine_pos", "path"), "spine_pos") == [(1, 0, "b.html"), (1, 1, "a.xhtml")]
     assert rows(spine.book_paragraphs(pages), "para_idx") == [(1, 0, "First.", []), (1, 1, "One.", []), (1, 2, "Two.", [])]
+
+
+def test_a_zip_is_opened_once(spark):
+    """The spine reads each book's files one time, whatever it joins them with."""
+    import io
+    import zipfile
+
+    from twinfold.sources import spine
+
+    def book(k):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("META-INF/container.xml", '<rootfile full-path="o.opf"/>')
+            z.writestr("o.opf", '<item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/><item id="c" href="c.xhtml"/><itemref idref="c"/><itemref idref="b"/><itemref idref="a"/>')
+            z.writestr("a.xhtml", f"text {k}")
+            z.writestr("b.xhtml", "")
+        return data.getvalue()
+
+    opened = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            opened.add(len(batch))
+            yield batch
+
+    books = spark.createDataFrame([(k, book(k)) for k in range(4)] + [(9, b"no zip"), (10, None)], "book_id long, content binary")
+    found = spine.spine(spine.members(books).mapInArrow(counted, "book_id long, path string, data binary"))
+    assert sorted(tuple(r) for r in found.collect()) == [(k, 0, "a.xhtml", f"text {k}") for k in range(4)]
+    assert opened.value == 16
