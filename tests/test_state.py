@@ -110,3 +110,16 @@ def test_store(spark, tmp_path):
     assert store.listed(read()).first()["id"] == "own"
     store.compacted(read(), str(tmp_path / "u"))
     assert sorted(read().collect()) == sorted(read(str(tmp_path / "u")).collect())
+
+
+def test_queries_of_many_wordings_read_the_texts_once(spark):
+    """60 wordings in 120 queries, found as plain search does; one block, whatever their number in the old one was."""
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [(1, k, f"{words[k % 5]} {words[k % 3]} x{k} {words[k % 4]}.") for k in range(60)]
+    book = spark.createDataFrame(texts, "book_id int, para_idx int, text string")
+    lines = [(2 * k + c, t.upper() if c else t) for k, (_, _, t) in enumerate(texts) for c in (0, 1)] + [(900, "alpha nowhere beta"), (901, "a"), (902, "x1"), (903, " ")]
+    found = search.hits(book, ["text"], spark.createDataFrame(lines, "query_id int, query string"))
+    want = sorted((k, p) for k, q in lines for _, p, t in texts if q.strip() and q.strip().lower() in t)
+    assert sorted((r["query_id"], r["para_idx"]) for r in found.collect()) == want
+    asked = search.wordings(spark.createDataFrame(lines, "query_id int, query string"))
+    assert asked.count() == 63 and "nowhere" not in {r["anchor"] for r in search.anchored(asked, spark.createDataFrame([("alpha", 9), ("x1", 1)], "word string, n long")).collect()}
