@@ -124,3 +124,32 @@ def test_versions_are_near_copies_of_whole_texts(spark):
     books = [(1, "Title\n" + rest), (2, "Another title\n" + rest), (3, "Title\nsomething else"), (4, "Title\n" + rest), (5, "Title\n" + rest.upper()), (6, None)]
     found = plan.near_version_jobs(spark.createDataFrame(books, "book_id int, text string"))
     assert sorted(tuple(r) for r in found.collect()) == [("1-2", 1, 2), ("1-5", 1, 5)]
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(0, 3000, 30)]
+    sets += [np.unique(np.concatenate([s[: int(0.9 * len(s))], rng.integers(0, 1 << 63, len(s) // 20, dtype=np.uint64)])) for s in sets]
+    pairs = list(itertools.product(range(len(sets)), repeat=2))
+    maps = [near.bitmap(s) for s in sets]
+    only = near.missing([maps[a] for a, _ in pairs], [maps[b] for _, b in pairs])
+    exact = np.array([[len(np.setdiff1d(sets[a], sets[b])), len(np.setdiff1d(sets[b], sets[a]))] for a, b in pairs]).T
+    assert (only[0] <= exact[0]).all() and (only[1] <= exact[1]).all()
+
+
+def test_far_texts_of_one_bucket_are_not_sent(spark, monkeypatch):
+    """Forty texts with one rare shingle meet in a bucket; no text of them goes to a comparison, in either way of grouping."""
+    texts = [" ".join([*(f"a{k}x{i}" for i in range(60)), "one", "rare", "turn", "of", "phrase"]) for k in range(40)]
+    texts.append(texts[7] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, checked = [], near.checked
+
+    def counted(pairs, *args):
+        sent.extend((r["a"], r["b"]) for r in pairs.select("a", "b").collect())
+        return checked(pairs, *args)
+
+    monkeypatch.setattr(near, "checked", counted)
+    monkeypatch.setattr(near, "first_keys", lambda hashes, levels, least: np.unique(hashes >> np.uint64(16)).view(np.int64))
+    assert near.drop_near_copies(df).count() == 40
+    assert near.groups(df, across=True).select("group_id").distinct().count() == 40
+    assert set(sent) == {(7, 40)}

@@ -7,6 +7,10 @@ pair is left out when what follows the shared shingle in either set is too short
 bucket has the pair, or it is not near. How rare a shingle is comes from counts by hash cell over all texts; cells that shingles share only make the
 order less sharp. What many texts share, as a passage, comes last and puts none of them together.
 
+A set also has a bitmap of at least as many bits as shingles. Bits that only one of two bitmaps has
+bound what the sets share, so most pairs that a shingle proposes by chance are left out without
+their texts, and only the texts of the others are sent to a comparison.
+
 In each round every bucket compares some heads (the first node; in later rounds the first of 8, 64,
 ... parts) with its others, by the exact similarity. Heads leave the bucket, and so do nodes that
 are near to a head before them, until no bucket has two. So work grows with a bucket's size and the
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from twinfold.operators.shared import broadcast_if_small, checkpointed, components, numbered, text_batches
 
 SHINGLE, LEAST = 5, 0.8
-#: Cells in which shingles are counted; a task keeps one number for each.
-CELLS = 1 << 19
+#: Cells in which shingles are counted, and cells that are sent as one row; a task keeps one number for each cell.
+CELLS, SLICE = 1 << 22, 1 << 16
+#: Bits of the smallest bitmap.
+BITS = 64
 #: Characters between words, as a regex class body.
 SPACE = r"\x20\x09-\x0D"
 #: Each round has so many times the heads of the one before.
@@ -95,29 +101,58 @@ class Shingles:
         return mixed[np.diff(mixed, prepend=~mixed[:1]) != 0]
 
 
-def cell_counts(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> np.ndarray:
-    """How many texts have a shingle of each cell, over all texts. Tasks add up their own before the shuffle."""
+def cell_levels(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The level of each cell: how many texts have a shingle of it, over all texts. Tasks add up their own before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
-        cut, total = Shingles(shingle), np.zeros(CELLS, dtype=np.int64)
+        cut, total = Shingles(shingle), np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             for text in batch.column(0):
                 np.add.at(total, cut.of(text.as_py()) % np.uint64(CELLS), 1)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+        for k, part in enumerate(total.reshape(-1, SLICE)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part.as_py(), dtype=np.uint32).astype(np.int64)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels_of(total).tobytes()], pa.binary())], ["slice", "levels"])
 
-    made = text_batches(docs).select(text_col).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = made.toArrow()  # at most CELLS rows
-    counts = np.zeros(CELLS, dtype=np.int64)
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    made = text_batches(docs).select(text_col).mapInArrow(run, "slice int, counts binary")
+    levels = np.zeros(CELLS, dtype=np.uint8)
+    for row in made.repartition("slice").mapInArrow(add, "slice int, levels binary").collect():  # at most CELLS bytes
+        levels[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return levels
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale of 16 bits."""
-    return np.minimum(2048 * np.log2(counts + 1.0), 65535).astype(np.uint16)
+    """Counts on a logarithmic scale of 8 bits."""
+    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bits at the hashes, as many as a power of two that is no less than their number."""
+    bits = np.zeros(max(BITS, 1 << max(0, len(hashes) - 1).bit_length()), dtype=bool)
+    bits[hashes % np.uint64(len(bits))] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def missing(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of bitmaps, at least how many shingles of the left set are not in the right one, and the reverse."""
+    out, lengths = np.zeros((2, len(left)), dtype=np.int64), np.array([[len(x), len(y)] for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
+    for x, y in np.unique(lengths, axis=0):
+        at, n = np.flatnonzero((lengths == [x, y]).all(axis=1)), min(x, y)
+        # a bitmap's halves over each other are the bitmap of half as many bits
+        a, b = (np.bitwise_or.reduce(np.frombuffer(b"".join([side[k] for k in at]), dtype=np.uint8).reshape(len(at), -1, n), axis=1) for side in (left, right))
+        out[0, at], out[1, at] = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((a, b), (b, a)))
+    return out[0], out[1]
 
 
 def first_keys(hashes: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
@@ -131,8 +166,8 @@ def first_keys(hashes: np.ndarray, levels: np.ndarray, least: float) -> np.ndarr
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(id, t, set, size, buckets): a hash of the text, a digest and the number of its shingles, the keys of its rarest ones in order."""
-    levels = levels_of(cell_counts(docs, text_col, shingle))
+    """(id, t, set, size, bits, buckets): a hash of the text; a digest, the number and a bitmap of its shingles, the keys of its rarest ones in order."""
+    levels = cell_levels(docs, text_col, shingle)
 
     def run(batches):
         import pyarrow as pa
@@ -144,10 +179,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             buckets = pa.array([first_keys(s, levels, least) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, sizes, buckets], ["id", "t", "set", "size", "buckets"])
+            bits = pa.array([bitmap(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, sizes, bits, buckets], ["id", "t", "set", "size", "bits", "buckets"])
 
     rows_ = text_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, t long, set binary, size long, buckets array<long>")
+    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, t long, set binary, size long, bits binary, buckets array<long>")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, bytes_: int, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) of nodes whose bitmaps (node, size, bits) allow a Jaccard similarity of ``least`` or more."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            only = missing(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            both = np.minimum(x - only[0], y - only[1])
+            yield batch.select(["a", "b"]).filter(pa.array(both >= least * (x + y - both) - 1e-9, pa.bool_()))
+
+    sides = [broadcast_if_small(sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")), 1, bytes_) for c in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_size", "a_bits", "b_size", "b_bits")
+    return text_batches(rows).mapInArrow(run, "a long, b long")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -180,8 +233,9 @@ class Candidates:
     """Nodes of the documents, the buckets that two of them share, and comparisons of nodes by their texts.
 
     ``made`` has (id, t, set, row) of each document, ``nodes`` (set, node, none, id, t, row) of each node's
-    first document, ``shared`` (node, bucket, pos, size): the place of the shared shingle in a set of
-    that size, 0 in the caller's buckets.
+    first document, ``sets`` (node, size, bits) the number and the bitmap of its shingles, ``shared``
+    (node, bucket, pos, size): the place of the shared shingle in a set of that size, 0 in the caller's
+    buckets.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, more: DataFrame | None, shingle: int, least: float):
@@ -199,17 +253,19 @@ class Candidates:
             own = made.select(F.col("id").alias("i"), "set", "size").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
             rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size").distinct())
         shared = self.shared = several(checkpointed(rows))
-        need = checkpointed(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
-        whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-        texts = whole.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
-        # every node of a shared bucket is compared in the first round; later rounds read the same texts
-        self.texts = checkpointed(texts.dropDuplicates(["node"]))
+        used = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("row").alias("r"))
+        self.sets = checkpointed(made.join(used, F.col("row") == F.col("r")).select("node", "size", "bits"))
+        self.bytes_ = self.sets.agg(F.coalesce(F.sum(F.length("bits") + 64), F.lit(0))).first()[0]
+        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct, checkpointed pairs that are near."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = self.texts.join(broadcast_if_small(used, 2 * pairs.count(), 64), "node", "left_semi")
-        return checkpointed(checked(pairs, some, self.shingle, self.least))
+        left = checkpointed(possible(pairs, self.sets, self.bytes_, self.least))
+        used = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = checkpointed(self.nodes.join(used, "node").select("node", F.col("id").alias("i"), F.col("t").alias("u")))
+        # the texts of the few pairs that are left are read anew, not kept
+        texts = self.docs.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
+        return checkpointed(checked(left, texts.dropDuplicates(["node"]), self.shingle, self.least))
 
     def heads(self, some: DataFrame, parts: int) -> DataFrame:
         """(bucket, a, a_pos, a_size): the first node of each part of a bucket."""
@@ -219,10 +275,10 @@ class Candidates:
 
     def met(self, first: DataFrame, some: DataFrame) -> DataFrame:
         """(bucket, a, b): pairs of heads and others of a bucket that its shingle does not rule out."""
-        others = some.select("bucket", F.col("node").alias("b"), F.col("pos").alias("b_pos"), F.col("size").alias("b_size"))
+        others = some.withColumnsRenamed({"node": "b", "pos": "b_pos", "size": "b_size"})
         most = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
         can = most >= self.least / (1 + self.least) * (F.col("a_size") + F.col("b_size")) - 1e-6
-        return first.join(others, "bucket").where(can & (F.col("a") != F.col("b"))).select("bucket", "a", "b")
+        return first.join(others, "bucket").where(can & (F.col("a") != F.col("b")))
 
     def edges(self, open_: DataFrame) -> DataFrame:
         """Near pairs (a, b) of nodes that share a bucket of ``open_``: any two near nodes are in one, or one of them is near to a smaller node."""
@@ -281,11 +337,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     edges = some.edges(shared)
     member = components(edges)
     if across:
-        met = shared.select("node", "bucket").join(member, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root"))
-        mixed = met.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-        met = checkpointed(met.join(mixed, "bucket", "left_semi"))
-        other = met.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
-        pairs = met.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> other").select("a", "b")
+        rows = shared.join(member, "node", "left").withColumn("grouped", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "node"))
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("grouped").alias("any")).where("x <> y and any").select("bucket")
+        rows = checkpointed(rows.join(mixed, "bucket", "left_semi"))
+        first = rows.where("grouped").select("bucket", *[F.col(c).alias(n) for c, n in (("node", "a"), ("pos", "a_pos"), ("size", "a_size"), ("root", "a_root"))])
+        # two nodes that are near to none were compared when the later of them was left in the bucket
+        pairs = some.met(first, rows).where("a_root <> root and (a < b or not grouped)").select("a", "b")
         member = components(edges.unionByName(some.near(checkpointed(pairs.distinct()))))
 
     rooted = nodes.join(member, "node", "left").select("set", F.col("node"), F.coalesce("root", "node").alias("root"), F.col("id").alias("i"), F.col("t").alias("u"))
