@@ -31,7 +31,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of a 5-word Jaccard similarity of 0.8 or more are copies; SimHash links and shared rare shingles propose them."""
+    """Texts of a 5-word Jaccard similarity of 0.8 or more are copies.
+
+    Shared rare shingles propose all that are so as sets of shingles. What SimHash links, whose bits count
+    repeats, is a copy also when its similarity counting repeats is 0.8 or more.
+    """
     linked = simhash.near_duplicates(docs, shingle=near.SHINGLE).select(F.col("doc_id").alias("id"), F.col("component_id").alias("bucket"))
     return near.drop_near_copies(docs, more=linked)
 

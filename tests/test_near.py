@@ -153,3 +153,17 @@ def test_far_texts_of_one_bucket_are_not_sent(spark, monkeypatch):
     assert near.drop_near_copies(df).count() == 40
     assert near.groups(df, across=True).select("group_id").distinct().count() == 40
     assert set(sent) == {(7, 40)}
+
+
+def test_simhash_links_reach_copies_by_repeats(spark):
+    """One long passage again and again, with different ends: sets of shingles are far, SimHash and the shingles with repeats are near."""
+    import corpus_pipeline
+
+    passage = " ".join(f"p{k}" for k in range(21))
+    texts = [" ".join([passage] * 200 + [f"e{k}x{i}" for i in range(40)]) for k in range(3)]
+    texts += [" ".join(f"f{k}x{i}" for i in range(40)) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = plain_sets(enumerate(texts))
+    assert similarity(sets[0], sets[1]) < 0.5
+    assert near.drop_near_copies(df).count() == 6
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {0, 3, 4, 5}

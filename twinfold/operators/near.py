@@ -16,6 +16,10 @@ In each round every bucket compares some heads (the first node; in later rounds
 are near to a head before them, until no bucket has two. So work grows with a bucket's size and the
 number of its different texts, not with the square of a group of copies.
 
+Texts that share a bucket of the caller are linked: they are near, too, when the similarity with
+repeats counted is enough. What a passage repeats many times weighs more there than in a set, so
+no rare shingle finds such copies.
+
 Defined results: a null text is an empty text; texts without words are one node; a null id counts as
 larger than any.
 """
@@ -79,6 +83,10 @@ class Shingles:
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles; all words are one if there are fewer."""
+        return distinct(self.repeated(text))
+
+    def repeated(self, text: str | None) -> np.ndarray:
+        """Sorted hashes of the shingles, each as often as it occurs."""
         import re
 
         data, low, parts = (text or "").encode(), 0, [np.empty(0, dtype=np.uint64)]
@@ -98,7 +106,24 @@ class Shingles:
             mixed = mixed * self.times[k] + h[k : len(h) - n + 1 + k]
             mixed ^= mixed >> np.uint64(29)
         mixed.sort()
-        return mixed[np.diff(mixed, prepend=~mixed[:1]) != 0]
+        return mixed
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return hashes[np.diff(hashes, prepend=~hashes[:1]) != 0]
+
+
+def are_near(left: np.ndarray, right: np.ndarray, least: float, linked: bool) -> bool:
+    """Whether sorted shingles with repeats have a Jaccard similarity of ``least`` or more: as sets or, if linked, counting repeats."""
+    x, y = distinct(left), distinct(right)
+    both, at, to = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if len(both) >= least * (len(x) + len(y) - len(both)) - 1e-9:
+        return True
+    if not linked:
+        return False
+    x, y = (np.diff(np.searchsorted(s, d), append=len(s)) for s, d in ((left, x), (right, y)))
+    n = int(np.minimum(x[at], y[to]).sum())
+    return n >= least * (len(left) + len(right) - n) - 1e-9
 
 
 def cell_levels(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -187,7 +212,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHING
 
 
 def possible(pairs: DataFrame, sets: DataFrame, bytes_: int, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of nodes whose bitmaps (node, size, bits) allow a Jaccard similarity of ``least`` or more."""
+    """The pairs (a, b, linked) of nodes that are linked or whose bitmaps (node, size, bits) allow a Jaccard similarity of ``least`` or more."""
 
     def run(batches):
         import pyarrow as pa
@@ -196,15 +221,16 @@ def possible(pairs: DataFrame, sets: DataFrame, bytes_: int, least: float = LEAS
             x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
             only = missing(batch.column(3).to_pylist(), batch.column(5).to_pylist())
             both = np.minimum(x - only[0], y - only[1])
-            yield batch.select(["a", "b"]).filter(pa.array(both >= least * (x + y - both) - 1e-9, pa.bool_()))
+            linked = batch.column(6).to_numpy(zero_copy_only=False)
+            yield batch.select(["a", "b", "linked"]).filter(pa.array(linked | (both >= least * (x + y - both) - 1e-9), pa.bool_()))
 
     sides = [broadcast_if_small(sets.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")), 1, bytes_) for c in "ab"]
-    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_size", "a_bits", "b_size", "b_bits")
-    return text_batches(rows).mapInArrow(run, "a long, b long")
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_size", "a_bits", "b_size", "b_bits", "linked")
+    return text_batches(rows).mapInArrow(run, "a long, b long, linked boolean")
 
 
 def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) have a Jaccard similarity of ``least`` or more."""
+    """The pairs (a, b, linked) of nodes whose texts (node, text) are near."""
 
     def run(batches):
         import pyarrow as pa
@@ -214,18 +240,16 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: f
             a, near = batch.column(0).to_pylist(), []
             for k, node in enumerate(a):
                 if node != last:
-                    last, left = node, cut.of(batch.column(2)[k].as_py())
-                right = cut.of(batch.column(3)[k].as_py())
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                near.append(both >= least * (len(left) + len(right) - both) - 1e-9)
+                    last, left = node, cut.repeated(batch.column(2)[k].as_py())
+                near.append(are_near(left, cut.repeated(batch.column(3)[k].as_py()), least, batch.column(4)[k].as_py()))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     # a text of many comparisons is sent to several tasks
     parts = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    dealt = pairs.join(parts, "a").select("a", "b", "linked", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     left = texts.withColumnRenamed("node", "a").join(parts, "a").select("a", F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    rows = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
+    rows = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "x", "y", "linked")
     return text_batches(rows.sortWithinPartitions("a")).mapInArrow(run, "a long, b long")
 
 
@@ -234,8 +258,8 @@ class Candidates:
 
     ``made`` has (id, t, set, row) of each document, ``nodes`` (set, node, none, id, t, row) of each node's
     first document, ``sets`` (node, size, bits) the number and the bitmap of its shingles, ``shared``
-    (node, bucket, pos, size): the place of the shared shingle in a set of that size, 0 in the caller's
-    buckets.
+    (node, bucket, pos, size, linked): the place of the shared shingle in a set of that size; ``linked``
+    is true in the caller's buckets.
     """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, more: DataFrame | None, shingle: int, least: float):
@@ -248,10 +272,10 @@ class Candidates:
         keys = made.select("row", "size", F.posexplode("buckets").alias("pos", "bucket"))
         full = checkpointed(keys.groupBy("bucket").count().where("count > 1").select("bucket"))
         rows = keys.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").join(nodes.select("row", "node"), "row")
-        rows = rows.select("node", "bucket", "pos", "size")
+        rows = rows.select("node", "bucket", "pos", "size", F.lit(False).alias("linked"))
         if more is not None:
             own = made.select(F.col("id").alias("i"), "set", "size").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-            rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size").distinct())
+            rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size", F.lit(True).alias("linked")).distinct())
         shared = self.shared = several(checkpointed(rows))
         used = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("row").alias("r"))
         self.sets = checkpointed(made.join(used, F.col("row") == F.col("r")).select("node", "size", "bits"))
@@ -274,11 +298,11 @@ class Candidates:
         return checkpointed(least.select("bucket", F.col("h.node").alias("a"), F.col("h.pos").alias("a_pos"), F.col("h.size").alias("a_size")))
 
     def met(self, first: DataFrame, some: DataFrame) -> DataFrame:
-        """(bucket, a, b): pairs of heads and others of a bucket that its shingle does not rule out."""
+        """(bucket, a, b): pairs of heads and others of a bucket that its shingle does not rule out; linked ones all."""
         others = some.withColumnsRenamed({"node": "b", "pos": "b_pos", "size": "b_size"})
         most = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
         can = most >= self.least / (1 + self.least) * (F.col("a_size") + F.col("b_size")) - 1e-6
-        return first.join(others, "bucket").where(can & (F.col("a") != F.col("b")))
+        return first.join(others, "bucket").where((F.col("linked") | can) & (F.col("a") != F.col("b")))
 
     def edges(self, open_: DataFrame) -> DataFrame:
         """Near pairs (a, b) of nodes that share a bucket of ``open_``: any two near nodes are in one, or one of them is near to a smaller node."""
@@ -288,7 +312,7 @@ class Candidates:
             # a pair of heads is compared once
             twice = first.select("bucket", F.col("a").alias("b"), F.lit(True).alias("also"))
             pairs = self.met(first, open_).join(twice, ["bucket", "b"], "left").where("a < b or also is null")
-            asked = checkpointed(pairs.select("a", "b").distinct())
+            asked = checkpointed(distinct_pairs(pairs))
             gone = first.select("bucket", F.col("a").alias("node"))
             if not asked.isEmpty():
                 found = self.near(asked)
@@ -307,7 +331,7 @@ class Candidates:
         heads, gone, others = 1, self.spark.createDataFrame([], "node long"), checkpointed(others)
         while not (rows.isEmpty() or others.isEmpty()):
             first = self.heads(others, heads)
-            asked = checkpointed(self.met(first, rows).select("a", "b").distinct())
+            asked = checkpointed(distinct_pairs(self.met(first, rows)))
             if not asked.isEmpty():
                 near = checkpointed(self.near(asked).select(F.col("b").alias("node")).distinct())
                 gone = gone.unionByName(near)
@@ -318,8 +342,13 @@ class Candidates:
         return gone
 
 
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, linked): each pair once, linked if it is so in any bucket."""
+    return pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
 def several(some: DataFrame) -> DataFrame:
-    """Those rows (node, bucket, pos, size) of buckets with two nodes or more."""
+    """Those rows (node, bucket, pos, size, linked) of buckets with two nodes or more."""
     full = some.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
     return checkpointed(some.join(full, "bucket", "left_semi"))
 
@@ -328,7 +357,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
     """(id, t, group_id, first): group_id is the smallest id that near texts connect with the row's.
 
     ``t`` is xxhash64 of the text; ``first`` is true for the row that stands for its group. ``more``
-    (id, bucket) puts texts into further buckets. Without ``across`` a text that is near to a
+    (id, bucket) puts texts into further buckets, where they are also near when they are so counting repeats. Without ``across`` a text that is near to a
     group's member but not to its first is compared with the first only: of any two near texts one
     is not a first. With it such texts are compared too, where groups meet in a bucket.
     """
@@ -342,8 +371,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
         rows = checkpointed(rows.join(mixed, "bucket", "left_semi"))
         first = rows.where("grouped").select("bucket", *[F.col(c).alias(n) for c, n in (("node", "a"), ("pos", "a_pos"), ("size", "a_size"), ("root", "a_root"))])
         # two nodes that are near to none were compared when the later of them was left in the bucket
-        pairs = some.met(first, rows).where("a_root <> root and (a < b or not grouped)").select("a", "b")
-        member = components(edges.unionByName(some.near(checkpointed(pairs.distinct()))))
+        pairs = some.met(first, rows).where("a_root <> root and (a < b or not grouped)")
+        member = components(edges.unionByName(some.near(checkpointed(distinct_pairs(pairs)))))
 
     rooted = nodes.join(member, "node", "left").select("set", F.col("node"), F.coalesce("root", "node").alias("root"), F.col("id").alias("i"), F.col("t").alias("u"))
     heads = nodes.select(F.col("node").alias("root"), F.col("id").alias("group_id"))
@@ -381,7 +410,10 @@ def dropped(some: Candidates) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the texts that are near to one that stays; of texts with one set of shingles the smallest id stays."""
+    """``docs`` without the texts that are near to one that stays; of texts with one set of shingles the smallest id stays.
+
+    Texts that share a bucket of ``more`` (id, bucket) are also near when they are so counting repeats.
+    """
     some = Candidates(docs, id_col, text_col, more, SHINGLE, LEAST)
     far = some.nodes.join(dropped(some).distinct(), "node", "left_anti").select("set", F.col("id").alias("i"), F.col("t").alias("u"))
     first = F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))
