@@ -167,3 +167,35 @@ def test_simhash_links_reach_copies_by_repeats(spark):
     assert similarity(sets[0], sets[1]) < 0.5
     assert near.drop_near_copies(df).count() == 6
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {0, 3, 4, 5}
+
+
+def test_keys_of_sets_that_cannot_be_near_go_first(spark):
+    """A key stays when a set of its bucket may be near to its own, in either order of sizes; of far sizes it goes."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bucket in range(300):
+        sizes = rng.integers(5, 60, int(rng.integers(1, 7)))
+        rows += [(len(rows) + k, bucket, int(rng.integers(0, n // 4 + 1)), int(n)) for k, n in enumerate(sizes)]
+    can = lambda x, y: min(x[3] - x[2], y[3] - y[2]) >= 0.8 / 1.8 * (x[3] + y[3]) - 1e-6
+    need = {x[0] for x in rows if any(x[1] == y[1] and x[0] != y[0] and can(x, y) for y in rows)}
+    kept = {r["node"] for r in near.meeting(spark.createDataFrame(rows, "node long, bucket long, pos int, size long")).collect()}
+    assert need and need <= kept and len(kept) < len(rows) / 1.2
+
+
+def test_a_rare_phrase_puts_no_texts_of_far_sizes_together(spark, monkeypatch):
+    """Texts of 20, 40, 80, ... words with one rare phrase have no bucket, copies of one of them do."""
+    phrase = "one rare turn of phrase"
+    texts = [" ".join([phrase, *(f"a{k}x{i}" for i in range(20 << k))]) for k in range(6)]
+    texts.append(texts[3] + " more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near, "first_keys", lambda hashes, levels, least: np.unique(hashes >> np.uint64(16)).view(np.int64))
+    some = near.Candidates(df, "doc_id", "text", None, near.SHINGLE, near.LEAST)
+    assert {r["node"] for r in some.shared.select("node").distinct().collect()} == {3, 6}
+    assert near.drop_near_copies(df).count() == 6
+
+
+def test_rounds_end_at_once_when_few_pairs_are_left(spark):
+    few = spark.createDataFrame([(b, n) for b in range(50) for n in range(3)], "bucket long, node long")
+    many = spark.createDataFrame([(0, n) for n in range(200)], "bucket long, node long")
+    assert near.more_heads(1, few, few) is None
+    assert near.more_heads(8, many, many) == 8 * near.HEADS

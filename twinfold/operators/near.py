@@ -12,8 +12,8 @@ bound what the sets share, so most pairs that a shingle proposes by chance are l
 their texts, and only the texts of the others are sent to a comparison.
 
 In each round every bucket compares some heads (the first node; in later rounds the first of 8, 64,
-... parts) with its others, by the exact similarity. Heads leave the bucket, and so do nodes that
-are near to a head before them, until no bucket has two. So work grows with a bucket's size and the
+... parts, or all once what is left has few pairs for its rows) with its others, by the exact similarity.
+Heads leave the bucket, and so do nodes that are near to a head before them, until no bucket has two. So work grows with a bucket's size and the
 number of its different texts, not with the square of a group of copies.
 
 Texts that share a bucket of the caller are linked: they are near, too, when the similarity with
@@ -27,7 +27,7 @@ larger than any.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.operators.shared import broadcast_if_small, checkpointed, components, numbered, text_batches
@@ -253,6 +253,20 @@ def checked(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: f
     return text_batches(rows.sortWithinPartitions("a")).mapInArrow(run, "a long, b long")
 
 
+def meeting(keys: DataFrame, least: float = LEAST) -> DataFrame:
+    """The keys (node, bucket, pos, size) with another of their bucket that may belong to a near set.
+
+    Near sets are of similar sizes, the more so the later the shared shingle comes. In order of sizes a set has a near
+    one after it only if it allows the next size, and one before it only if one before allows its own size.
+    """
+    at = Window.partitionBy("bucket").orderBy("size", "node")
+    # the largest set that shares enough of what begins at this place
+    most = (F.col("size") - F.col("pos") + 1e-6) * ((1 + least) / least) - F.col("size") + 1e-6
+    before, after = F.max("most").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lead("size").over(at)
+    rows = keys.withColumn("most", most).select("*", before.alias("before"), after.alias("after"))
+    return rows.where("before >= size or after <= most").drop("most", "before", "after")
+
+
 class Candidates:
     """Nodes of the documents, the buckets that two of them share, and comparisons of nodes by their texts.
 
@@ -268,15 +282,18 @@ class Candidates:
         top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "row")).alias("top")
         nodes = made.groupBy("set").agg(top).select("set", "top.none", "top.id", "top.t", "top.row")
         nodes = self.nodes = checkpointed(numbered(nodes, [F.col("none"), F.col("id"), F.col("t"), F.col("set")], "node"))
-        # most buckets have one text: they go before anything is joined, so that only a number and a key of each are shuffled
-        keys = made.select("row", "size", F.posexplode("buckets").alias("pos", "bucket"))
-        full = checkpointed(keys.groupBy("bucket").count().where("count > 1").select("bucket"))
-        rows = keys.join(broadcast_if_small(full, full.count(), 40), "bucket", "left_semi").join(nodes.select("row", "node"), "row")
-        rows = rows.select("node", "bucket", "pos", "size", F.lit(False).alias("linked"))
+        # keys are shuffled once, by bucket, and few of them stay
+        first = broadcast_if_small(nodes.select("row", "node"), nodes.count(), 40)
+        rows = meeting(made.join(first, "row").select("node", "size", F.posexplode("buckets").alias("pos", "bucket")), least)
+        shared = checkpointed(rows.select("node", "bucket", "pos", "size", F.lit(False).alias("linked")))
         if more is not None:
-            own = made.select(F.col("id").alias("i"), "set", "size").join(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")), F.col("i").eqNullSafe(F.col("j")))
-            rows = rows.unionByName(own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size", F.lit(True).alias("linked")).distinct())
-        shared = self.shared = several(checkpointed(rows))
+            more = checkpointed(more.select(F.col("id").alias("j"), F.xxhash64(F.lit("more"), "bucket").alias("bucket")))
+            full = more.groupBy("bucket").count().where("count > 1").select("bucket")
+            more = checkpointed(more.join(full, "bucket", "left_semi"))
+            own = made.select(F.col("id").alias("i"), "set", "size").join(broadcast_if_small(more, more.count(), 64), F.col("i").eqNullSafe(F.col("j")))
+            own = own.join(nodes.select("set", "node"), "set").select("node", "bucket", F.lit(0).alias("pos"), "size", F.lit(True).alias("linked"))
+            shared = shared.unionByName(several(checkpointed(own.distinct())))
+        self.shared = shared
         used = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("row").alias("r"))
         self.sets = checkpointed(made.join(used, F.col("row") == F.col("r")).select("node", "size", "bits"))
         self.bytes_ = self.sets.agg(F.coalesce(F.sum(F.length("bits") + 64), F.lit(0))).first()[0]
@@ -291,8 +308,10 @@ class Candidates:
         texts = self.docs.join(broadcast_if_small(need, need.count(), 64), F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("node", "text")
         return checkpointed(checked(left, texts.dropDuplicates(["node"]), self.shingle, self.least))
 
-    def heads(self, some: DataFrame, parts: int) -> DataFrame:
-        """(bucket, a, a_pos, a_size): the first node of each part of a bucket."""
+    def heads(self, some: DataFrame, parts: int | None) -> DataFrame:
+        """(bucket, a, a_pos, a_size): the first node of each part of a bucket; without ``parts`` all nodes."""
+        if not parts:
+            return some.select("bucket", F.col("node").alias("a"), F.col("pos").alias("a_pos"), F.col("size").alias("a_size"))
         part = F.pmod(F.xxhash64("node", "bucket"), F.lit(parts))
         least = some.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "pos", "size")).alias("h"))
         return checkpointed(least.select("bucket", F.col("h.node").alias("a"), F.col("h.pos").alias("a_pos"), F.col("h.size").alias("a_size")))
@@ -320,7 +339,7 @@ class Candidates:
                 gone = gone.unionByName(pairs.where("a < b").join(found, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")))
             left = open_.join(gone.distinct(), ["bucket", "node"], "left_anti")
             open_ = several(left.select(*open_.columns))
-            heads *= HEADS
+            heads = heads and more_heads(heads, open_, open_)
         return edges
 
     def against(self, rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -338,10 +357,17 @@ class Candidates:
                 rows = checkpointed(rows.join(near, "node", "left_anti"))
             left = others.join(first.withColumnRenamed("a", "node"), ["bucket", "node"], "left_anti").select(*others.columns)
             others = checkpointed(left.join(rows.select("bucket").distinct(), "bucket", "left_semi"))
-            heads *= HEADS
+            heads = heads and more_heads(heads, rows, others)
         return gone
 
 
+def more_heads(heads: int, some: DataFrame, others: DataFrame) -> int | None:
+    """The heads of the next round; None, for all nodes, if the buckets have few pairs for their rows."""
+    n, m = (x.groupBy("bucket").agg(F.count("*").cast("double").alias(c)) for x, c in ((some, "n"), (others, "m")))
+    pairs, rows = n.join(m, "bucket").agg(F.sum(F.col("n") * F.col("m")), F.sum(F.col("n") + F.col("m"))).first()
+    return None if (pairs or 0) <= HEADS * (rows or 0) else heads * HEADS
+
+
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b, linked): each pair once, linked if it is so in any bucket."""
     return pairs.groupBy("a", "b").agg(F.max("linked").alias("linked"))
@@ -402,7 +428,9 @@ def dropped(some: Candidates) -> DataFrame:
             return gone
         # against those that stay and share a bucket
         rows = checkpointed(shared.join(left, "node", "left_semi"))
-        near = some.against(rows, shared.join(stay, "node", "left_semi").join(rows.select("bucket").distinct(), "bucket", "left_semi"))
+        met = checkpointed(rows.select("bucket").distinct())
+        others = checkpointed(shared.join(broadcast_if_small(met, met.count(), 40), "bucket", "left_semi"))
+        near = some.against(rows, others.join(stay, "node", "left_semi"))
         gone = gone.unionByName(near)
         open_ = checkpointed(rows.join(near, "node", "left_anti"))
         if open_.isEmpty():
