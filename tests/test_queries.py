@@ -38,5 +38,21 @@ def test_query(spark, duck, name):
         assert sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
 
 
+def long_books(folder, spark):
+    """A source with an English book and a near version of it, and a French one; each is longer than the reference's cap of 10,000 sentences."""
+    rows = []
+    for k, (lang, word) in enumerate((("en", "line"), ("en", "line"), ("fr", "ligne"))):
+        rows.append((k, "\n".join(f"{word} {n} of {n * 7} and {n * 11}." for n in range(10_010 + k)), lang, "s", 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_split_sentences_reads_long_books_to_their_end(spark, tmp_path):
+    folder, con = long_books(tmp_path, spark), duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    got, want = __spark_entry__.queries()["split_sentences"](spark, folder).toPandas(), con.execute(__spark_entry__.oracle_sql()["split_sentences"]).df()
+    assert cells(got) == cells(want) and got.groupby("book_id").size().tolist() == [10_010, 10_011, 10_012] and not got["truncated"].any()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -62,13 +62,14 @@ def whole_books(paragraphs: DataFrame, key: str = "book_id", cap: int = CAP, lan
     return rows.groupBy(key).agg(F.slice(F.flatten(F.transform(whole, lambda p: p["parts"])), 1, cap).alias("sentences"))
 
 
-def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = CAP, delimiter: str = r"\n{2,}", lang: str | None = None) -> DataFrame:
-    """As ``sentences``, straight from whole texts (key, text), one per book: nothing is shuffled."""
+def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = None, delimiter: str = r"\n{2,}", lang: str | None = None) -> DataFrame:
+    """As ``sentences``, straight from whole texts (key, text), one per book: nothing is shuffled. All sentences, unless a ``cap`` is given."""
     by_para = F.transform(paragraph_texts(F.col(text), delimiter), lambda p, i: F.transform(sentence_texts(p, F.col(lang) if lang else None), lambda s, k: F.struct(i.alias("para_idx"), k.alias("sent_idx"), s.alias("text"))))
     rows = books.select(key, F.flatten(by_para).alias("s"))
     cut = F.col("s") if cap is None else F.slice("s", 1, cap)
-    rows = rows.select(key, F.lit(False).alias("truncated") if cap is None else (F.size("s") > cap).alias("truncated"), F.posexplode(cut).alias("global_idx", "s"))
-    return rows.select(key, "s.para_idx", "s.sent_idx", "global_idx", "s.text", "truncated")
+    rows = rows.select(key, F.lit(False).alias("truncated") if cap is None else (F.size("s") > cap).alias("truncated"), F.posexplode_outer(cut).alias("global_idx", "s"))
+    # outer, as Spark would else split the text twice: once to see whether there are sentences
+    return rows.where("s is not null").select(key, "s.para_idx", "s.sent_idx", "global_idx", "s.text", "truncated")
 
 
 def sentence_counts(paragraphs: DataFrame, key: str = "book_id", cap: int = COUNT_CAP, lang: str | None = None) -> DataFrame:
