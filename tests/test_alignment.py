@@ -124,6 +124,12 @@ def test_sentences(spark):
     assert tuple(sentences.sentence_counts(many, cap=100).first()) == (1, 100, True)
 
 
+def test_whole_books_have_all_sentences(spark):
+    many = spark.range(10_010).select(F.lit(1).alias("book_id"), F.col("id").cast("int").alias("para_idx"), F.format_string("Sentence %d.", "id").alias("text"))
+    sizes = lambda df: df.select(F.size("sentences")).first()[0]
+    assert sizes(sentences.whole_books(many)) == 10_010 and sizes(sentences.whole_books(many, cap=7)) == 7
+
+
 def test_rules(spark):
     rules = sentences.valid_rules(spark, [("(", "x"), ("", "y"), ("a+", "[$&]"), (r"(?<w>b)", "$<w>$<w>")])
     assert [p for p, _ in rules] == ["a+", "(?<w>b)"]

@@ -54,12 +54,13 @@ def sentences(paragraphs: DataFrame, key: str = "book_id", cap: int | None = CAP
     return found if cap is None else found.where(F.col("global_idx") < cap)
 
 
-def whole_books(paragraphs: DataFrame, key: str = "book_id", cap: int = CAP, lang: str | None = None) -> DataFrame:
-    """(key, sentences): ``sentences`` as one row a book, an array of (para_idx, sent_idx, text) whose places are global_idx. Books without any have no row."""
+def whole_books(paragraphs: DataFrame, key: str = "book_id", cap: int | None = None, lang: str | None = None) -> DataFrame:
+    """(key, sentences): ``sentences`` as one row a book, an array of (para_idx, sent_idx, text) whose places are global_idx; all, unless a ``cap`` is given. Books without any have no row."""
     parts = F.transform(sentence_texts(F.col("text"), F.col(lang) if lang else None), lambda s, k: F.struct(F.col("para_idx"), k.alias("sent_idx"), s.alias("text")))
     rows = paragraphs.select(key, "para_idx", parts.alias("parts")).where("size(parts) > 0")
     whole = F.array_sort(F.collect_list(F.struct("para_idx", "parts")))
-    return rows.groupBy(key).agg(F.slice(F.flatten(F.transform(whole, lambda p: p["parts"])), 1, cap).alias("sentences"))
+    every = F.flatten(F.transform(whole, lambda p: p["parts"]))
+    return rows.groupBy(key).agg((every if cap is None else F.slice(every, 1, cap)).alias("sentences"))
 
 
 def book_sentences(books: DataFrame, key: str = "book_id", text: str = "text", cap: int | None = None, delimiter: str = r"\n{2,}", lang: str | None = None) -> DataFrame:
