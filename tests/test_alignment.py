@@ -48,6 +48,15 @@ def test_scores_against_plain_loops(gap, free):
             assert abs(sum(sim[i, j] if k == 0 else gap for k, i, j in steps) - score) < 1e-6
 
 
+@pytest.mark.parametrize("cells", [1, 300, 2000, 1 << 20])
+def test_moves_in_blocks_are_those_of_the_whole_table(cells):
+    rng = np.random.default_rng(6)
+    for m, n in ((0, 3), (1, 1), (1, 90), (90, 1), (64, 64), (130, 97), (200, 333)):
+        sim = rng.uniform(-1, 1, (m, n)).round(1)
+        _, moves, lo = align.fill(lambda i, a, b, s=sim: s[i, a:b], m, n, 0.15, -0.05)
+        assert align.steps(lambda i, a, b, s=sim: s[i, a:b], m, n, 0.15, -0.05, cells) == align.path(moves, lo, m, n)
+
+
 def test_narrow_band_reaches_the_end():
     sim = np.eye(2, 400)
     score, moves, lo = align.fill(lambda i, a, b: sim[i, a:b], 2, 400, 0.15)

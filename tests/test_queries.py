@@ -4,6 +4,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 
@@ -54,5 +55,16 @@ def test_split_sentences_reads_long_books_to_their_end(spark, tmp_path):
     assert cells(got) == cells(want) and got.groupby("book_id").size().tolist() == [10_010, 10_011, 10_012] and not got["truncated"].any()
 
 
+def test_align_languages_reads_long_books_to_their_end(spark, tmp_path):
+    got = __spark_entry__.queries()["align_languages"](spark, long_books(tmp_path, spark))
+    ends = got.agg(F.max("src_global_idx"), F.max("tgt_global_idx"), F.count("src_global_idx"), F.count("tgt_global_idx")).first()
+    assert tuple(ends) == (10_009, 10_011, 10_010, 10_012)
+
+
+def test_align_versions_reads_long_books_to_their_end(spark, tmp_path):
+    got = __spark_entry__.queries()["align_versions"](spark, long_books(tmp_path, spark)).collect()
+    assert [(r["n_src"], r["n_tgt"], r["matched"]) for r in got] == [(10_010, 10_011, 10_010)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

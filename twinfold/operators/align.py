@@ -1,11 +1,14 @@
 """Banded global alignment of two sentence sequences, for every pair of books at once.
 
 Each pair of books is one group of a cogrouped job; within it a row of the score table is one
-matrix product and one running maximum. Only the moves are kept, a byte per cell of the band.
+matrix product and one running maximum. Only the moves are kept, a byte per cell of the band; of long
+texts those of a block of rows at a time.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,8 @@ from twinfold.operators import vectors
 BAND, GAP, EPS = 0.15, 0.0, 1e-5
 MATCH, SRC_ONLY, TGT_ONLY = 0, 1, 2
 TYPES = ("1:1", "1:0", "0:1")
+#: Cells of the score table whose moves are in memory at once, a byte each.
+CELLS = 1 << 26
 SCHEMA = "pair_id string, pair_seq int, src_global_idx int, tgt_global_idx int, alignment_type string, confidence double"
 
 
@@ -44,30 +49,37 @@ def fill(row_sim, m: int, n: int, fraction: float = BAND, gap: float = GAP, free
     prev = np.arange(hi[0] + 1) * edge
     moves = np.full((m + 1, int((hi - lo).max()) + 1), TGT_ONLY, dtype=np.int8) if keep else None
     for i in range(1, m + 1):
-        a, b = int(lo[i]), int(hi[i])
-        up = part_of(prev, int(lo[i - 1]), a, b) + gap
-        if a == 0:
-            up[0] = i * edge
-        diag = part_of(prev, int(lo[i - 1]), a - 1, b - 1)
-        first = max(a, 1)
-        if b >= first:
-            diag[first - a :] += row_sim(i - 1, first - 1, b)
-        step = np.arange(a, b + 1) * gap
-        row = np.maximum.accumulate(np.maximum(diag, up) - step) + step
+        prev, kind = next_row(row_sim, prev, i, lo, hi, gap, edge, keep)
         if keep:
-            kind = np.where(diag >= row - EPS, MATCH, np.where(up >= row - EPS, SRC_ONLY, TGT_ONLY))
-            if a == 0:
-                kind[0] = SRC_ONLY
-            moves[i, : b - a + 1] = kind
-        prev = row
+            moves[i, : len(kind)] = kind
     return float(prev[n - lo[m]]), moves, lo
 
 
-def path(moves: np.ndarray, lo: np.ndarray, m: int, n: int) -> list[tuple[int, int, int]]:
-    """(move, source, target) in reading order; -1 for a missing side."""
+def next_row(row_sim, prev: np.ndarray, i: int, lo: np.ndarray, hi: np.ndarray, gap: float, edge: float, keep: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Row i of the table from the row before it, and its moves."""
+    a, b = int(lo[i]), int(hi[i])
+    up = part_of(prev, int(lo[i - 1]), a, b) + gap
+    if a == 0:
+        up[0] = i * edge
+    diag = part_of(prev, int(lo[i - 1]), a - 1, b - 1)
+    first = max(a, 1)
+    if b >= first:
+        diag[first - a :] += row_sim(i - 1, first - 1, b)
+    step = np.arange(a, b + 1) * gap
+    row = np.maximum.accumulate(np.maximum(diag, up) - step) + step
+    if not keep:
+        return row, None
+    kind = np.where(diag >= row - EPS, MATCH, np.where(up >= row - EPS, SRC_ONLY, TGT_ONLY))
+    if a == 0:
+        kind[0] = SRC_ONLY
+    return row, kind
+
+
+def path(moves: np.ndarray, lo: np.ndarray, m: int, n: int, top: int = 0) -> list[tuple[int, int, int]]:
+    """(move, source, target) in reading order; -1 for a missing side. ``moves`` begins at row ``top``, where the path ends if it is not the first."""
     out, i, j = [], m, n
-    while i or j:
-        kind = TGT_ONLY if i == 0 else SRC_ONLY if j == 0 else moves[i, j - lo[i]]
+    while i > top or (j and not top):
+        kind = TGT_ONLY if i == 0 else SRC_ONLY if j == 0 else moves[i - top, j - lo[i]]
         if kind == MATCH:
             i, j = i - 1, j - 1
             out.append((MATCH, i, j))
@@ -80,6 +92,34 @@ def path(moves: np.ndarray, lo: np.ndarray, m: int, n: int) -> list[tuple[int, i
     return out[::-1]
 
 
+def steps(row_sim, m: int, n: int, fraction: float = BAND, gap: float = GAP, cells: int = CELLS) -> list[tuple[int, int, int]]:
+    """``path`` of ``fill``, with the moves of a block of rows in memory at a time, so that books of any length are aligned.
+
+    The first way down keeps the row before each block; the way back fills the blocks again from these.
+    A table of up to ``cells`` cells is one block and filled once.
+    """
+    lo, hi = limits(m, n, fraction)
+    width = int((hi - lo).max()) + 1
+    # a kept row of scores is as large as eight rows of moves
+    block = max(cells // width, math.isqrt(8 * m), 1)
+    row, kept = np.arange(hi[0] + 1) * gap, []
+    for i in range(max(m - 1, 0) // block * block + 1):
+        if i:
+            row, _ = next_row(row_sim, row, i, lo, hi, gap, gap, keep=False)
+        if i % block == 0:
+            kept.append(row)
+    parts, end = [], n
+    for top in range(len(kept) - 1, -1, -1):
+        row, low, bottom = kept.pop(), top * block, min((top + 1) * block, m)
+        moves = np.full((bottom - low + 1, width), TGT_ONLY, dtype=np.int8)
+        for i in range(low + 1, bottom + 1):
+            row, kind = next_row(row_sim, row, i, lo, hi, gap, gap)
+            moves[i - low, : len(kind)] = kind
+        parts.append(path(moves, lo, bottom, end, low))
+        end -= sum(kind != SRC_ONLY for kind, _, _ in parts[-1])
+    return [move for part in reversed(parts) for move in part]
+
+
 def by_pair(side: DataFrame):
     """Grouped by pair_id, under names of its own: both sides may come from one table."""
     return side.select(F.col("pair_id").cast("string").alias("pair_id"), *[F.col(c).alias(c) for c in ("global_idx", "embedding")]).groupBy("pair_id")
@@ -96,15 +136,15 @@ def align(src: DataFrame, tgt: DataFrame, fraction: float = BAND, gap: float = G
         s, t = s.sort_values("global_idx"), t.sort_values("global_idx")
         a, b = (np.stack(x["embedding"].to_numpy()).astype(np.float64) for x in (s, t))
         _, moves, lo = fill(lambda i, x, y: b[x:y] @ a[i], len(a), len(b), fraction, gap, free_edges)
-        steps = path(moves, lo, len(a), len(b))
+        found = path(moves, lo, len(a), len(b))
         si, ti = s["global_idx"].to_numpy(), t["global_idx"].to_numpy()
         return pd.DataFrame({
             "pair_id": s["pair_id"].iloc[0],
-            "pair_seq": np.arange(len(steps), dtype="int32"),
-            "src_global_idx": pd.array([si[i] if i >= 0 else None for _, i, _ in steps], dtype="Int32"),
-            "tgt_global_idx": pd.array([ti[j] if j >= 0 else None for _, _, j in steps], dtype="Int32"),
-            "alignment_type": [TYPES[k] for k, _, _ in steps],
-            "confidence": [float(a[i] @ b[j]) if k == MATCH else None for k, i, j in steps],
+            "pair_seq": np.arange(len(found), dtype="int32"),
+            "src_global_idx": pd.array([si[i] if i >= 0 else None for _, i, _ in found], dtype="Int32"),
+            "tgt_global_idx": pd.array([ti[j] if j >= 0 else None for _, _, j in found], dtype="Int32"),
+            "alignment_type": [TYPES[k] for k, _, _ in found],
+            "confidence": [float(a[i] @ b[j]) if k == MATCH else None for k, i, j in found],
         })
 
     return by_pair(src).cogroup(by_pair(tgt)).applyInPandas(run, SCHEMA)
@@ -119,10 +159,9 @@ def text_moves(src: Column, tgt: Column, fraction: float = BAND, gap: float = GA
         ends, parts = [0], []
         for x, y in zip(s, t, strict=True):
             a, b = (known.matrix(v.as_py()).astype(np.float64) for v in (x, y))
-            _, kinds, lo = fill(lambda i, low, high: b[low:high] @ a[i], len(a), len(b), fraction, gap)  # noqa: B023
-            steps = path(kinds, lo, len(a), len(b))
-            ends.append(ends[-1] + len(steps))
-            parts += [(i, j, k, float(a[i] @ b[j]) if k == MATCH else None) for k, i, j in steps]
+            found = steps(lambda i, low, high: b[low:high] @ a[i], len(a), len(b), fraction, gap)  # noqa: B023
+            ends.append(ends[-1] + len(found))
+            parts += [(i, j, k, float(a[i] @ b[j]) if k == MATCH else None) for k, i, j in found]
         kind, i, j = (np.array([p[c] for p in parts], dtype=np.int32) for c in (2, 0, 1))
         fields = [pa.array(i, mask=i < 0), pa.array(j, mask=j < 0), pa.array(kind), pa.array([p[3] for p in parts], pa.float64())]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["src", "tgt", "kind", "confidence"]))

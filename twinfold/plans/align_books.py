@@ -14,12 +14,12 @@ def books_of(jobs: DataFrame, books: DataFrame, key: str = "book_id") -> DataFra
     return books.join(jobs.select(F.explode(F.array("src_book_id", "tgt_book_id")).alias(key)).distinct(), key, "left_semi")
 
 
-def align_books(jobs: DataFrame, paragraphs: DataFrame, rules: list[tuple[str, str]] | None = None, cap: int = sentences.CAP, band: float = align.BAND, gap: float = align.GAP, key: str = "book_id") -> DataFrame:
+def align_books(jobs: DataFrame, paragraphs: DataFrame, rules: list[tuple[str, str]] | None = None, cap: int | None = None, band: float = align.BAND, gap: float = align.GAP, key: str = "book_id") -> DataFrame:
     """Pair rows of all jobs (pair_id, src_book_id, tgt_book_id), from paragraphs (key, para_idx, text).
 
     Only the books of a job are split, each once however many jobs it is in. A book is one row of
     sentences; it is sent to its jobs as text and embedded where it is aligned, so that neither
-    vectors nor single sentences are shuffled.
+    vectors nor single sentences are shuffled. Books are aligned to their end, unless a ``cap`` of sentences is given.
     """
     wanted = books_of(jobs, paragraphs, key)
     if rules:
