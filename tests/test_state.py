@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -123,3 +124,37 @@ def test_queries_of_many_wordings_read_the_texts_once(spark):
     assert sorted((r["query_id"], r["para_idx"]) for r in found.collect()) == want
     asked = search.wordings(spark.createDataFrame(lines, "query_id int, query string"))
     assert asked.count() == 63 and "nowhere" not in {r["anchor"] for r in search.anchored(asked, spark.createDataFrame([("alpha", 9), ("x1", 1)], "word string, n long")).collect()}
+
+
+def test_repeated_queries_are_ranked_once_and_answered_last(spark, monkeypatch):
+    """Anchors of every kind and blocks of every size find what plain search does; queries get their wording's hits after these are ranked."""
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "Ab", "x"]
+    texts = [(b, p, rng.choice(["", "(", "“"]) + rng.choice([" ", ", ", "-"]).join(rng.choice(words) for _ in range(rng.randint(1, 9))) + ".") for b in range(5) for p in range(9)]
+    book = spark.createDataFrame(texts, "book_id int, para_idx int, text string")
+    lines = [(k, t.upper() if k % 2 else t) for k, (_, _, t) in enumerate(texts)] + [(k + 100, t[rng.randint(0, 4) : rng.randint(6, 40)]) for k, (_, _, t) in enumerate(texts)]
+    lines += [(200 + k, q) for k, q in enumerate(["x", "-", "lph", "a, b", " ", "eta gamm", "alpha nowhere beta", *["beta"] * 20])]
+    asked = spark.createDataFrame(lines, "query_id int, query string")
+    want = {}
+    for k, q in lines:
+        for b, p, t in texts:
+            if q.strip() and q.strip().lower() in t.lower():
+                want.setdefault((k, b), []).append(p)
+    ranked = sorted((k, b, n + 1, p, len(ps) > 2) for (k, b), ps in want.items() for n, p in enumerate(ps[:2]))
+    made = search.search_books(book, asked, most=2)
+    assert sorted((r["query_id"], r["book_id"], r["rank"], r["para_idx"], r["has_more"]) for r in made.collect()) == ranked
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(_ids") < plan.index("Window")
+    prepared = search.prepared(asked)
+    assert {r["kind"] for r in prepared.select("kind").distinct().collect()} == {"gram", "word", "run", "none"}
+    pairs = sorted((k, b, p) for (k, b), ps in want.items() for p in ps)
+    for direct, short in ((0, 64), (128, 0)):
+        monkeypatch.setattr(search, "DIRECT", direct)
+        monkeypatch.setattr(search, "SHORT", short)
+        found = search.answered(search.wording_hits(book, ["text"], prepared, block=2, numbers=20), prepared, numbers=20)
+        assert sorted((r["query_id"], r["book_id"], r["para_idx"]) for r in found.collect()) == pairs
+    # queries of one id are ranked together
+    same = search.search_books(book, spark.createDataFrame([(1, "alpha"), (1, "beta")], "query_id int, query string"), most=100)
+    both = sorted((b, p) for b, p, t in texts for q in ("alpha", "beta") if q in t.lower())
+    assert sorted((r["book_id"], r["para_idx"]) for r in same.collect()) == both
+    assert same.groupBy("book_id").agg(F.max("rank").alias("m"), F.count("*").alias("n")).where("m <> n").count() == 0
