@@ -158,3 +158,6 @@ def test_repeated_queries_are_ranked_once_and_answered_last(spark, monkeypatch):
     both = sorted((b, p) for b, p, t in texts for q in ("alpha", "beta") if q in t.lower())
     assert sorted((r["book_id"], r["para_idx"]) for r in same.collect()) == both
     assert same.groupBy("book_id").agg(F.max("rank").alias("m"), F.count("*").alias("n")).where("m <> n").count() == 0
+    # texts may have a number of their own
+    shown = spark.createDataFrame([("p", 0, 0, "One two three four five.", "x", 7)], "pair_id string, display_idx int, pair_idx int, src_text string, tgt_text string, number int")
+    assert [r["snippet"] for r in search.search_pairs(shown, spark.createDataFrame([(1, "one two three four five")], "query_id int, query string")).collect()] == ["One two three four five."]
